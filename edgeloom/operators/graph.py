@@ -40,26 +40,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     nodes = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     links = e.filter(F.col("src") != F.col("dst")).select(F.col("src").alias("lo"), F.col("dst").alias("hi"))
 
-    def large_star(x):
+    def large_star(x, n):
         both = x.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(x.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
         up = both.filter(F.col("v") > F.col("u"))
-        return salted_join(up, low, ["u"]).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        return salted_join(up, low, ["u"], rows=n).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
 
-    def small_star(x):
+    def small_star(x, n):
         low = x.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
-        down = salted_join(x.select(F.col("hi").alias("u"), F.col("lo").alias("v")), low, ["u"])
+        down = salted_join(x.select(F.col("hi").alias("u"), F.col("lo").alias("v")), low, ["u"], rows=n)
         linked = down.filter(F.col("v") != F.col("m")).select(F.col("m").alias("lo"), F.col("v").alias("hi"))
         return linked.unionByName(low.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
 
-    mark = None
+    mark, n = None, e.count()
     for _ in range(max_rounds):
-        links = checkpointed(small_star(large_star(links)))
+        links = checkpointed(small_star(large_star(links, n), n))
         # Edge set unchanged ⇔ same size and same hash sums.
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi")), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, max(n, now[0])
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     root = links.select(F.col("hi").alias("id"), F.col("lo").alias("_root"))
@@ -78,11 +78,12 @@ def hop_distance(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFra
     frontier = sources.select(F.col("id").alias("source"), "id").distinct()
     frontier = frontier.join(both.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("source", "id")
     seen = checkpointed(frontier.withColumn("hops", F.lit(0)))
-    frontier = seen.select("source", "id")
+    frontier, n = seen.select("source", "id"), seen.count()
     for hop in range(1, max_hops + 1):
-        reached = salted_join(frontier.withColumnRenamed("id", "src"), both, ["src"]).select("source", F.col("dst").alias("id")).distinct()
+        reached = salted_join(frontier.withColumnRenamed("id", "src"), both, ["src"], rows=n).select("source", F.col("dst").alias("id")).distinct()
         fresh = checkpointed(reached.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(hop)))
-        if fresh.isEmpty():
+        n = fresh.count()
+        if n == 0:
             break
         seen = seen.unionByName(fresh)
         frontier = fresh.select("source", "id")

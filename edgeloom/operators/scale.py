@@ -65,14 +65,17 @@ def running_sum(df: DataFrame, groups, order, bucket: Column, measures: dict[str
     return out.drop("_b")
 
 
-def salted_join(left: DataFrame, right: DataFrame, on, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on, how: str = "inner", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
     """Equi-join that splits the left rows of hot keys and copies their right rows.
 
     Keys with more than ``hot_rows`` left rows are spread over ``ceil(n / hot_rows)``
     salts. At most ``|left| / hot_rows`` keys can be hot, so the hot-key table is small.
-    Left rows keep their matches exactly (inner, left, left_semi or left_anti).
+    Left rows keep their matches exactly (inner, left, left_semi or left_anti). If the
+    left side is known to have at most ``hot_rows`` rows, nothing can be hot.
     """
     on = list(on)
+    if rows is not None and rows <= hot_rows:
+        return left.join(right, on, how)
     hot = (
         left.groupBy(*on).count().filter(F.col("count") > hot_rows)
         .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
