@@ -170,7 +170,8 @@ def biased_walks(
 
 def _product(left: DataFrame, right: DataFrame, lv, rv) -> DataFrame:
     """Sum and max over k of left[i,k]·right[k,j]; inputs (i, k, …) and (k, j, …)."""
-    joined = salted_join(left, right, ["k"])
+    left = checkpointed(left)
+    joined = salted_join(left, right, ["k"], rows=left.count())
     return joined.groupBy("i", "j").agg(F.sum(lv[0] * rv[0]).alias("sum"), F.max(lv[1] * rv[1]).alias("max"))
 
 
@@ -234,8 +235,8 @@ def common_counts(edges: DataFrame, pairs: DataFrame, node: str, other: str) ->
     for side in ("a", "b"):
         p = p.join(deg.select(F.col("_id").alias(side), F.col("_n").alias("_n" + side)), side)
     first = F.col("_na") <= F.col("_nb")
-    p = p.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("_few"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("_many"))
-    listed = salted_join(p, edges.select(F.col(node).alias("_few"), F.col(other).alias("_x")), ["_few"])
+    p = checkpointed(p.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("_few"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("_many")))
+    listed = salted_join(p, edges.select(F.col(node).alias("_few"), F.col(other).alias("_x")), ["_few"], rows=p.count())
     known = listed.join(edges.select(F.col(node).alias("_many"), F.col(other).alias("_x")), ["_many", "_x"], "left_semi")
     return known.groupBy("a", "b").agg(F.count("*").alias("common"))
 

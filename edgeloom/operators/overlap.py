@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .scale import checkpointed, running_sum
 
 SLACK = 1e-9
+PAIRS_PER_ROW = 64
+SMALL_PAIRS = 2e7
 
 
 @dataclass(frozen=True)
@@ -125,16 +127,41 @@ def index_rows(rows: DataFrame, need: Threshold, cold: int = 64, warm: int = 409
     )
 
 
-def overlaps(rows: DataFrame, need: Threshold) -> DataFrame:
-    """Pairs (a < b) that reach the threshold: (a, b, overlap, na, nb)."""
+def _joined_directly(rows: DataFrame, need: Threshold, term) -> DataFrame:
+    """All overlaps from one join on the feature, for data whose features stay small."""
+    sized = rows.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("n"))
+    x = rows.join(sized, "id")
+    p = x.select("f", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("n").alias("na"))
+    q = x.select("f", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("n").alias("nb"))
+    fits = need.sizes(F.least("na", "nb"), F.greatest("na", "nb"))
+    pairs = p.join(q, "f").filter((F.col("a") < F.col("b")) & fits)
+    pairs = pairs.groupBy("a", "b").agg(F.sum(term(F.col("wa"), F.col("wb"))).alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    wanted = need.pair(F.least("na", "nb"), F.greatest("na", "nb")) - SLACK
+    return pairs.filter(F.col("overlap") >= wanted)
+
+
+def overlaps(rows: DataFrame, need: Threshold, direct: bool | None = None) -> DataFrame:
+    """Pairs (a < b) that reach the threshold: (a, b, overlap, na, nb).
+
+    The number of row pairs that share a feature is known from the feature counts.
+    While it stays within ``PAIRS_PER_ROW`` times the input, one join does it;
+    otherwise, as with any hub feature, the index is built. ``direct`` forces a way.
+    """
+    rows = checkpointed(rows)
+    term = (lambda p, q: p * q) if need.product else (lambda p, q: F.least(p * p, q * q))
+    if direct is None:
+        n = F.col("count").cast("double")
+        cost = rows.groupBy("f").count().agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
+        direct = (cost.pairs or 0.0) <= max(SMALL_PAIRS, PAIRS_PER_ROW * (cost.rows or 0.0))
+    if direct:
+        return _joined_directly(rows, need, term)
     # The marked rows and the candidates are read more than once below: write each once.
-    x = checkpointed(index_rows(checkpointed(rows), need))
+    x = checkpointed(index_rows(rows, need))
     rest = x.groupBy("id").agg(
         F.sum(F.when(~F.col("short"), F.col("_w2")).otherwise(0.0)).alias("rs"),
         F.sum(F.when(~F.col("long"), F.col("_w2")).otherwise(0.0)).alias("rl"),
     )
     x = x.drop("_w2").join(rest, "id")
-    term = (lambda p, q: p * q) if need.product else (lambda p, q: F.least(p * p, q * q))
     small = x.filter("short").select("f", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("n").alias("nx"), F.col("rs").alias("rx"))
     large = x.filter("long").select("f", F.col("id").alias("y"), F.col("w").alias("wy"), F.col("n").alias("ny"), F.col("rl").alias("ry"))
     if need.unit_weights:
@@ -155,7 +182,7 @@ def overlaps(rows: DataFrame, need: Threshold) -> DataFrame:
     fx = x.select(F.col("id").alias("x"), "f", F.col("w").alias("wx"), F.col("short").alias("ix"))
     fy = x.select(F.col("id").alias("y"), "f", F.col("w").alias("wy"), F.col("long").alias("iy"))
     late = alive.filter(unseen).join(fx, "x").join(fy, ["y", "f"], "left")
-    extra = F.when(~(F.col("ix") & F.col("iy")), term(F.col("wx"), F.col("wy")))
+    extra = F.when(F.col("wy").isNotNull() & ~(F.col("ix") & F.col("iy")), term(F.col("wx"), F.col("wy")))
     late = late.groupBy("x", "y").agg(
         (F.first("seen") + F.coalesce(F.sum(extra), F.lit(0))).alias("overlap"), F.first("nx").alias("nx"), F.first("ny").alias("ny")
     )

@@ -96,8 +96,20 @@ _VIEWS = {
     "dsim": "SELECT a, b, o * 1.0 / (na + nb - o) AS s FROM (SELECT x.src AS a, y.src AS b, count(*) AS o FROM inter x JOIN inter y "
     "ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2) p JOIN (SELECT src AS ka, count(*) AS na FROM inter GROUP BY 1) ON a = ka "
     "JOIN (SELECT src AS kb, count(*) AS nb FROM inter GROUP BY 1) ON b = kb WHERE o * 1.0 / (na + nb - o) >= 0.05 - 1e-9",
+    # The five strongest links per row.
+    "ttop": "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r "
+    "FROM (SELECT a, b, s FROM tsim UNION ALL SELECT b, a, s FROM tsim)) WHERE r <= 5",
+    "dtop": "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r "
+    "FROM (SELECT a, b, s FROM dsim UNION ALL SELECT b, a, s FROM dsim)) WHERE r <= 5",
+    # Labelled pairs dealt to ten folds for two seeds.
+    "lab": "SELECT src, dst, max(CASE WHEN y < 30 THEN 1 ELSE 0 END) AS label FROM affinity WHERE y < 5 OR y >= 48 GROUP BY 1, 2",
+    "folds": "SELECT seed, src, dst, label, CAST((row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || src || '|' || dst), src, dst) - 1) % 10 AS INTEGER) AS fold "
+    "FROM lab, (SELECT unnest([0, 1]) AS seed)",
+}
+_NEEDS = {
+    "inter": ["affinity"], "strong": ["affinity"], "tsim": ["affinity", "inter"], "dist": ["affinity", "inter", "tsim"], "dsim": ["affinity", "inter"],
+    "ttop": ["affinity", "inter", "tsim"], "dtop": ["affinity", "inter", "dsim"], "lab": ["affinity"], "folds": ["affinity", "lab"],
 }
-_NEEDS = {"inter": ["affinity"], "strong": ["affinity"], "tsim": ["affinity", "inter"], "dist": ["affinity", "inter", "tsim"], "dsim": ["affinity", "inter"]}
 
 
 def with_views(*names: str, recursive: bool = False, extra: str = "") -> str:
@@ -126,3 +138,18 @@ def drug_similarity(spark, sf) -> DataFrame:
 def target_distance(spark, sf) -> DataFrame:
     """Stand-in for the given structure distances: 8 − 60·s for alike targets."""
     return target_similarity(spark, sf).select("a", "b", F.round(F.lit(8.0) - F.lit(60.0) * F.col("s"), 6).alias("d"))
+
+
+def labelled_pairs(spark, sf) -> DataFrame:
+    """Pairs of low (1) and high (0) affinity; a pair seen as both counts as 1."""
+    a = affinity(spark, sf).filter("y < 5 OR y >= 48")
+    return a.groupBy("src", "dst").agg(F.max((F.col("y") < 30).cast("int")).alias("label"))
+
+
+def labelled_folds(spark, sf, n: int = 10, seeds=(0, 1)) -> DataFrame:
+    from functools import reduce
+
+    from ..operators.splits import kfold
+
+    pairs = labelled_pairs(spark, sf)
+    return reduce(DataFrame.unionByName, [kfold(pairs, n, s).withColumn("seed", F.lit(s)) for s in seeds])
