@@ -138,5 +138,5 @@ def ranked_by_value(df: DataFrame, groups, value: str, key: Column, name: str =
     order, bucket = (F.desc(value), -bucket) if descending else (F.asc(value), bucket)
     start = running_sum(counts, groups, [order], bucket, {"_upto": F.col("_n")})
     start = start.select(*groups, value, (F.col("_upto") - F.col("_n")).alias("_start"))
-    inner = ranked(df, groups + [value], ["_t"], F.conv(F.substring("_t", 1, 2), 16, 10).cast("int"), "_r")
-    return inner.join(start, groups + [value]).withColumn(name, F.col("_start") + F.col("_r")).drop("_start", "_r", "_t")
+    inner = ranked(df, groups + [value], ["_t"], F.conv(F.substring("_t", 1, 2), 16, 10).cast("int"), "_in")
+    return inner.join(start, groups + [value]).withColumn(name, F.col("_start") + F.col("_in")).drop("_start", "_in", "_t")
