@@ -127,10 +127,19 @@ def index_rows(rows: DataFrame, need: Threshold, cold: int = 64, warm: int = 409
     )
 
 
+def spread(x: DataFrame) -> DataFrame:
+    """Partition by feature into the configured number of partitions.
+
+    The join that follows multiplies its rows, so its tasks must not be merged by the
+    size of their input.
+    """
+    return x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+
+
 def _joined_directly(rows: DataFrame, need: Threshold, term) -> DataFrame:
     """All overlaps from one join on the feature, for data whose features stay small."""
     sized = rows.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("n"))
-    x = rows.join(sized, "id")
+    x = spread(rows.join(sized, "id"))
     p = x.select("f", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("n").alias("na"))
     q = x.select("f", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("n").alias("nb"))
     fits = need.sizes(F.least("na", "nb"), F.greatest("na", "nb"))
@@ -162,8 +171,9 @@ def overlaps(rows: DataFrame, need: Threshold, direct: bool | None = None) -> Da
         F.sum(F.when(~F.col("long"), F.col("_w2")).otherwise(0.0)).alias("rl"),
     )
     x = x.drop("_w2").join(rest, "id")
-    small = x.filter("short").select("f", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("n").alias("nx"), F.col("rs").alias("rx"))
-    large = x.filter("long").select("f", F.col("id").alias("y"), F.col("w").alias("wy"), F.col("n").alias("ny"), F.col("rl").alias("ry"))
+    by_feature = spread(x)
+    small = by_feature.filter("short").select("f", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("n").alias("nx"), F.col("rs").alias("rx"))
+    large = by_feature.filter("long").select("f", F.col("id").alias("y"), F.col("w").alias("wy"), F.col("n").alias("ny"), F.col("rl").alias("ry"))
     if need.unit_weights:
         ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
         bound = F.greatest("rx", "ry")
