@@ -42,7 +42,7 @@ def read_quarterly(spark: SparkSession, path, kind: str) -> DataFrame:
     glob = "".join(f"[{c.upper()}{c.lower()}]" for c in kind) + "*.[tT][xX][tT]"
     # A separator that cannot occur keeps the whole line in one column.
     raw = (
-        spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("encoding", encoding)
+        spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("escape", "").option("encoding", encoding)
         .option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
         .select("line", F.col("_metadata.file_name").alias("_file"))
     )
@@ -52,7 +52,7 @@ def read_quarterly(spark: SparkSession, path, kind: str) -> DataFrame:
     rows = raw.filter(F.col("line").isNotNull() & ~head)
     return rows.select(
         (F.lit(2000) + F.when(year != "", year.cast("int"))).alias("year"), F.when(quarter != "", quarter.cast("int")).alias("quarter"),
-        F.split(F.regexp_replace("line", r"\$?\r?$", ""), r"\$").alias("fields"),
+        F.split(F.trim(F.regexp_replace("line", r"\r$", "")), r"\$").alias("fields"),
     )
 
 
@@ -61,10 +61,13 @@ def _at(k: int) -> Column:
 
 
 def report_events(lines: DataFrame) -> DataFrame:
-    """(case, term): the term is field 1 of three-field lines, else field 2."""
+    """(case, term): the term is field 1 of three-field lines, else field 2, in upper case.
+
+    A trailing separator counts as a field.
+    """
     term = F.when(F.size("fields") == 3, _at(1)).otherwise(_at(2))
     keep = [c for c in ("year", "quarter") if c in lines.columns]
-    return lines.select(*keep, _at(0).alias("case"), term.alias("term")).filter(F.col("term").isNotNull())
+    return lines.select(*keep, _at(0).alias("case"), F.upper(term).alias("term")).filter(F.col("term").isNotNull())
 
 
 def report_roles(lines: DataFrame, keep=("PS", "SS")) -> DataFrame:
