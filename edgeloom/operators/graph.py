@@ -220,7 +220,7 @@ def meta_paths(src_sim: DataFrame, dst_sim: DataFrame, edges: DataFrame, kinds=(
         mid = ddt.select("i", F.col("j").alias("k"), F.col("sum").alias("m_sum"), F.col("max").alias("m_max"))
         out["ddtt"] = rename(_product(mid, t, (F.col("m_sum"), F.col("m_max")), (F.col("s"), F.col("s"))))
     if "dtdt" in kinds:
-        out["dtdt"] = dtdt_on_edges(r, r)
+        out["dtdt"] = dtdt_on_edges(r)
     return out
 
 
@@ -241,7 +241,7 @@ def common_counts(edges: DataFrame, pairs: DataFrame, node: str, other: str) ->
     return known.groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
-def dtdt_on_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def dtdt_on_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """src–dst–src–dst paths between given pairs: their number as sum, 1 as max.
 
     The endpoint with fewer partners takes the first step; what is left is the number
@@ -259,6 +259,42 @@ def dtdt_on_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return paths.agg(F.sum("common").cast("double").alias("sum"), F.lit(1.0).alias("max"))
 
 
+def edge_squares(edges: DataFrame) -> DataFrame:
+    """Number of four-cycles through each edge: (src, dst, squares); edges in none are absent.
+
+    A four-cycle is found from its node of highest degree u, as two two-step paths
+    u–v–w to the same w. A step leads through v only from nodes of higher degree, so the
+    paths number at most the sum over edges of the smaller degree: hubs are ends of
+    paths, never their middle.
+    """
+    e = edges.select("src", "dst").distinct()
+    e = e.join(e.groupBy("src").agg(F.count("*").alias("ds")), "src").join(e.groupBy("dst").agg(F.count("*").alias("dt")), "dst")
+    e = checkpointed(e)
+    parts = []
+    for u, du, v, dv, top in (("src", "ds", "dst", "dt", F.col("ds") >= F.col("dt")), ("dst", "dt", "src", "ds", F.col("dt") > F.col("ds"))):
+        first = e.filter(top).select(F.col(v).alias("v"), F.col(u).alias("u"), F.col(du).alias("du"))
+        second = e.select(F.col(v).alias("v"), F.col(u).alias("w"), F.col(du).alias("dw"))
+        lower = (F.col("dw") < F.col("du")) | ((F.col("dw") == F.col("du")) & (F.col("w") < F.col("u")))
+        paths = checkpointed(first.join(second, "v").filter(lower).select("u", "v", "w"))
+        shared = paths.groupBy("u", "w").agg((F.count("*") - 1).alias("c")).filter(F.col("c") > 0)
+        ends = F.explode(F.array("u", "w")).alias(u)
+        parts.append(paths.join(shared, ["u", "w"]).select(ends, F.col("v").alias(v), "c").select("src", "dst", "c"))
+    return parts[0].unionByName(parts[1]).groupBy("src", "dst").agg(F.sum("c").alias("squares"))
+
+
+def dtdt_on_edges(edges: DataFrame) -> DataFrame:
+    """src–dst–src–dst paths between the ends of every edge: their number as sum, 1 as max.
+
+    Such a path closes a four-cycle with the edge, or repeats it: the number is
+    squares + degree of src + degree of dst − 1.
+    """
+    r = edges.select("src", "dst").distinct()
+    x = r.join(r.groupBy("src").agg(F.count("*").alias("_s")), "src").join(r.groupBy("dst").agg(F.count("*").alias("_t")), "dst")
+    x = x.join(edge_squares(r), ["src", "dst"], "left")
+    n = F.coalesce("squares", F.lit(0)) + F.col("_s") + F.col("_t") - 1
+    return x.select("src", "dst", n.cast("double").alias("sum"), F.lit(1.0).alias("max"))
+
+
 def combine_vectors(pairs: DataFrame, func: str, a: str = "src_vec", b: str = "dst_vec", out: str = "feature") -> DataFrame:
     """Concat, Hadamard, AVG, WL1 (|a−b|) or WL2 ((a−b)²) of two vectors."""
     zips = {

@@ -78,11 +78,12 @@ def test_dtdt_counts_paths(spark):
     rng = random.Random(6)
     e = sorted({(f"d{rng.randrange(9)}", f"t{rng.randrange(9)}") for _ in range(40)} | {("d0", f"t{i}") for i in range(9)})
     pairs = [(f"d{i}", f"t{j}") for i in range(9) for j in range(9)]
-    got = {(r.src, r.dst): r["sum"] for r in G.dtdt_on_edges(_df(spark, e), _df(spark, pairs)).collect()}
+    got = {(r.src, r.dst): r["sum"] for r in G.dtdt_on_pairs(_df(spark, e), _df(spark, pairs)).collect()}
     s = set(e)
     for d, t in pairs:
         want = sum(1 for a, t1 in e if a == d for d2, t2 in e if t2 == t and (d2, t1) in s)
         assert got.get((d, t), 0) == want
+    assert {(r.src, r.dst): r["sum"] for r in G.dtdt_on_edges(_df(spark, e)).collect()} == {k: v for k, v in got.items() if k in s}
 
 
 def test_combine_vectors(spark):
