@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scale import salted_join
+
 
 # -- set operations ---------------------------------------------------------
 
@@ -89,7 +91,7 @@ def band_join(pairs: DataFrame, distance: DataFrame, lo: float, hi: float) -> Da
     The band is applied before the join, so only wanted neighbours are shuffled.
     """
     near = mirror(distance.filter((F.col("d") > lo) & (F.col("d") < hi)), "d")
-    return pairs.join(near.select(F.col("a").alias("dst"), F.col("b").alias("cand"), "d"), "dst").select("src", "dst", "cand", "d")
+    return salted_join(pairs, near.select(F.col("a").alias("dst"), F.col("b").alias("cand"), "d"), ["dst"]).select("src", "dst", "cand", "d")
 
 
 def symbol_overlap(symbols: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -109,20 +111,20 @@ def annotate(df: DataFrame, annotation: DataFrame, on, cols, order: str, fill: s
     """Left join of the first annotation per key; missing values become ``fill``."""
     on = [on] if isinstance(on, str) else list(on)
     first = annotation.groupBy(*on).agg(*[F.min_by(c, order).alias(c) for c in cols])
-    return df.join(first, on, "left").na.fill(fill, subset=list(cols))
+    return salted_join(df, first, on, "left").na.fill(fill, subset=list(cols))
 
 
 def pair_embeddings(edges: DataFrame, emb: DataFrame) -> DataFrame:
     """Both endpoint vectors and their concatenation; emb is (id, vec)."""
     s = emb.select(F.col("id").alias("src"), F.col("vec").alias("src_vec"))
     d = emb.select(F.col("id").alias("dst"), F.col("vec").alias("dst_vec"))
-    return edges.join(s, "src").join(d, "dst").withColumn("vec", F.concat("src_vec", "dst_vec"))
+    return salted_join(salted_join(edges, s, ["src"]), d, ["dst"]).withColumn("vec", F.concat("src_vec", "dst_vec"))
 
 
 def slice_matrix(cells: DataFrame, ids: DataFrame, rows: str = "a", cols: str = "b") -> DataFrame:
     """Cells whose row and column are both listed."""
     for side in (rows, cols):
-        cells = cells.join(ids.select(F.col("id").alias(side)).distinct(), side, "left_semi")
+        cells = salted_join(cells, ids.select(F.col("id").alias(side)).distinct(), [side], "left_semi")
     return cells
 
 

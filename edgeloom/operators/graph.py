@@ -109,7 +109,7 @@ def adjacency_index(edges: DataFrame, seed=0) -> DataFrame:
     both = checkpointed(both.withColumn("_k", order_key(seed, "node", "nbr")))
     pos = ranked(both, ["node"], ["_k", "nbr"], digest_bucket(F.col("_k")), "pos").withColumn("pos", F.col("pos") - 1).drop("_k")
     deg = both.groupBy("node").agg(F.count("*").alias("degree"), F.max("weight").alias("top"))
-    return checkpointed(pos.join(deg, "node"))
+    return checkpointed(salted_join(pos, deg, ["node"], rows=both.count()))
 
 
 def biased_walks(
@@ -135,9 +135,10 @@ def biased_walks(
     rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("i"), "cur")
     walks = rows.select(F.concat_ws("#", "cur", "i").alias("walk"), "cur", F.lit(None).cast("string").alias("prev"))
     walks = checkpointed(walks)
+    n_walks = walks.count()
     out = walks.select("walk", F.lit(0).alias("step"), F.col("cur").alias("node"))
     for step in range(1, length):
-        here = walks.join(degree, "cur")
+        here = salted_join(walks, degree, ["cur"], rows=n_walks)
         # Weight of the edge back to the previous node, for its extra share of the draws.
         back = adj.select(F.col("node").alias("cur"), F.col("nbr").alias("prev"), F.col("weight").alias("w_back"))
         here = checkpointed(here.join(back, ["cur", "prev"], "left"))

@@ -1,8 +1,8 @@
 """Identifier mapping.
 
 Maps are tables ``(k, v[, ord])``. They are reduced to one value per key by an
-aggregate that combines on the map side, then joined; whether the reduced map is
-broadcast is left to Spark, which checks its size.
+aggregate that combines on the map side, then joined with the hot ids of the data
+salted; whether the reduced map is broadcast is left to Spark, which checks its size.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scale import salted_join
+
 
 def reduce_map(idmap: DataFrame, keep: str = "first", k: str = "k", v: str = "v", ord: str = "ord") -> DataFrame:
     """One value per key: the first or the last by ``ord`` (ties by the value)."""
@@ -21,7 +23,7 @@ def reduce_map(idmap: DataFrame, keep: str = "first", k: str = "k", v: str = "v"
 def map_ids(df: DataFrame, col: str, idmap: DataFrame, keep: str = "first", out: str | None = None) -> DataFrame:
     """Left lookup of ``col`` in a map; ids without an entry become NULL."""
     m = reduce_map(idmap, keep).select(F.col("k").alias("_k"), F.col("v").alias("_v"))
-    mapped = df.join(m, F.col(col) == F.col("_k"), "left")
+    mapped = salted_join(df.withColumn("_k", F.col(col).cast(dict(m.dtypes)["_k"])), m, ["_k"], "left")
     return mapped.withColumn(out or col, F.col("_v")).drop("_k", "_v")
 
 
@@ -60,8 +62,8 @@ def map_two_keys(df: DataFrame, k1: str, k2: str, idmap: DataFrame, out: str, mo
 
 def restrict(df: DataFrame, col: str, universe: DataFrame, key: str) -> DataFrame:
     """Rows whose id is in the universe."""
-    u = universe.select(F.col(key).alias("_u")).filter(F.col("_u").isNotNull()).distinct()
-    return df.join(u, F.col(col) == F.col("_u"), "left_semi")
+    u = universe.select(F.col(key).alias(col)).filter(F.col(col).isNotNull()).distinct()
+    return salted_join(df, u, [col], "left_semi")
 
 
 def match_names(names: DataFrame, dictionary: DataFrame, cleaned, case: str = "case", name: str = "name") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import overlap as ov
+from .scale import salted_join
 
 
 def profiles(edges: DataFrame, id: str = "src", feature: str = "dst") -> DataFrame:
@@ -47,7 +48,7 @@ def dice_counts(counts: DataFrame, min_sim: float) -> DataFrame:
 
 def unit_rows(rows: DataFrame) -> DataFrame:
     norm = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("w").cast("double") * F.col("w"))).alias("_n"))
-    return rows.join(norm.filter(F.col("_n") > 0), "id").select("id", "f", (F.col("w") / F.col("_n")).alias("w"))
+    return salted_join(rows, norm.filter(F.col("_n") > 0), ["id"]).select("id", "f", (F.col("w") / F.col("_n")).alias("w"))
 
 
 def cosine_weighted(rows: DataFrame, min_sim: float) -> DataFrame:
@@ -98,7 +99,7 @@ def tfidf_rows(counts: DataFrame) -> DataFrame:
     n = counts.agg(F.count_distinct("id").alias("_N"))
     df = counts.groupBy("f").agg(F.count("*").alias("_df")).join(F.broadcast(n))
     idf = df.select("f", F.log(F.col("_N") / F.col("_df")).alias("_idf")).filter(F.col("_idf") > 0)
-    return counts.join(idf, "f").select("id", "f", (F.col("c") * F.col("_idf")).alias("w"))
+    return salted_join(counts, idf, ["f"]).select("id", "f", (F.col("c") * F.col("_idf")).alias("w"))
 
 
 def tfidf_kernel(seq: DataFrame, k: int, min_sim: float) -> DataFrame:
@@ -129,7 +130,7 @@ def impute_profiles(edges: DataFrame, sim: DataFrame, nodes: DataFrame) -> DataF
     known = edges.select(F.col("src").alias("n"), "dst").distinct()
     near = near.join(known.select("n").distinct(), "n", "left_semi")
     total = near.groupBy("src").agg(F.sum("s").alias("_t"))
-    filled = near.join(known, "n").groupBy("src", "dst").agg(F.sum("s").alias("_s")).join(total, "src")
+    filled = salted_join(near, known, ["n"]).groupBy("src", "dst").agg(F.sum("s").alias("_s")).join(total, "src")
     filled = filled.select("src", "dst", (F.col("_s") / F.col("_t")).alias("v"))
     return edges.select("src", "dst").distinct().withColumn("v", F.lit(1.0)).unionByName(filled)
 
@@ -141,11 +142,11 @@ def annotation_ic(terms: DataFrame, closure: DataFrame, min_ic: float) -> DataFr
     Only terms with at least ``min_ic`` are paired, so frequent ancestors never are.
     The result is directed: (a, b, s) for both orders.
     """
-    full = terms.join(closure, "term").select("id", F.col("ancestor").alias("t")).distinct()
+    full = salted_join(terms, closure, ["term"]).select("id", F.col("ancestor").alias("t")).distinct()
     n = full.agg(F.count_distinct("id").alias("_N"))
     ic = full.groupBy("t").agg(F.count("*").alias("_df")).join(F.broadcast(n))
     ic = ic.select("t", (-F.log(F.col("_df") / F.col("_N"))).alias("ic")).filter(F.col("ic") >= min_ic)
-    x = full.join(ic, "t")
+    x = salted_join(full, ic, ["t"])
     pairs = x.select("t", "ic", F.col("id").alias("a")).join(x.select("t", F.col("id").alias("b")), "t")
     best = pairs.filter(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("ic").alias("ic"))
     own = x.groupBy(F.col("id").alias("a")).agg(F.max("ic").alias("_own"))
@@ -172,14 +173,14 @@ def minmax_columns(cells: DataFrame) -> DataFrame:
     """Per-column min-max; a constant column becomes 0."""
     span = cells.groupBy("j").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return cells.join(span, "j").select("i", "j", scaled.alias("v"))
+    return salted_join(cells, span, ["j"]).select("i", "j", scaled.alias("v"))
 
 
 def row_normalize(cells: DataFrame, drop_self: bool = False) -> DataFrame:
     """Divide by the row sum + 1e-12, without the diagonal if asked."""
     x = cells.filter(F.col("i") != F.col("j")) if drop_self else cells
     sums = x.groupBy("i").agg(F.sum("v").alias("_s"))
-    return x.join(sums, "i").select("i", "j", (F.col("v") / (F.col("_s") + F.lit(1e-12))).alias("v"))
+    return salted_join(x, sums, ["i"]).select("i", "j", (F.col("v") / (F.col("_s") + F.lit(1e-12))).alias("v"))
 
 
 def sym_normalize(cells: DataFrame, square: bool) -> DataFrame:
@@ -192,4 +193,4 @@ def sym_normalize(cells: DataFrame, square: bool) -> DataFrame:
     r = x.groupBy("i").agg(F.sum("v").alias("_r"))
     c = r.select(F.col("i").alias("j"), F.col("_r").alias("_c")) if square else x.groupBy("j").agg(F.sum("v").alias("_c"))
     scale = F.when((F.col("_r") > 0) & (F.col("_c") > 0), 1 / F.sqrt(F.col("_r") * F.col("_c"))).otherwise(0.0)
-    return x.join(r, "i").join(c, "j").select("i", "j", (F.col("v") * scale).alias("v"))
+    return salted_join(salted_join(x, r, ["i"]), c, ["j"]).select("i", "j", (F.col("v") * scale).alias("v"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scale import checkpointed, running_sum
+from .scale import checkpointed, running_sum, salted_join
 
 SLACK = 1e-9
 PAIRS_PER_ROW = 64
@@ -104,7 +104,7 @@ def fold_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, members
 
 
-def index_rows(rows: DataFrame, need: Threshold, cold: int = 64, warm: int = 4096) -> DataFrame:
+def index_rows(rows: DataFrame, need: Threshold, cold: int = 64, warm: int = 4096, n_rows: int | None = None) -> DataFrame:
     """Rows with their size and index marks.
 
     A row may stop once less than its need is left. Rare features are indexed a
@@ -113,7 +113,7 @@ def index_rows(rows: DataFrame, need: Threshold, cold: int = 64, warm: int = 409
     """
     freq = rows.groupBy("f").agg(F.count("*").alias("_df"))
     sized = rows.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("n"))
-    x = rows.join(freq, "f").join(sized, "id")
+    x = salted_join(salted_join(rows, freq, ["f"], rows=n_rows), sized, ["id"], rows=n_rows)
     # Rarest first; 256 hash buckets inside each power of two of the frequency.
     level = F.floor(F.log2(F.col("_df"))).cast("int") * 256 + F.pmod(F.xxhash64("f"), F.lit(256)).cast("int")
     x = x.withColumn("_w2", (F.col("w") * F.col("w")).cast("double"))
@@ -136,10 +136,10 @@ def spread(x: DataFrame) -> DataFrame:
     return x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
 
 
-def _joined_directly(rows: DataFrame, need: Threshold, term) -> DataFrame:
+def _joined_directly(rows: DataFrame, need: Threshold, term, n_rows: int | None = None) -> DataFrame:
     """All overlaps from one join on the feature, for data whose features stay small."""
     sized = rows.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("n"))
-    x = spread(rows.join(sized, "id"))
+    x = spread(salted_join(rows, sized, ["id"], rows=n_rows))
     p = x.select("f", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("n").alias("na"))
     q = x.select("f", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("n").alias("nb"))
     fits = need.sizes(F.least("na", "nb"), F.greatest("na", "nb"))
@@ -158,19 +158,21 @@ def overlaps(rows: DataFrame, need: Threshold, direct: bool | None = None) -> Da
     """
     rows = checkpointed(rows)
     term = (lambda p, q: p * q) if need.product else (lambda p, q: F.least(p * p, q * q))
+    n_rows = None
     if direct is None:
         n = F.col("count").cast("double")
         cost = rows.groupBy("f").count().agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
+        n_rows = int(cost.rows or 0)
         direct = (cost.pairs or 0.0) <= max(SMALL_PAIRS, PAIRS_PER_ROW * (cost.rows or 0.0))
     if direct:
-        return _joined_directly(rows, need, term)
+        return _joined_directly(rows, need, term, n_rows)
     # The marked rows and the candidates are read more than once below: write each once.
-    x = checkpointed(index_rows(rows, need))
+    x = checkpointed(index_rows(rows, need, n_rows=n_rows))
     rest = x.groupBy("id").agg(
         F.sum(F.when(~F.col("short"), F.col("_w2")).otherwise(0.0)).alias("rs"),
         F.sum(F.when(~F.col("long"), F.col("_w2")).otherwise(0.0)).alias("rl"),
     )
-    x = x.drop("_w2").join(rest, "id")
+    x = salted_join(x.drop("_w2"), rest, ["id"], rows=n_rows)
     by_feature = spread(x)
     small = by_feature.filter("short").select("f", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("n").alias("nx"), F.col("rs").alias("rx"))
     large = by_feature.filter("long").select("f", F.col("id").alias("y"), F.col("w").alias("wy"), F.col("n").alias("ny"), F.col("rl").alias("ry"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import order_key
 from .edges import mirror
-from .scale import cut_points, dense_index, range_bucket, ranked_by_value, running_sum
+from .scale import cut_points, dense_index, range_bucket, ranked_by_value, running_sum, salted_join
 
 
 def top_per_group(df: DataFrame, keys, order, n: int) -> DataFrame:
@@ -70,18 +70,19 @@ def rank_novel(pred: DataFrame, cuts=None) -> DataFrame:
     return ranked_by_value(novel, ["fold"], "score", order_key("", "src", "dst"), cuts=cuts)
 
 
-def group_median(df: DataFrame, group: str, value: str) -> DataFrame:
+def group_median(df: DataFrame, group, value: str) -> DataFrame:
     """Exact median per group from value counts; no group is collected."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    group = [group] if isinstance(group, str) else list(group)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
     cuts = cut_points(df, value)
-    upto = running_sum(counts, [group], [value], range_bucket(F.col(value), cuts), {"_upto": F.col("_n")})
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
+    upto = running_sum(counts, group, [value], range_bucket(F.col(value), cuts), {"_upto": F.col("_n")})
+    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     lo, hi = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
-    x = upto.join(totals, group)
+    x = salted_join(upto, totals, group)
     hit_lo = (F.col("_upto") >= lo) & (F.col("_upto") - F.col("_n") < lo)
     hit_hi = (F.col("_upto") >= hi) & (F.col("_upto") - F.col("_n") < hi)
     mid = (F.max(F.when(hit_lo, F.col(value))) + F.max(F.when(hit_hi, F.col(value)))) / 2
-    return x.filter(hit_lo | hit_hi).groupBy(group).agg(mid.alias("median"))
+    return x.filter(hit_lo | hit_hi).groupBy(*group).agg(mid.alias("median"))
 
 
 def order_by_median(df: DataFrame, group: str, value: str) -> DataFrame:

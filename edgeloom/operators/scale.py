@@ -9,6 +9,7 @@ that holds a third of the table is spread over all of its buckets.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -69,7 +70,8 @@ def salted_join(left: DataFrame, right: DataFrame, on, how: str = "inner", hot_r
     """Equi-join that splits the left rows of hot keys and copies their right rows.
 
     Keys with more than ``hot_rows`` left rows are spread over ``ceil(n / hot_rows)``
-    salts. At most ``|left| / hot_rows`` keys can be hot, so the hot-key table is small.
+    salts. At most ``|left| / hot_rows`` keys can be hot: that bounds the hot-key table,
+    which is therefore broadcast. Rows with a NULL key match nothing and are spread too.
     Left rows keep their matches exactly (inner, left, left_semi or left_anti). If the
     left side is known to have at most ``hot_rows`` rows, nothing can be hot.
     """
@@ -80,7 +82,9 @@ def salted_join(left: DataFrame, right: DataFrame, on, how: str = "inner", hot_r
         left.groupBy(*on).count().filter(F.col("count") > hot_rows)
         .select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
     )
-    spread = F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("_salts"), F.lit(1)))
+    hot = F.broadcast(hot)
+    unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    spread = F.pmod(F.xxhash64(*left.columns), F.when(unmatched, 4096).otherwise(F.coalesce(F.col("_salts"), F.lit(1))))
     salted = left.join(hot, on, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
     copies = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))

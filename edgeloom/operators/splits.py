@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_bucket, digest_int, order_key
 from .edges import band_join, mirror, stack_labels
-from .scale import checkpointed, dense_index, ranked, ranked_by_value, running_sum
+from .scale import checkpointed, dense_index, ranked, ranked_by_value, running_sum, salted_join
 
 # Primes above 2^31, so each is coprime to any smaller number of targets.
 STEP_PRIMES = (
@@ -39,7 +39,7 @@ def negatives_per_drug(pos: DataFrame, targets: DataFrame, ratio: int = 1, seed:
     own = pos.withColumn("_k", order_key(seed, "src", "dst"))
     own = ranked(own, ["src"], ["_k", "dst"], digest_bucket(F.col("_k")), "r")
     deg = pos.groupBy("src").agg(F.count("*").alias("deg"))
-    x = own.select("src", (F.col("r") - 1).alias("r")).join(deg, "src")
+    x = salted_join(own.select("src", (F.col("r") - 1).alias("r")), deg, ["src"], rows=pos.count())
     x = x.withColumn("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ratio)), lambda m: F.col("r") + m * F.col("deg"))))
     x = x.filter(F.col("i") < n).select("src", "deg", "i")
     key = order_key(seed, "src")
@@ -160,7 +160,7 @@ def folds_sp(pairs: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
     x = pairs.withColumn("_k", order_key(seed, "src", "dst"))
     x = ranked(x, ["src"], ["_k", "dst"], digest_bucket(F.col("_k")), "_r")
     start = _drug_starts(pairs, seed)
-    return x.join(start, "src").withColumn("fold", ((F.col("_start") + F.col("_r") - 1) % n).cast("int")).drop("_k", "_r", "_start")
+    return salted_join(x, start, ["src"]).withColumn("fold", ((F.col("_start") + F.col("_r") - 1) % n).cast("int")).drop("_k", "_r", "_start")
 
 
 def _drug_starts(pairs: DataFrame, seed) -> DataFrame:
@@ -177,7 +177,7 @@ def folds_by_entity(pairs: DataFrame, entity: str, n: int = 10, seed: int = 0) -
     """
     deg = pairs.groupBy(entity).agg(F.count("*").alias("_d"))
     rank = ranked_by_value(deg, [], "_d", order_key(seed, entity), "_r")
-    return pairs.join(rank.select(entity, ((F.col("_r") - 1) % n).cast("int").alias("fold")), entity)
+    return salted_join(pairs, rank.select(entity, ((F.col("_r") - 1) % n).cast("int").alias("fold")), [entity])
 
 
 def folds_sd(pairs: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
@@ -309,7 +309,7 @@ def kfold_contiguous(df: DataFrame, k: int, seed: int = 0, ids=("src", "dst")) -
 def kfold_entity(df: DataFrame, entity: str, k: int, seed: int = 0) -> DataFrame:
     """All rows of an entity to one fold by md5 rank of the entity (new-drug setting)."""
     ids = df.select(entity).distinct()
-    return df.join(kfold(ids, k, seed, ids=(entity,)), entity)
+    return salted_join(df, kfold(ids, k, seed, ids=(entity,)), [entity])
 
 
 def oversample(df: DataFrame, label: str = "label", seed: int = 0, ids=("src", "dst")) -> DataFrame:
@@ -321,7 +321,9 @@ def oversample(df: DataFrame, label: str = "label", seed: int = 0, ids=("src", "
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     size = counts.agg(F.max("_n").alias("_max"))
     x = df.withColumn("_k", order_key(seed, *ids))
-    x = ranked(x, [label], ["_k", *ids], digest_bucket(F.col("_k"), 3), "_r").join(counts, label).join(F.broadcast(size))
+    x = ranked(x, [label], ["_k", *ids], digest_bucket(F.col("_k"), 3), "_r")
+    # Two classes: the counts are two rows.
+    x = x.join(F.broadcast(counts), label).join(F.broadcast(size))
     times = F.floor((F.col("_max") - F.col("_r")) / F.col("_n")) + 1
     return x.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_k", "_r", "_n", "_max")
 

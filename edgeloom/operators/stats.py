@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 from .edges import undirected
 from .graph import component_sizes, connected_components
+from .rank import group_median
+from .scale import salted_join
 
-_HOW = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min, "median": F.median}
+_HOW = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
 
 
 def collapse_pairs(df: DataFrame, keys, value: str, how: str = "sum", first=(), order: str | None = None) -> DataFrame:
-    """One row per pair: the value reduced by ``how``, other columns of the first row by ``order``."""
+    """One row per pair: the value reduced by ``how``, other columns of the first row by ``order``.
+
+    ``how`` is sum, avg, max, min or median.
+    """
     picks = [F.min_by(c, order).alias(c) for c in first]
+    if how == "median":
+        out = group_median(df, list(keys), value).withColumnRenamed("median", value)
+        return out.join(df.groupBy(*keys).agg(*picks), list(keys)) if picks else out
     return df.groupBy(*keys).agg(_HOW[how](value).alias(value), *picks)
 
 
@@ -40,18 +48,23 @@ def term_frequency(events: DataFrame, cases: DataFrame, min_n: int = 5, max_f: f
 
 def drug_profile(case_drug: DataFrame, case_term: DataFrame, freq: DataFrame) -> DataFrame:
     """(drug, term, f, bit): terms reported in any case of the drug, with their global frequency."""
-    pairs = case_drug.select("case", "drug").distinct().join(case_term.select("case", "term").distinct(), "case")
-    cells = pairs.select("drug", "term").distinct().join(freq.select("term", "f"), "term")
+    # Terms without a frequency are left out before the wide join.
+    terms = salted_join(case_term.select("case", "term").distinct(), freq.select("term", "f"), ["term"])
+    pairs = salted_join(case_drug.select("case", "drug").distinct(), terms, ["case"])
+    cells = pairs.select("drug", "term", "f").distinct()
     return cells.select("drug", "term", "f", (F.col("f") > 0).cast("int").alias("bit"))
 
 
-def collect_terms(df: DataFrame, key: str, term: str, where: Column, n_parts: int = 0) -> DataFrame:
-    """Sorted distinct terms per id; ``n_parts`` > 0 spreads a long list over that many rows."""
+def collect_terms(df: DataFrame, key: str, term: str, where: Column, chunk: int = 10_000) -> DataFrame:
+    """Distinct terms per id as sorted lists (key, part, terms).
+
+    An id of more than ``chunk`` terms has several lists, told apart by ``part``.
+    """
     kept = df.filter(where).select(key, term).distinct()
-    if n_parts:
-        part = F.pmod(F.xxhash64(term), F.lit(n_parts)).cast("int")
-        return kept.groupBy(key, part.alias("part")).agg(F.array_sort(F.collect_list(term)).alias("terms"))
-    return kept.groupBy(key).agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    counts = kept.groupBy(key).agg(F.ceil(F.count("*") / chunk).alias("_parts"))
+    part = F.pmod(F.xxhash64(term), F.col("_parts")).cast("int")
+    split = salted_join(kept, counts, [key]).withColumn("part", part)
+    return split.groupBy(key, "part").agg(F.array_sort(F.collect_list(term)).alias("terms"))
 
 
 # -- categories -------------------------------------------------------------
@@ -63,7 +76,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 def collapse_rare(df: DataFrame, col: str, min_n: int = 10, other: str = "other") -> DataFrame:
     """Categories seen fewer than ``min_n`` times become ``other``."""
     counts = df.groupBy(col).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_n).select(col, F.lit(True).alias("_keep"))
-    return df.join(counts, col, "left").withColumn(col, F.when(F.col("_keep"), F.col(col)).otherwise(F.lit(other))).drop("_keep")
+    return salted_join(df, counts, [col], "left").withColumn(col, F.when(F.col("_keep"), F.col(col)).otherwise(F.lit(other))).drop("_keep")
 
 
 def mean_filter(df: DataFrame, key: str, value: str, gt: float = 70.0) -> DataFrame:

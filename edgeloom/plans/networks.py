@@ -266,7 +266,7 @@ def _(spark, sf):
 
 @query("collect_terms", _EV + "SELECT drug, string_agg(term, ',' ORDER BY term) AS terms FROM (SELECT DISTINCT drug, term FROM ev WHERE value > 30) GROUP BY 1")
 def _(spark, sf):
-    return A.collect_terms(_events(spark, sf), "drug", "term", F.col("value") > 30).withColumn("terms", F.array_join("terms", ","))
+    return A.collect_terms(_events(spark, sf), "drug", "term", F.col("value") > 30).withColumn("terms", F.array_join("terms", ",")).drop("part")
 
 
 @query("contingency", "SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2")

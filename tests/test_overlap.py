@@ -47,7 +47,7 @@ def way(request, monkeypatch):
     # Small index limits so that the fixture's features count as warm and hot.
     real, index = OV.overlaps, OV.index_rows
     monkeypatch.setattr(OV, "overlaps", lambda rows, need: real(rows, need, direct=request.param))
-    monkeypatch.setattr(OV, "index_rows", lambda rows, need: index(rows, need, cold=2, warm=16))
+    monkeypatch.setattr(OV, "index_rows", lambda rows, need, n_rows=None: index(rows, need, cold=2, warm=16))
 
 
 @pytest.mark.parametrize("t", [0.2, 0.5, 0.9])
