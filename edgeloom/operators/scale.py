@@ -20,7 +20,12 @@ HOT_ROWS = 1_000_000
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage named by ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark) -> str:
+    """The folder for checkpoints and other intermediate files, shared by all executors."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +34,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="edgeloom-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def _bucketed(df, groups, bucket, measures):

@@ -36,20 +36,20 @@ def read_quarterly(spark: SparkSession, path, kind: str) -> DataFrame:
     """Lines of ``$``-delimited report files as (year, quarter, fields).
 
     ``kind`` is the file stem (``REAC`` or ``DRUG``), in any case; year and quarter come
-    from the name (``REAC12Q3``). Drug files are ISO-8859-1. Header lines are left out.
+    from the last part of the path that carries them (``REAC12Q3``). Drug files are
+    ISO-8859-1. Header lines are left out.
     """
     encoding = "ISO-8859-1" if kind.upper() == "DRUG" else "UTF-8"
-    glob = "".join(f"[{c.upper()}{c.lower()}]" for c in kind) + "*.[tT][xX][tT]"
     # A separator that cannot occur keeps the whole line in one column.
     raw = (
         spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("escape", "").option("encoding", encoding)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", glob).csv(path)
-        .select("line", F.col("_metadata.file_name").alias("_file"))
+        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][xX][tT]").csv(path)
+        .select("line", F.upper(F.regexp_extract(F.col("_metadata.file_path"), r"(?i).*(" + kind + r"\d{2}Q\d)", 1)).alias("_file"))
     )
-    year = F.regexp_extract("_file", r"(\d{2})[qQ]\d", 1)
-    quarter = F.regexp_extract("_file", r"\d{2}[qQ](\d)", 1)
+    year = F.regexp_extract("_file", r"(\d{2})Q\d$", 1)
+    quarter = F.regexp_extract("_file", r"Q(\d)$", 1)
     head = F.lower(F.col("line")).rlike(r"^(isr|primaryid|caseid)\$")
-    rows = raw.filter(F.col("line").isNotNull() & ~head)
+    rows = raw.filter((F.col("_file") != "") & F.col("line").isNotNull() & ~head)
     return rows.select(
         (F.lit(2000) + F.when(year != "", year.cast("int"))).alias("year"), F.when(quarter != "", quarter.cast("int")).alias("quarter"),
         F.split(F.trim(F.regexp_replace("line", r"\r$", "")), r"\$").alias("fields"),
