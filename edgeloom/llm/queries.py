@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, verdicts
+from .packing import packed
+from .sharding import sharded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +45,15 @@ def op1_decontaminate(spark, sf):
     c = F.col("contamination")
     items = c["items"]
     return found.select("doc_id", c["n_words"].alias("n_words"), c["n_hit"].alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op2_pack")
+def op2_pack(spark, sf):
+    import public_tokenizers
+
+    return packed(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_shard")
+def op8_shard(spark, sf):
+    return sharded(read(spark, sf, "documents"), 8)
