@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, verdicts
+from .neardup import components, fingerprints
 from .packing import packed
 from .sharding import sharded
 
@@ -57,3 +58,9 @@ def op2_pack(spark, sf):
 @query("op8_shard")
 def op8_shard(spark, sf):
     return sharded(read(spark, sf, "documents"), 8)
+
+
+@query("op4_simhash")
+def op4_simhash(spark, sf):
+    found = components(fingerprints(read(spark, sf, "documents")))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
