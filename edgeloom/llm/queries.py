@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, verdicts
+from .langid import identify, learned_from, train
 from .neardup import components, fingerprints
 from .packing import packed
 from .sharding import sharded
@@ -64,3 +65,10 @@ def op8_shard(spark, sf):
 def op4_simhash(spark, sf):
     found = components(fingerprints(read(spark, sf, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_language")
+def op7_language(spark, sf):
+    docs = read(spark, sf, "documents")
+    models = train(docs.filter(learned_from(F.col("doc_id"))))
+    return identify(docs.select("doc_id", "text"), models).select("doc_id", (~learned_from(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
