@@ -10,6 +10,7 @@ from .langid import identify, learned_from, train
 from .neardup import components, fingerprints
 from .packing import packed
 from .sharding import sharded
+from .urlfilter import judge, rules_table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +73,18 @@ def op7_language(spark, sf):
     docs = read(spark, sf, "documents")
     models = train(docs.filter(learned_from(F.col("doc_id"))))
     return identify(docs.select("doc_id", "text"), models).select("doc_id", (~learned_from(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op6_urls", """
+    WITH a AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^([^?#]*)', 1) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          substr(rest, length(regexp_extract(rest, '^([^/]*)', 1)) + 1) AS path FROM a),
+    r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+    m AS (SELECT p.page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC) AS n
+          FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+    SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.n = 1""")
+def op6_urls(spark, sf):
+    return judge(read(spark, sf, "pages"), rules_table(spark, RULES))
