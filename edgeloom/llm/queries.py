@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination, verdicts
 from .langid import identify, learned_from, train
+from .media import read_media, store_media
 from .neardup import components, fingerprints
 from .packing import packed
 from .sharding import sharded
@@ -88,3 +89,10 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
     SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.n = 1""")
 def op6_urls(spark, sf):
     return judge(read(spark, sf, "pages"), rules_table(spark, RULES))
+
+
+@query("op5_media")
+def op5_media(spark, sf):
+    found = read_media(store_media(read(spark, sf, "documents")))
+    shots = F.array_join(F.transform("clips", lambda c: F.concat_ws(":", c["first_frame"].cast("string"), c["frames"].cast("string"))), ",")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.lit("shots="), F.size("clips").cast("string"), F.lit(";"), shots).alias("feature"))
