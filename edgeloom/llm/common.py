@@ -17,11 +17,23 @@ LOWER[65:91] += 32
 LOWER_BYTES = LOWER.tobytes()
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage, is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows as a Parquet table in the shared folder: cuts the lineage, is computed once.
+
+    The shuffle files of the job that writes it go when it ends, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

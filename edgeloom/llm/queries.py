@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination, verdicts
 from .langid import identify, learned_from, train
+from .lines import dedup_lines
 from .media import read_media, store_media
 from .neardup import components, fingerprints
 from .packing import packed
@@ -96,3 +97,23 @@ def op5_media(spark, sf):
     found = read_media(store_media(read(spark, sf, "documents")))
     shots = F.array_join(F.transform("clips", lambda c: F.concat_ws(":", c["first_frame"].cast("string"), c["frames"].cast("string"))), ",")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.concat(F.lit("shots="), F.size("clips").cast("string"), F.lit(";"), shots).alias("feature"))
+
+
+@query("op9_lines", r"""
+    WITH l AS (SELECT doc_id, p - 1 AS p, list_filter(string_split_regex(string_split(text, chr(10))[p], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+               FROM (SELECT doc_id, text, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS p FROM documents)),
+    d AS (SELECT w, min((doc_id, p)) AS first FROM l WHERE len(w) > 0 GROUP BY w),
+    n AS (SELECT first, w, len(w) AS n, unnest(range(1, 1 + len(w))) AS i FROM d WHERE len(w) >= 8),
+    k AS (SELECT first, md5(array_to_string(list_concat(w[1 : i - 1], w[i + 1 :]), ' ')) AS t, n, i FROM n),
+    g AS (SELECT t, n, i, min(first) AS m FROM k GROUP BY ALL),
+    s AS (SELECT first, md5(array_to_string(w, ' ')) AS t FROM d WHERE len(w) >= 8),
+    q AS (SELECT k.first FROM k JOIN g USING (t, n, i) WHERE g.m < k.first UNION SELECT k.first FROM k JOIN s USING (t) WHERE s.first < k.first
+          UNION SELECT s.first FROM s JOIN k USING (t) WHERE k.first < s.first),
+    f AS (SELECT l.doc_id, l.p, CASE WHEN len(l.w) = 0 THEN 0 WHEN d.first <> (l.doc_id, l.p) THEN 1 WHEN q.first IS NOT NULL THEN 2 ELSE 0 END AS fate
+          FROM l LEFT JOIN d ON d.w = l.w LEFT JOIN q ON q.first = d.first)
+    SELECT x.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE fate = 1) AS n_exact, count(*) FILTER (WHERE fate = 2) AS n_near,
+           sha256(coalesce(string_agg(string_split(x.text, chr(10))[f.p + 1], chr(10) ORDER BY f.p) FILTER (WHERE fate = 0), '')) AS kept_sha256
+    FROM documents x JOIN f USING (doc_id) GROUP BY x.doc_id""")
+def op9_lines(spark, sf):
+    out = dedup_lines(read(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
