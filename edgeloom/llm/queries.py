@@ -12,6 +12,7 @@ from .media import read_media, store_media
 from .neardup import components, fingerprints
 from .packing import packed
 from .sharding import sharded
+from .suffixes import dedup_substrings
 from .urlfilter import judge, rules_table
 
 QUERIES: dict = {}
@@ -117,3 +118,8 @@ def op5_media(spark, sf):
 def op9_lines(spark, sf):
     out = dedup_lines(read(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_substrings")
+def op3_substrings(spark, sf):
+    return dedup_substrings(read(spark, sf, "documents"), texts=False).drop("kept")
