@@ -13,6 +13,7 @@ from .neardup import components, fingerprints
 from .packing import packed
 from .sharding import sharded
 from .suffixes import dedup_substrings
+from .suffixtree import score
 from .urlfilter import judge, rules_table
 
 QUERIES: dict = {}
@@ -123,3 +124,8 @@ def op9_lines(spark, sf):
 @query("op3_substrings")
 def op3_substrings(spark, sf):
     return dedup_substrings(read(spark, sf, "documents"), texts=False).drop("kept")
+
+
+@query("op10_lm_scores")
+def op10_lm_scores(spark, sf):
+    return score(read(spark, sf, "documents"))
