@@ -154,6 +154,16 @@ def hetero_counts(edges: DataFrame) -> DataFrame:
     )
 
 
+def restricted(networks: dict) -> DataFrame:
+    """Typed union (etype, src, dst) of {etype: (edges, side, ids)}: an edge stays if its ``side`` is listed (all stay where that is None)."""
+    out = None
+    for etype, (edges, side, ids) in networks.items():
+        kept = edges if side is None else edges.join(ids.select(F.col("id").alias(side)), side, "left_semi")
+        rows = kept.select(F.lit(etype).alias("etype"), "src", "dst").distinct()
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def hetero_stats(edges: DataFrame, node_types: DataFrame) -> DataFrame:
     """Union-graph edges, components and E / (Πn − E) over the node counts per type.
 

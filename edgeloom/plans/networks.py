@@ -39,34 +39,34 @@ def _(spark, sf):
 @query(
     "exclusive_overlaps",
     with_views("affinity") + """SELECT datasets, count(*) AS n FROM (SELECT src, string_agg(dataset, '&' ORDER BY dataset) AS datasets, count(*) AS k
-    FROM (SELECT DISTINCT src, dataset FROM affinity WHERE y >= 49) GROUP BY src) WHERE k <= 2 GROUP BY datasets""",
+    FROM (SELECT DISTINCT src || '-' || dst AS src, dataset FROM affinity) GROUP BY src) WHERE k <= 2 GROUP BY datasets""",
 )
 def _(spark, sf):
-    a = T.affinity(spark, sf).filter("y >= 49")
-    return E.exclusive_overlaps(a.select(F.col("src").alias("id"), "dataset"))
+    return E.exclusive_overlaps(T.affinity(spark, sf).select(F.concat_ws("-", "src", "dst").alias("id"), "dataset"))
 
 
-def _drugs_of(spark, sf, priority):
-    return T.affinity(spark, sf).filter((F.col("dataset") == priority) & (F.col("y") < 10)).select(F.col("src").alias("id")).distinct()
+def _pairs_of(spark, sf, priority):
+    """The pairs of a data set as ids."""
+    return T.affinity(spark, sf).filter(F.col("dataset") == priority).select(F.concat_ws("-", "src", "dst").alias("id")).distinct()
 
 
-_SETS = with_views("affinity") + ", a AS (SELECT DISTINCT src AS id FROM affinity WHERE dataset = '1-URGENT' AND y < 10), b AS (SELECT DISTINCT src AS id FROM affinity WHERE dataset = '5-LOW' AND y < 10), c AS (SELECT DISTINCT src AS id FROM affinity WHERE dataset = '2-HIGH' AND y < 10) "
+_SETS = with_views("affinity") + "".join(f", {v} AS (SELECT DISTINCT src || '-' || dst AS id FROM affinity WHERE dataset = '{p}')" for v, p in (("a", "1-URGENT"), ("b", "5-LOW"), ("c", "2-HIGH"))) + " "
 _SETS = _SETS.replace(") , a AS", "), a AS")
 
 
 @query("common_ids", _SETS + "SELECT id FROM a INTERSECT SELECT id FROM b INTERSECT SELECT id FROM c")
 def _(spark, sf):
-    return E.common_ids(*[_drugs_of(spark, sf, p) for p in ("1-URGENT", "5-LOW", "2-HIGH")])
+    return E.common_ids(*[_pairs_of(spark, sf, p) for p in ("1-URGENT", "5-LOW", "2-HIGH")])
 
 
 @query("difference", _SETS + "SELECT id FROM a EXCEPT SELECT id FROM b")
 def _(spark, sf):
-    return E.difference(_drugs_of(spark, sf, "1-URGENT"), _drugs_of(spark, sf, "5-LOW"))
+    return E.difference(_pairs_of(spark, sf, "1-URGENT"), _pairs_of(spark, sf, "5-LOW"))
 
 
 @query("symmetric_difference", _SETS + "(SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL (SELECT id FROM b EXCEPT SELECT id FROM a)")
 def _(spark, sf):
-    return E.symmetric_difference(_drugs_of(spark, sf, "1-URGENT"), _drugs_of(spark, sf, "5-LOW"))
+    return E.symmetric_difference(_pairs_of(spark, sf, "1-URGENT"), _pairs_of(spark, sf, "5-LOW"))
 
 
 _PAIRS = ", pairs AS (SELECT DISTINCT src, dst FROM affinity) "
@@ -109,30 +109,32 @@ def _(spark, sf):
 
 @query(
     "band_join",
-    with_views("strong", "dist") + """SELECT src, dst, cand, d FROM strong JOIN (SELECT a, b AS cand, d FROM dist UNION ALL SELECT b, a, d FROM dist) m ON dst = m.a WHERE d > 2.5 AND d < 4.6""",
+    with_views("inter", "dist") + """SELECT src, dst, cand, d FROM inter JOIN (SELECT a, b AS cand, d FROM dist UNION ALL SELECT b, a, d FROM dist) m ON dst = m.a WHERE d > 2.5 AND d < 4.6""",
 )
 def _(spark, sf):
-    return E.band_join(T.strong_interactions(spark, sf), T.target_distance(spark, sf), 2.5, 4.6)
+    return E.band_join(T.interactions(spark, sf), T.target_distance(spark, sf), 2.5, 4.6)
 
 
 @query(
     "symbol_overlap",
-    with_views("affinity") + """, syms AS (SELECT DISTINCT dst AS id, l_orderkey AS sym FROM affinity WHERE y >= 45)
+    with_views("affinity") + """, syms AS (SELECT DISTINCT dst AS id, l_orderkey AS sym FROM affinity)
     SELECT DISTINCT least(x.id, z.id) AS src, greatest(x.id, z.id) AS dst FROM syms x JOIN orders ON x.sym = o_orderkey JOIN syms z ON z.sym = o_orderkey + 1 WHERE x.id <> z.id""",
 )
 def _(spark, sf):
-    syms = T.affinity(spark, sf).filter("y >= 45").select(F.col("dst").alias("id"), F.col("l_orderkey").alias("sym"))
+    syms = T.affinity(spark, sf).select(F.col("dst").alias("id"), F.col("l_orderkey").alias("sym"))
     rows = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("sym1"), (F.col("o_orderkey") + 1).alias("sym2"))
     return E.symbol_overlap(syms, rows)
 
 
 @query(
     "annotate",
-    with_views("strong") + """SELECT s.src, s.dst, COALESCE(p_type, '-') AS p_type FROM strong s LEFT JOIN (SELECT * FROM part WHERE p_size > 25) ON dst = 'T'||p_partkey""",
+    with_views("inter") + """SELECT s.src, s.dst, COALESCE(p_type, '-') AS p_type FROM inter s LEFT JOIN
+    (SELECT 'T'||(p_partkey // 2 * 2) AS k, arg_min(p_type, p_partkey) AS p_type FROM part WHERE p_size > 25 GROUP BY 1) ON dst = k""",
 )
 def _(spark, sf):
-    ann = T.table(spark, sf, "part").filter("p_size > 25").select(F.concat(F.lit("T"), "p_partkey").alias("dst"), "p_type", "p_partkey")
-    return E.annotate(T.strong_interactions(spark, sf), ann, "dst", ["p_type"], "p_partkey").select("src", "dst", "p_type")
+    # Two parts share a key: the first annotation counts.
+    ann = T.table(spark, sf, "part").filter("p_size > 25").select(F.concat(F.lit("T"), F.expr("p_partkey div 2 * 2")).alias("dst"), "p_type", "p_partkey")
+    return E.annotate(T.interactions(spark, sf), ann, "dst", ["p_type"], "p_partkey").select("src", "dst", "p_type")
 
 
 def _vector_pairs(spark, sf):
@@ -285,22 +287,22 @@ def _(spark, sf):
 
 
 # Component of every node as the smallest id it can reach.
-_REACH = "both_ways AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong), reach(id, other) AS (SELECT src, src FROM both_ways UNION SELECT r.id, b.dst FROM reach r JOIN both_ways b ON r.other = b.src), comp AS (SELECT id, min(other) AS component FROM reach GROUP BY 1)"
-_COMP = with_views("strong", recursive=True, extra=_REACH)
+# Every customer with its orders is one; customers come first in the order of ids.
+_COMP = with_views("stars") + ", comp AS (SELECT DISTINCT src AS id, src AS component FROM stars UNION ALL SELECT dst, src FROM stars) "
 
 
 @query("connected_components", _COMP + "SELECT id, component FROM comp")
 def _(spark, sf):
     from ..operators.graph import connected_components
 
-    return connected_components(T.strong_interactions(spark, sf))
+    return connected_components(T.order_edges(spark, sf))
 
 
 @query("component_sizes", _COMP + "SELECT size, count(*) AS n FROM (SELECT component, count(*) AS size FROM comp GROUP BY 1) GROUP BY 1")
 def _(spark, sf):
     from ..operators.graph import component_sizes, connected_components
 
-    return A.tabulate(component_sizes(connected_components(T.strong_interactions(spark, sf))), "size")
+    return A.tabulate(component_sizes(connected_components(T.order_edges(spark, sf))), "size")
 
 
 @query(
@@ -308,10 +310,10 @@ def _(spark, sf):
     _COMP + """SELECT ns AS n_src, nd AS n_dst, ns + nd AS n_nodes, m AS n_edges, round(200.0 * m / ((ns + nd) * (ns + nd - 1)), 2) AS density,
     round(CAST(m AS DOUBLE) / ns, 6) AS mean_degree_src, round(CAST(m AS DOUBLE) / nd, 6) AS mean_degree_dst,
     (SELECT count(DISTINCT component) FROM comp) AS n_components, (SELECT max(size) FROM (SELECT count(*) AS size FROM comp GROUP BY component)) AS largest_component
-    FROM (SELECT count(DISTINCT src) AS ns, count(DISTINCT dst) AS nd, count(*) AS m FROM strong)""",
+    FROM (SELECT count(DISTINCT src) AS ns, count(DISTINCT dst) AS nd, count(*) AS m FROM stars)""",
 )
 def _(spark, sf):
-    return A.dataset_stats(T.strong_interactions(spark, sf))
+    return A.dataset_stats(T.order_edges(spark, sf))
 
 
 def _typed(spark, sf):
@@ -327,15 +329,42 @@ def _(spark, sf):
     return A.hetero_counts(_typed(spark, sf))
 
 
+def _side_networks(spark, sf):
+    """Six typed networks around the interactions, with side edges restricted to their drugs and targets where one of those is meant."""
+    dti = T.interactions(spark, sf)
+    drugs, targets = dti.select(F.col("src").alias("id")).distinct(), dti.select(F.col("dst").alias("id")).distinct()
+    orders = T.order_edges(spark, sf)
+    nation = T.geography(spark, sf).filter(F.col("src").startswith("D"))
+    brand = T.table(spark, sf, "part").select(F.concat(F.lit("T"), "p_partkey").alias("src"), "p_brand")
+    nets = {
+        "dti": (dti, None), "drug_se": (T.side_effects(spark, sf), "src"), "drug_order": (orders, "src"), "drug_nation": (nation, "src"),
+        "target_supplier": (T.supply(spark, sf), "src"), "target_brand": (brand.select("src", F.col("p_brand").alias("dst")), "src"),
+    }
+    return A.restricted({k: (e, side, targets if k.startswith("target") else drugs) for k, (e, side) in nets.items()})
+
+
+_SIX = """six AS (SELECT 'dti' AS etype, src, dst FROM inter UNION ALL SELECT 'drug_se', src, dst FROM se WHERE src IN (SELECT src FROM inter) UNION ALL SELECT 'drug_order', src, dst FROM stars WHERE src IN (SELECT src FROM inter)
+    UNION ALL SELECT 'drug_nation', src, dst FROM geo WHERE src LIKE 'D%' AND src IN (SELECT src FROM inter) UNION ALL SELECT 'target_supplier', src, dst FROM supply WHERE src IN (SELECT dst FROM inter)
+    UNION ALL SELECT 'target_brand', 'T'||p_partkey, p_brand FROM part WHERE 'T'||p_partkey IN (SELECT dst FROM inter))"""
+
+
+@query("hetero_edges", with_views("inter", "se", "stars", "geo", "supply", extra=_SIX) + "SELECT etype, count(*) AS n_edges, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM (SELECT DISTINCT * FROM six) GROUP BY 1")
+def _(spark, sf):
+    e = _side_networks(spark, sf)
+    return e.groupBy("etype").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"))
+
+
 @query(
     "hetero_stats",
-    with_views("strong", recursive=True, extra=_REACH + ", k AS (SELECT (SELECT count(DISTINCT src) FROM strong) AS nd, (SELECT count(DISTINCT dst) FROM strong) AS nt, (SELECT count(*) FROM strong) AS m)")
-    + "SELECT nd + nt AS n_nodes, m AS n_edges, (SELECT count(DISTINCT component) FROM comp) AS n_components, round(m / CAST(nd * nt - m AS DOUBLE), 6) AS sparsity FROM k",
+    # What the least id reaches is one component; on these data that is all there is.
+    with_views("inter", "se", "stars", "geo", "supply", recursive=True, extra=_SIX + """, bw AS (SELECT src, dst FROM six UNION SELECT dst, src FROM six), ids AS (SELECT DISTINCT src AS id FROM bw),
+    reach(id) AS (SELECT min(id) FROM ids UNION SELECT bw.dst FROM reach JOIN bw ON reach.id = bw.src), n AS (SELECT substr(id, 1, 1) AS t, count(*) AS n FROM ids GROUP BY 1), m AS (SELECT count(*) AS m FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM six))""")
+    + "SELECT (SELECT count(*) FROM ids) AS n_nodes, m AS n_edges, CASE WHEN (SELECT count(*) FROM reach) = (SELECT count(*) FROM ids) THEN 1 END AS n_components, round(m / ((SELECT product(CAST(n AS DOUBLE)) FROM n) - m), 12) AS sparsity FROM m",
 )
 def _(spark, sf):
-    s = T.strong_interactions(spark, sf)
-    nodes = s.select(F.lit("drug").alias("ntype"), F.col("src").alias("id")).unionByName(s.select(F.lit("target").alias("ntype"), F.col("dst").alias("id")))
-    return A.hetero_stats(s.withColumn("etype", F.lit("dti")), nodes).withColumn("sparsity", R6("sparsity"))
+    e = S.checkpointed(_side_networks(spark, sf))
+    ids = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return A.hetero_stats(e, ids.select(F.substring("id", 1, 1).alias("ntype"), "id")).withColumn("sparsity", F.round("sparsity", 12))
 
 
 @query("degrees", with_views("inter") + "SELECT 'src' AS side, src AS id, count(*) AS degree FROM inter GROUP BY 2 UNION ALL SELECT 'dst', dst, count(*) FROM inter GROUP BY 2")
@@ -372,9 +401,9 @@ def _(spark, sf):
     return A.band_shares(T.target_distance(spark, sf), "d")
 
 
-@query("target_multiplicity", with_views("strong") + "SELECT CASE WHEN d >= 3 THEN '3+' ELSE CAST(d AS VARCHAR) END AS targets, count(*) AS n_drugs FROM (SELECT src, count(*) AS d FROM strong GROUP BY 1) GROUP BY 1")
+@query("target_multiplicity", with_views("inter") + "SELECT CASE WHEN d >= 3 THEN '3+' ELSE CAST(d AS VARCHAR) END AS targets, count(*) AS n_drugs FROM (SELECT src, count(*) AS d FROM inter GROUP BY 1) GROUP BY 1")
 def _(spark, sf):
-    return A.target_multiplicity(T.strong_interactions(spark, sf))
+    return A.target_multiplicity(T.interactions(spark, sf))
 
 
 @query(

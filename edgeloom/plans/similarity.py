@@ -76,10 +76,12 @@ def _(spark, sf):
 
 @query(
     "profile_copies",
-    with_views("strong") + "SELECT src AS id, min(src) OVER (PARTITION BY p) AS rep FROM (SELECT src, string_agg(dst, ',' ORDER BY dst) AS p FROM strong GROUP BY 1)",
+    with_views("inter", "stars") + """, e AS (SELECT src, dst FROM inter UNION ALL SELECT dst, src FROM stars) SELECT src AS id, min(src) OVER (PARTITION BY p) AS rep FROM (SELECT src, string_agg(dst, ',' ORDER BY dst) AS p FROM e GROUP BY 1)""",
 )
 def _(spark, sf):
-    return OV.fold_copies(checkpointed(K.profiles(T.strong_interactions(spark, sf))))[1]
+    # Orders of one customer are copies of each other.
+    orders = T.order_edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return OV.fold_copies(checkpointed(K.profiles(T.interactions(spark, sf).unionByName(orders))))[1]
 
 
 # -- sequence and text kernels ----------------------------------------------
@@ -142,27 +144,27 @@ def _(spark, sf):
 
 @query(
     "annotation_ic",
-    with_views("strong") + """, cl AS (SELECT 'T'||p_partkey AS term, 'T'||p_partkey AS ancestor FROM part UNION ALL SELECT 'T'||p_partkey, p_brand FROM part UNION ALL SELECT 'T'||p_partkey, p_type FROM part),
-    f AS (SELECT DISTINCT src AS id, ancestor AS t FROM strong JOIN cl ON dst = term), ic AS (SELECT t, -ln(count(*) / CAST((SELECT count(DISTINCT id) FROM f) AS DOUBLE)) AS ic FROM f GROUP BY 1),
-    x AS (SELECT id, t, ic FROM f JOIN ic USING (t) WHERE ic >= 4.5)
+    with_views("inter") + """, cl AS (SELECT 'T'||p_partkey AS term, 'T'||p_partkey AS ancestor FROM part UNION ALL SELECT 'T'||p_partkey, p_brand FROM part UNION ALL SELECT 'T'||p_partkey, p_type FROM part),
+    f AS (SELECT DISTINCT src AS id, ancestor AS t FROM inter JOIN cl ON dst = term), ic AS (SELECT t, -ln(count(*) / CAST((SELECT count(DISTINCT id) FROM f) AS DOUBLE)) AS ic FROM f GROUP BY 1),
+    x AS (SELECT id, t, ic FROM f JOIN ic USING (t) WHERE ic >= 4.0)
     SELECT a, b, round(m / o, 6) AS s FROM (SELECT x.id AS a, y.id AS b, max(x.ic) AS m FROM x JOIN x y ON x.t = y.t AND x.id <> y.id GROUP BY 1, 2) JOIN (SELECT id, max(ic) AS o FROM x GROUP BY 1) ON a = id""",
 )
 def _(spark, sf):
     p = T.table(spark, sf, "part").select(F.concat(F.lit("T"), "p_partkey").alias("term"), "p_brand", "p_type")
     closure = p.select("term", F.explode(F.array("term", "p_brand", "p_type")).alias("ancestor"))
-    terms = T.strong_interactions(spark, sf).select(F.col("src").alias("id"), F.col("dst").alias("term"))
-    return _rounded(K.annotation_ic(terms, closure, 4.5))
+    terms = T.interactions(spark, sf).select(F.col("src").alias("id"), F.col("dst").alias("term"))
+    return _rounded(K.annotation_ic(terms, closure, 4.0))
 
 
 @query(
     "impute_profiles",
-    with_views("strong", "dsim") + """, u AS (SELECT DISTINCT src FROM inter EXCEPT SELECT src FROM strong), m AS (SELECT a AS src, b AS nb, s FROM dsim UNION ALL SELECT b, a, s FROM dsim),
-    near AS (SELECT * FROM m WHERE src IN (SELECT src FROM u) AND nb IN (SELECT src FROM strong))
-    SELECT src, dst, 1.0 AS v FROM strong UNION ALL SELECT near.src, strong.dst, round(sum(s) / any_value(t), 6) FROM near JOIN strong ON nb = strong.src JOIN (SELECT src AS k, sum(s) AS t FROM near GROUP BY 1) ON near.src = k GROUP BY 1, 2""",
+    with_views("known", "dsim") + """, u AS (SELECT DISTINCT src FROM inter EXCEPT SELECT src FROM known), m AS (SELECT a AS src, b AS nb, s FROM dsim UNION ALL SELECT b, a, s FROM dsim),
+    near AS (SELECT * FROM m WHERE src IN (SELECT src FROM u) AND nb IN (SELECT src FROM known))
+    SELECT src, dst, 1.0 AS v FROM known UNION ALL SELECT near.src, known.dst, round(sum(s) / any_value(t), 6) FROM near JOIN known ON nb = known.src JOIN (SELECT src AS k, sum(s) AS t FROM near GROUP BY 1) ON near.src = k GROUP BY 1, 2""",
 )
 def _(spark, sf):
     nodes = T.interactions(spark, sf).select(F.col("src").alias("id"))
-    return K.impute_profiles(T.strong_interactions(spark, sf), T.drug_similarity(spark, sf), nodes).withColumn("v", R6("v"))
+    return K.impute_profiles(T.known_interactions(spark, sf), T.drug_similarity(spark, sf), nodes).withColumn("v", R6("v"))
 
 
 _VP = with_views("emb") + ", vp AS (SELECT DISTINCT 'V'||l_suppkey AS a, 'V'||l_partkey AS b FROM lineitem)"
@@ -323,7 +325,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..operators.learn import node_embeddings
 
-    walks = checkpointed(G.biased_walks(T.strong_interactions(spark, sf), num_walks=2, length=5))
+    walks = checkpointed(G.biased_walks(T.interactions(spark, sf), num_walks=2, length=5))
     return node_embeddings(walks, dim=8, window=3, iterations=1)
 
 

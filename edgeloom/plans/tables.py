@@ -24,9 +24,16 @@ def interactions(spark, sf) -> DataFrame:
     return affinity(spark, sf).filter(F.col("y") < 30).select("src", "dst").distinct()
 
 
-def strong_interactions(spark, sf) -> DataFrame:
-    """The few edges of the highest affinity value: many small components."""
-    return affinity(spark, sf).filter(F.col("y") >= 50).select("src", "dst").distinct()
+def order_edges(spark, sf) -> DataFrame:
+    """(src customer, dst order): a star, and so a component, for each customer."""
+    return table(spark, sf, "orders").select(F.concat(F.lit("D"), "o_custkey").alias("src"), F.concat(F.lit("O"), "o_orderkey").alias("dst"))
+
+
+def known_interactions(spark, sf) -> DataFrame:
+    """Interactions of nine drugs in ten; the others stand for new drugs."""
+    from ..functions.hashing import order_key
+
+    return interactions(spark, sf).filter(order_key("new", "src") >= "1a")
 
 
 def side_effects(spark, sf) -> DataFrame:
@@ -78,7 +85,8 @@ _VIEWS = {
     "affinity": "SELECT 'D'||o_custkey AS src, 'T'||l_partkey AS dst, l_quantity AS y, o_orderpriority AS dataset, "
     "l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "inter": "SELECT DISTINCT src, dst FROM affinity WHERE y < 30",
-    "strong": "SELECT DISTINCT src, dst FROM affinity WHERE y >= 50",
+    "stars": "SELECT 'D'||o_custkey AS src, 'O'||o_orderkey AS dst FROM orders",
+    "known": "SELECT src, dst FROM inter WHERE md5('new|' || src) >= '1a'",
     "se": "SELECT DISTINCT 'D'||user_id AS src, 'S'||json_extract_string(props, '$.k') AS dst FROM events",
     "supply": "SELECT DISTINCT 'T'||l_partkey AS src, 'P'||l_suppkey AS dst FROM lineitem",
     "geo": "SELECT 'P'||s_suppkey AS src, 'N'||s_nationkey AS dst FROM supplier UNION ALL "
@@ -102,12 +110,12 @@ _VIEWS = {
     "dtop": "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r "
     "FROM (SELECT a, b, s FROM dsim UNION ALL SELECT b, a, s FROM dsim)) WHERE r <= 5",
     # Labelled pairs dealt to ten folds for two seeds.
-    "lab": "SELECT src, dst, max(CASE WHEN y < 30 THEN 1 ELSE 0 END) AS label FROM affinity WHERE y < 5 OR y >= 48 GROUP BY 1, 2",
+    "lab": "SELECT src, dst, max(CASE WHEN y < 30 THEN 1 ELSE 0 END) AS label FROM affinity GROUP BY 1, 2",
     "folds": "SELECT seed, src, dst, label, CAST((row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || src || '|' || dst), src, dst) - 1) % 10 AS INTEGER) AS fold "
     "FROM lab, (SELECT unnest([0, 1]) AS seed)",
 }
 _NEEDS = {
-    "inter": ["affinity"], "strong": ["affinity"], "tsim": ["affinity", "inter"], "dist": ["affinity", "inter", "tsim"], "dsim": ["affinity", "inter"],
+    "inter": ["affinity"], "known": ["affinity", "inter"], "tsim": ["affinity", "inter"], "dist": ["affinity", "inter", "tsim"], "dsim": ["affinity", "inter"],
     "ttop": ["affinity", "inter", "tsim"], "dtop": ["affinity", "inter", "dsim"], "lab": ["affinity"], "folds": ["affinity", "lab"],
 }
 
@@ -141,8 +149,8 @@ def target_distance(spark, sf) -> DataFrame:
 
 
 def labelled_pairs(spark, sf) -> DataFrame:
-    """Pairs of low (1) and high (0) affinity; a pair seen as both counts as 1."""
-    a = affinity(spark, sf).filter("y < 5 OR y >= 48")
+    """All pairs: 1 if they interact (some affinity below 30), else 0."""
+    a = affinity(spark, sf)
     return a.groupBy("src", "dst").agg(F.max((F.col("y") < 30).cast("int")).alias("label"))
 
 
