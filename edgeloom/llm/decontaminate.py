@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -190,7 +191,7 @@ def cut_spans(texts, spans):
         raw = (text or "").encode()
         _, starts, ends, _ = words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
         kept, at = [], 0
-        for s, e in cut or ():
+        for s, e in () if cut is None else cut:
             kept.append(raw[at : starts[s]])
             at = int(ends[e - 1])
         out.append(None if text is None else b"".join([*kept, raw[at:]]).decode())
@@ -203,7 +204,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", mode: s
     found = verdicts(contamination(docs, items, text=text, into=into, **options), into)
     if mode == "documents":
         return found.filter(~F.col("contaminated")).select(docs.columns)
-    cut = F.pandas_udf(lambda t, s: __import__("pandas").Series(cut_spans(t, s)), T.StringType())
+    cut = F.pandas_udf(lambda t, s: pd.Series(cut_spans(t, s)), T.StringType())
     return found.withColumn(text, cut(F.col(text), F.col(into)["spans"])).select(docs.columns)
 
 

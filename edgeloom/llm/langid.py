@@ -99,7 +99,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     sizes = rows.groupBy("_l").count()
     # Hashes are even: a share of them holds the sample with room to spare; only that share is ranked.
     share = F.least(F.lit(1.0), 4.0 * sample / F.col("count"))
-    drawn = rows.join(F.broadcast(sizes), "_l").filter((F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)) < share)
+    drawn = rows.join(sizes, "_l").filter((F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)) < share)
     first = drawn.withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy(F.pmod(F.col("_h"), F.lit(1 << 40)), "_h", "_t"))).filter(F.col("_r") <= sample)
     words: dict[str, set[str]] = {}
     for r in first.select("_l", "_t").toLocalIterator():

@@ -107,7 +107,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
     met = halves.join(shared, "half").select("first").distinct()
     wanted = met.groupBy(F.col("first._d").alias("_d"), F.col("first._t").alias("_t")).agg(F.collect_set("first._p").alias("places"))
-    own = docs.select(F.col(key).alias("_d0"), F.xxhash64(text).alias("_t0"), F.split(text, "\n").alias("lines"))
+    own = docs.select(F.col(key).alias("_d0"), F.xxhash64(text).alias("_t0"), F.split(text, "\n").alias("lines"))  # read again: cheaper than to keep all lines
     found = own.join(wanted, F.col("_d0").eqNullSafe(F.col("_d")) & (F.col("_t0") == F.col("_t")))
     found = found.select("_d", "_t", F.explode("places").alias("_p"), "lines").select(F.struct("_d", "_t", "_p").alias("at"), words_of(F.get("lines", F.col("_p"))).alias("w"))
     near = stored(found.withColumn("n", F.size("w")))
@@ -129,12 +129,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     fate = distinct.select("h1", "h2", "first").join(gone, "first", "left")
     fate = rows.select("at", "h1", "h2").join(fate, ["h1", "h2"], "left")
     fate = fate.select("at", F.when(F.col("first").isNull(), 0).when(F.col("first") != at, 1).when(F.col("near"), 2).otherwise(0).alias("fate"))
-    fate = fate.groupBy(F.col("at._d").alias("_d"), F.col("at._t").alias("_t")).agg(F.transform(F.array_sort(F.collect_set(F.struct("at._p", "fate"))), lambda x: x["fate"]).alias("_fate"))
+    # Names that no table has: the columns of the documents stand beside them.
+    doc, digest, kinds = "__line_doc", "__line_digest", "__line_kinds"
+    fate = fate.groupBy(F.col("at._d").alias(doc), F.col("at._t").alias(digest)).agg(F.transform(F.array_sort(F.collect_set(F.struct("at._p", "fate"))), lambda x: x["fate"]).alias(kinds))
     fate = stored(fate)
-    whole = docs.withColumn("_t0", F.xxhash64(text))
-    out = whole.join(fate, F.col(key).eqNullSafe(F.col("_d")) & (F.col("_t0") == F.col("_t")), "left")
-    kept = F.filter(F.zip_with(F.split(text, "\n"), "_fate", lambda x, f: F.struct(x.alias("x"), f.alias("f"))), lambda x: x["f"] == 0)
-    some = F.exists("_fate", lambda f: f > 0)
-    counted = lambda kind: F.coalesce(F.size(F.filter("_fate", lambda f: f == kind)), F.lit(0)).cast("long")
-    counts = [F.coalesce(F.size("_fate"), F.lit(0)).cast("long").alias(COUNTS[0]), counted(1).alias(COUNTS[1]), counted(2).alias(COUNTS[2])]
+    out = docs.join(fate, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(digest)), "left")
+    kept = F.filter(F.zip_with(F.split(text, "\n"), kinds, lambda x, f: F.struct(x.alias("x"), f.alias("f"))), lambda x: x["f"] == 0)
+    some = F.exists(kinds, lambda f: f > 0)
+    counted = lambda kind: F.coalesce(F.size(F.filter(kinds, lambda f: f == kind)), F.lit(0)).cast("long")
+    counts = [F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias(COUNTS[0]), counted(1).alias(COUNTS[1]), counted(2).alias(COUNTS[2])]
     return out.select(*[F.when(some, F.array_join(F.transform(kept, lambda x: x["x"]), "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns], *counts)
