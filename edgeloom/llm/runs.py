@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, text_bytes
 
-RUN, PART = 4 << 20, 8 << 20  # bytes of text of a run, and for which there is a part
+RUN, PART = 4 << 20, 16 << 20  # bytes of text of a run, and for which there is a part
 MESSAGE = "run long, part int, body binary, n long, total long"
 _MESSAGE = pa.schema([("run", pa.int64()), ("part", pa.int32()), ("body", pa.binary()), ("n", pa.int64()), ("total", pa.int64())])
 
 
 def pack(**arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(arrays, protocol=5), 3)
 
 
 def unpack(body: bytes) -> dict:

@@ -33,7 +33,7 @@ _U = np.uint64
 
 
 def _run(ids, missing, body, at):
-    """Tokens of a run as numbers of its words sorted by hash; the end of a text is the empty word."""
+    """Tokens of a run as numbers of its words by falling frequency; the end of a text is the empty word."""
     raw, vocabulary, tokens, sizes = body.tobytes(), {b"": 0}, [], []
     offsets = at.tolist()
     for a, z in zip(offsets, offsets[1:]):
@@ -42,19 +42,32 @@ def _run(ids, missing, body, at):
         tokens.append(0)
         sizes.append(len(words) + 1)
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in vocabulary], np.uint64)
-    order = np.argsort(hashes)
+    token = np.array(tokens, np.int64)
+    order = np.argsort(-np.bincount(token, minlength=len(hashes)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
+    # Byte by byte: the high bytes are nearly always zero and take hardly any room.
+    planes = rank[token].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     held = np.array([not m and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i, m in zip(ids.tolist(), missing.tolist())], bool)
-    return {"id": ids, "missing": missing, "held": held, "size": np.array(sizes, np.int64), "token": narrow(rank[np.array(tokens, np.int64)]), "hash": hashes[order]}
+    return {"id": ids, "missing": missing, "held": held, "size": np.array(sizes, np.int64), "token": planes, "hash": hashes[order]}
+
+
+def _sorted(run):
+    """The run with its words sorted by hash and its tokens as numbers of these."""
+    token = np.ascontiguousarray(np.frombuffer(run["token"], np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+    order = np.argsort(run["hash"])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return run | {"token": rank[token], "hash": run["hash"][order]}
 
 
 class _Run:
     """What a run knows after the steps answered so far."""
 
     def __init__(self, run, got, model):
+        run = _sorted(run)
         self.run, self.got, self.model = run, got, model
-        self.token = run["token"].astype(np.int64)
+        self.token = run["token"]
         self.start = np.cumsum(run["size"]) - run["size"]
         self.train = np.repeat(~run["held"], run["size"])
         self.key = run["hash"][self.token]
@@ -90,13 +103,13 @@ class _Run:
             first[self.start] = True
             before = np.concatenate([[0], self.token[:-1]])
             occurs = np.where(first, self.model["documents"], self.seen[before])
-            return context, can & (occurs >= SEEN), occurs
+            return context, can & (occurs >= self.model["seen"]), occurs
         context, can = self.context(depth)
         # Occurrences of a context: the total of the shorter gram that ends at the token before.
         total = np.concatenate([[0], self.total[:-1]])
         first = np.zeros(len(self.token), bool)
         first[self.start] = True
-        return context, can & ~first & np.concatenate([[False], self.known[:-1]]) & self.state & (total >= SEEN), total
+        return context, can & ~first & np.concatenate([[False], self.known[:-1]]) & self.state & (total >= self.model["seen"]), total
 
     def replay(self, upto):
         """Apply the answers on all depths before ``upto`` (counts of the last may be there without its states)."""
@@ -123,7 +136,8 @@ class _Run:
 
 def _ask_words(parts):
     def fn(run, got):
-        n = np.bincount(run["token"].astype(np.int64), np.repeat(~run["held"], run["size"]), len(run["hash"])).astype(np.int64)
+        run = _sorted(run)
+        n = np.bincount(run["token"], np.repeat(~run["held"], run["size"]), len(run["hash"])).astype(np.int64)
         return {p: {"keys": run["hash"][a:z], "n": narrow(n[a:z])} for p, a, z in cut_keys(run["hash"], parts)}
 
     return fn
@@ -198,13 +212,13 @@ def _score(model, depth):
     return fn
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, seen: int = SEEN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     base = runs(docs, _run, key, text)
     parts = parts_for(base)
     answers = [answer(ask(base, [], _ask_words(parts)), _answer_totals)]
     distinct, total = counts(answers[0])
-    model = {"total": total, "distinct": distinct, "documents": _documents(base)}
+    model = {"total": total, "distinct": distinct, "documents": _documents(base), "seen": seen}
     for d in range(1, depth + 1):
         answers.append(answer(ask(base, answers, _ask_grams(parts, model, d)), _answer_totals))
         answers.append(answer(ask(base, answers, _ask_states(parts, model, d)), _answer_states))
