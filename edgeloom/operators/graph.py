@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import digest_bucket, digest_int, order_key, uniform
 from .edges import symmetrize, undirected
-from .rank import knn_edges
 from .scale import checkpointed, ranked, salted_join
 
 
-def augment_graph(edges: DataFrame, src_sim: DataFrame, dst_sim: DataFrame, k: int) -> DataFrame:
-    """Interactions plus the k nearest neighbours on both sides, as (src, dst, weight, etype)."""
+def augment_graph(edges: DataFrame, src_near: DataFrame, dst_near: DataFrame) -> DataFrame:
+    """Interactions plus the nearest neighbours (src, dst, s) on both sides, as (src, dst, weight, etype)."""
     part = lambda e, w, t: e.select("src", "dst", w.cast("double").alias("weight"), F.lit(t).alias("etype"))
     return (
         part(edges, F.lit(1.0), "interaction")
-        .unionByName(part(knn_edges(src_sim, k), F.col("s"), "src_knn"))
-        .unionByName(part(knn_edges(dst_sim, k), F.col("s"), "dst_knn"))
+        .unionByName(part(src_near, F.col("s"), "src_knn"))
+        .unionByName(part(dst_near, F.col("s"), "dst_knn"))
     )
 
 
@@ -28,7 +27,7 @@ def mask_fold(edges: DataFrame, test: DataFrame) -> DataFrame:
 
 # -- components -------------------------------------------------------------
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) where the component is named by its smallest id.
 
     Alternates two star contractions: every neighbour above a node is linked to the
@@ -53,15 +52,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         return linked.unionByName(low.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
 
     mark, n = None, e.count()
-    for _ in range(max_rounds):
+    while True:  # edges only move to smaller ids, so an unchanged set comes
         links = checkpointed(small_star(large_star(links, n), n))
         # Edge set unchanged ⇔ same size and same hash sums.
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("lo", "hi")), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if now == mark:
             break
         mark, n = now, max(n, now[0])
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     root = links.select(F.col("hi").alias("id"), F.col("lo").alias("_root"))
     return nodes.join(root, "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
 

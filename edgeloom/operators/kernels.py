@@ -1,8 +1,9 @@
 """Similarity kernels over sparse profiles, sequences, text and term annotations.
 
 Kernels return pairs ``(a, b, s)`` with ``a < b`` and ``s >= min_sim``; the
-diagonal is implied. Identical profiles are folded when ``fold`` is set: the pairs
-then run over representatives, with the membership table alongside.
+diagonal is implied. Where many profiles are equal, give a kernel the rows that
+``overlap.fold_copies`` returns: the pairs then run over representatives, with the
+membership table alongside.
 """
 
 from __future__ import annotations
@@ -122,6 +123,12 @@ def gip(rows: DataFrame, min_sim: float) -> DataFrame:
     return _finish(p, F.exp(-F.lit(gamma) * distance), min_sim)
 
 
+def gip_sizes(rows: DataFrame) -> DataFrame:
+    """(id, n, gamma) of interaction profiles: two that share no partner are exp(−γ(n₁ + n₂)) alike, which ``gip`` does not list."""
+    sizes = rows.groupBy("id").agg(F.count("*").alias("n"))
+    return sizes.join(F.broadcast(sizes.agg((1.0 / F.avg("n")).alias("gamma"))))
+
+
 def impute_profiles(edges: DataFrame, sim: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges plus, for nodes without any, the similarity-weighted mean of their neighbours."""
     unseen = nodes.select(F.col("id").alias("src")).distinct().join(edges.select("src").distinct(), "src", "left_anti")

@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from .scale import checkpointed, running_sum, salted_join
 
 SLACK = 1e-9
-PAIRS_PER_ROW = 64
-SMALL_PAIRS = 2e7
 
 
 @dataclass(frozen=True)
@@ -136,36 +134,11 @@ def spread(x: DataFrame) -> DataFrame:
     return x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
 
 
-def _joined_directly(rows: DataFrame, need: Threshold, term, n_rows: int | None = None) -> DataFrame:
-    """All overlaps from one join on the feature, for data whose features stay small."""
-    sized = rows.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).cast("double").alias("n"))
-    x = spread(salted_join(rows, sized, ["id"], rows=n_rows))
-    p = x.select("f", F.col("id").alias("a"), F.col("w").alias("wa"), F.col("n").alias("na"))
-    q = x.select("f", F.col("id").alias("b"), F.col("w").alias("wb"), F.col("n").alias("nb"))
-    fits = need.sizes(F.least("na", "nb"), F.greatest("na", "nb"))
-    pairs = p.join(q, "f").filter((F.col("a") < F.col("b")) & fits)
-    pairs = pairs.groupBy("a", "b").agg(F.sum(term(F.col("wa"), F.col("wb"))).alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    wanted = need.pair(F.least("na", "nb"), F.greatest("na", "nb")) - SLACK
-    return pairs.filter(F.col("overlap") >= wanted)
-
-
-def overlaps(rows: DataFrame, need: Threshold, direct: bool | None = None) -> DataFrame:
-    """Pairs (a < b) that reach the threshold: (a, b, overlap, na, nb).
-
-    The number of row pairs that share a feature is known from the feature counts.
-    While it stays within ``PAIRS_PER_ROW`` times the input, one join does it;
-    otherwise, as with any hub feature, the index is built. ``direct`` forces a way.
-    """
+def overlaps(rows: DataFrame, need: Threshold) -> DataFrame:
+    """Pairs (a < b) that reach the threshold: (a, b, overlap, na, nb)."""
     rows = checkpointed(rows)
     term = (lambda p, q: p * q) if need.product else (lambda p, q: F.least(p * p, q * q))
-    n_rows = None
-    if direct is None:
-        n = F.col("count").cast("double")
-        cost = rows.groupBy("f").count().agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).alias("pairs")).first()
-        n_rows = int(cost.rows or 0)
-        direct = (cost.pairs or 0.0) <= max(SMALL_PAIRS, PAIRS_PER_ROW * (cost.rows or 0.0))
-    if direct:
-        return _joined_directly(rows, need, term, n_rows)
+    n_rows = rows.count()
     # The marked rows and the candidates are read more than once below: write each once.
     x = checkpointed(index_rows(rows, need, n_rows=n_rows))
     rest = x.groupBy("id").agg(
@@ -228,3 +201,38 @@ def expand_knn(sim: DataFrame, members: DataFrame, k: int, value: str = "s", sam
     out = members.select(F.col("id").alias("src"), "rep").join(pool, "rep").filter(F.col("src") != F.col("dst"))
     out = out.withColumn("rank", F.row_number().over(mine)).filter(F.col("rank") <= k)
     return out.select("src", "dst", value, "rank")
+
+
+def complete_knn(found: DataFrame, rows: DataFrame, k: int, value: str = "s") -> DataFrame:
+    """The k nearest of every id by the Jaccard coefficient, from those ``found`` (src, dst, value) above some threshold.
+
+    Ids that are still short meet all rows that share a feature with them; what then
+    lacks is filled by the smallest ids that share nothing, with value 0. Only the
+    short ids are joined, and 2 k + 1 smallest ids are enough to fill any of them.
+    """
+    rows = rows.select("id", "f")
+    found = checkpointed(found.select("src", "dst", value))
+    ids = checkpointed(rows.groupBy("id").agg(F.count("*").alias("n")))
+    have = found.groupBy("src").agg(F.count("*").alias("_c"))
+    short = checkpointed(ids.join(have, ids["id"] == have["src"], "left").filter(F.coalesce("_c", F.lit(0)) < k).select("id", "n"))
+    mine = rows.join(short, "id").select(F.col("id").alias("src"), "f", F.col("n").alias("na"))
+    met = spread(mine).join(rows.withColumnRenamed("id", "dst"), "f").filter(F.col("src") != F.col("dst"))
+    met = met.groupBy("src", "dst", "na").agg(F.count("*").alias("o")).join(ids.select(F.col("id").alias("dst"), F.col("n").alias("nb")), "dst")
+    near = met.select("src", "dst", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias(value))
+    least = ids.select(F.col("id").alias("dst")).orderBy("dst").limit(2 * k + 1).agg(F.collect_list("dst").alias("_l"))
+    blank = short.select(F.col("id").alias("src")).join(F.broadcast(least)).select("src", F.explode("_l").alias("dst")).filter(F.col("src") != F.col("dst"))
+    blank = blank.join(near.select("src", "dst"), ["src", "dst"], "left_anti").withColumn(value, F.lit(0.0))
+    kept = found.join(short.select(F.col("id").alias("src")), "src", "left_anti")
+    best = W.partitionBy("src").orderBy(F.desc(value), "dst")
+    out = kept.unionByName(near).unionByName(blank).withColumn("rank", F.row_number().over(best))
+    return out.filter(F.col("rank") <= k)
+
+
+def knn(rows: DataFrame, k: int, at: float = 0.05) -> DataFrame:
+    """Exactly k nearest others (src, dst, s, rank) of every id by the Jaccard coefficient; ties go to the smaller id."""
+    from .kernels import jaccard
+
+    rows = checkpointed(rows)
+    reps, members = fold_copies(rows)
+    found = expand_knn(jaccard(reps, at), members, k)
+    return complete_knn(found, rows, k)

@@ -40,7 +40,11 @@ def knn_edges(sim: DataFrame, k: int, value: str = "s") -> DataFrame:
 
 def strongest_k(sim: DataFrame, k: int = 5, value: str = "s") -> DataFrame:
     """Symmetric graph of the k strongest links per row."""
-    top = knn_edges(sim, k, value)
+    return linked(knn_edges(sim, k, value), value)
+
+
+def linked(top: DataFrame, value: str = "s") -> DataFrame:
+    """Neighbour lists (src, dst) as unordered pairs."""
     return top.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), value).distinct()
 
 

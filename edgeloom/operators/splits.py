@@ -16,42 +16,56 @@ from ..functions.hashing import digest_bucket, digest_int, order_key
 from .edges import band_join, mirror, stack_labels
 from .scale import checkpointed, dense_index, ranked, ranked_by_value, running_sum, salted_join
 
-# Primes above 2^31, so each is coprime to any smaller number of targets.
-STEP_PRIMES = (
-    2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857,
-)
+DRAWS = 4  # per wanted pair and round
 
-# Fixed value: the prime 2^61 − 1, coprime to any smaller number of pairs.
-STEP_GLOBAL = 2305843009213693951
 
+def _draw(seed, n: Column, *parts: Column) -> Column:
+    """An even pseudo-random number below n, from a digest of the parts."""
+    return F.pmod(digest_int(order_key(seed, *parts), 1, 13), n)
 
-def negatives_per_drug(pos: DataFrame, targets: DataFrame, ratio: int = 1, seed: int = 0) -> DataFrame:
-    """min(#non-partners, ratio·#partners) non-partners of each drug: (src, dst).
 
-    ``pos`` holds distinct edges, ``targets`` the column ``dst`` of all targets.
-    Position i of a drug is target (offset + i·step) mod n; offset and step come from
-    a digest of the drug. Every edge contributes ratio + 1 positions, so a drug with
-    very many edges is worked on by all tasks that hold its edges.
+def negatives_per_drug(pos: DataFrame, targets: DataFrame, ratio: int = 1, seed: int = 0) -> DataFrame:
+    """min(#non-partners, ratio·#partners) random non-partners of each drug: (src, dst).
+
+    ``pos`` holds distinct edges, ``targets`` the column ``dst`` of all targets. A drug
+    of d partners reads the sequence of draws i = 0, 1, …, each an even choice among
+    the targets by a digest of (seed, drug, i), and keeps the first ratio·d different
+    non-partners. Rounds make draws for the drugs that still lack some. Where that many
+    are half of the targets or more, the drug takes its non-partners in md5 order
+    instead: there are then at most 2 (ratio + 1) targets for each of its edges.
     """
     pos = checkpointed(pos.select("src", "dst"))
     index = checkpointed(dense_index(targets, "dst"))
     n = index.count()
-    own = pos.withColumn("_k", order_key(seed, "src", "dst"))
-    own = ranked(own, ["src"], ["_k", "dst"], digest_bucket(F.col("_k")), "r")
-    deg = pos.groupBy("src").agg(F.count("*").alias("deg"))
-    x = salted_join(own.select("src", (F.col("r") - 1).alias("r")), deg, ["src"], rows=pos.count())
-    x = x.withColumn("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ratio)), lambda m: F.col("r") + m * F.col("deg"))))
-    x = x.filter(F.col("i") < n).select("src", "deg", "i")
-    key = order_key(seed, "src")
-    steps = F.array(*[F.lit(p % n) for p in STEP_PRIMES])
-    step = F.element_at(steps, (digest_int(key, 8, 7) % len(STEP_PRIMES) + 1).cast("int"))
-    x = x.withColumn("idx", (digest_int(key, 1, 7) + F.col("i") * step) % n)
-    x = x.join(index, "idx").join(pos, ["src", "dst"], "left_anti")
-    # Keep the first ratio·deg of what is left; positions are bucketed by their share of the walk.
-    x = checkpointed(x.select("src", "dst", "deg", "i"))
-    span = F.floor(F.col("i") * 256 / ((ratio + 1) * F.col("deg"))).cast("int")
-    x = ranked(x, ["src"], ["i"], span, "r")
-    return x.filter(F.col("r") <= ratio * F.col("deg")).select("src", "dst")
+    deg = pos.groupBy("src").agg(F.count("*").alias("deg")).withColumn("want", F.least(F.col("deg") * ratio, F.lit(n) - F.col("deg")))
+    deg = checkpointed(deg.filter(F.col("want") > 0).withColumn("many", (F.col("deg") * (ratio + 1) * 2) >= n))
+    pick = lambda x, order: ranked(x, ["src"], [order, "dst"], digest_bucket(F.col(order)) if order == "_k" else F.col("_b"), "r").filter(F.col("r") <= F.col("want"))
+
+    full = deg.filter("many").select("src", "want", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("idx"))
+    full = full.join(index, "idx").join(pos, ["src", "dst"], "left_anti").withColumn("_k", order_key(seed, "src", "dst"))
+    out = pick(full, "_k").select("src", "dst")
+
+    # Draws are numbered; those of a round follow on those before. Sixteenths of a round are the buckets of the numbers.
+    short = checkpointed(deg.filter(~F.col("many")).select("src", "want"))
+    kept, rnd = None, 0
+    while not short.isEmpty():
+        size = F.col("want") * DRAWS
+        block = F.explode(F.sequence(F.lit(0), F.lit(DRAWS * 16 - 1))).alias("_b")
+        spot = F.sequence(F.floor(F.col("_b") * F.col("want") / 16), F.floor((F.col("_b") + 1) * F.col("want") / 16) - 1)
+        drawn = short.select("src", "want", block).filter(F.floor((F.col("_b") + 1) * F.col("want") / 16) > F.floor(F.col("_b") * F.col("want") / 16))
+        drawn = drawn.repartition("src", "_b").select("src", "want", F.explode(spot).alias("i")).withColumn("i", F.col("i") + size * rnd)
+        drawn = drawn.withColumn("idx", _draw(seed, F.lit(n), F.col("src"), F.col("i").cast("string")))
+        drawn = drawn.join(index, "idx").join(pos, ["src", "dst"], "left_anti").select("src", "want", "dst", "i")
+        pool = drawn if kept is None else drawn.unionByName(kept)
+        first = checkpointed(pool.groupBy("src", "dst").agg(F.min("i").alias("i"), F.max("want").alias("want")))
+        found = first.groupBy("src").agg(F.count("*").alias("_c"))
+        full_ = checkpointed(short.join(found, "src").filter(F.col("_c") >= F.col("want")).select("src"))
+        ready = first.join(full_, "src", "left_semi").withColumn("_b", F.floor(F.col("i") * 16 / F.col("want")))
+        out = out.unionByName(pick(ready, "i").select("src", "dst"))
+        kept = first.join(full_, "src", "left_anti")
+        short = checkpointed(short.join(full_, "src", "left_anti"))
+        rnd += 1
+    return out
 
 
 def all_negatives(candidates: DataFrame, pos: DataFrame) -> DataFrame:
@@ -60,55 +74,66 @@ def all_negatives(candidates: DataFrame, pos: DataFrame) -> DataFrame:
 
 
 def negatives_global(pos: DataFrame, n: int | None = None, seed: int = 0) -> DataFrame:
-    """n unseen pairs spread over all drugs × targets (default: as many as edges).
+    """n random unseen pairs of all drugs × targets (default: as many as edges; all unseen ones if fewer).
 
-    Pair number (offset + j·step) mod (drugs·targets) for j = 0, 1, …: the step is
-    coprime to the number of pairs, so no pair repeats, and the first n + |pos|
-    numbers hold at least n unseen pairs.
+    Draw j = 0, 1, … chooses a drug and a target by digests of (seed, j); the first n
+    different unseen pairs are kept. Rounds of draws go on until there are enough.
     """
     pos = checkpointed(pos.select("src", "dst").distinct())
     src, dst = checkpointed(dense_index(pos, "src", "i")), checkpointed(dense_index(pos, "dst", "j"))
     n_src, n_dst, m = src.count(), dst.count(), pos.count()
-    n = m if n is None else n
-    total = n_src * n_dst
-    if total >= STEP_GLOBAL:
-        raise ValueError("more pairs than the step can cover")
-    dec = lambda v, digits: F.lit(str(v)).cast(f"decimal({digits},0)")
-    js = pos.sparkSession.range(min(n + m, total)).withColumnRenamed("id", "pick")
-    offset = digest_int(F.md5(F.lit(str(seed))), 1, 13).cast("decimal(19,0)")
-    number = (offset + F.col("pick").cast("decimal(19,0)") * dec(STEP_GLOBAL % total, 19).cast("decimal(18,0)")) % dec(total, 19)
-    x = js.withColumn("_n", number.cast("long")).withColumn("i", F.expr(f"_n div {n_dst}L")).withColumn("j", F.col("_n") % n_dst)
-    x = x.join(src, "i").join(dst, "j").join(pos, ["src", "dst"], "left_anti")
-    x = checkpointed(x.select("src", "dst", "pick"))
-    bucket = F.expr(f"CAST(pick * 4096L div {max(1, n + m)}L AS INT)")
-    return ranked(x, [], ["pick"], bucket, "r").filter(F.col("r") <= n).select("src", "dst")
-
-
-def negatives_by_distance(pos: DataFrame, distance: DataFrame, lo: float, hi: float, seed: int = 0, max_rounds: int = 1000) -> DataFrame:
+    n = min(m if n is None else n, n_src * n_dst - m)
+    if n <= 0:
+        return pos.limit(0)
+    if 2 * (n + m) >= n_src * n_dst:  # at most two pairs of the product for each that is given or wanted
+        all_ = src.select("src").join(dst.select("dst")).join(pos, ["src", "dst"], "left_anti").withColumn("_k", order_key(seed, "src", "dst"))
+        return ranked(all_, [], ["_k", "src", "dst"], digest_bucket(F.col("_k"), 3), "r").filter(F.col("r") <= n).select("src", "dst")
+    first, rnd = None, 0
+    while first is None or first.count() < n:
+        js = pos.sparkSession.range(2 * n * rnd, 2 * n * (rnd + 1)).withColumnRenamed("id", "pick")
+        at = F.col("pick").cast("string")
+        x = js.select("pick", _draw(f"{seed}s", F.lit(n_src), at).alias("i"), _draw(f"{seed}t", F.lit(n_dst), at).alias("j"))
+        x = x.join(src, "i").join(dst, "j").join(pos, ["src", "dst"], "left_anti").select("src", "dst", "pick")
+        x = x if first is None else x.unionByName(first)
+        first = checkpointed(x.groupBy("src", "dst").agg(F.min("pick").alias("pick")))
+        rnd += 1
+    bucket = F.expr(f"CAST(pick div {max(1, 2 * n * rnd // 4096)}L AS INT)")
+    return ranked(first, [], ["pick"], bucket, "r").filter(F.col("r") <= n).select("src", "dst")
+
+
+def negatives_by_distance(pos: DataFrame, distance: DataFrame, lo: float, hi: float, seed: int = 0) -> DataFrame:
     """For each positive an unused non-partner of its drug with lo < d < hi to its target.
 
     Equals the greedy pass over a drug's targets in md5 order where each takes its
     first free candidate in md5 order. Computed as rounds of proposals: every target
     without a candidate proposes to its next one; a candidate keeps the proposal
-    with the smallest key. Rows are (src, dst positive, neg).
+    with the smallest key. The other targets of a drug of d partners hold at most d - 1
+    candidates, so none needs more than its first d. Drugs whose targets all hold one
+    leave the rounds, which go on until none is left. Rows are (src, dst positive, neg).
     """
-    cand = band_join(pos.select("src", "dst"), distance, lo, hi)
+    pos = checkpointed(pos.select("src", "dst"))
+    cand = band_join(pos, distance, lo, hi)
     cand = cand.join(pos.select("src", F.col("dst").alias("cand")), ["src", "cand"], "left_anti")
     cand = cand.withColumn("_k", order_key(seed, "src", "dst", "cand")).withColumn("prio", order_key(seed, "src", "dst"))
     cand = checkpointed(cand.select("src", "dst", "cand", "prio", "_k"))
-    cand = checkpointed(ranked(cand, ["src", "dst"], ["_k", "cand"], digest_bucket(F.col("_k")), "r").drop("_k"))
-    # State: the next candidate number per positive and whether that candidate holds it.
+    cand = ranked(cand, ["src", "dst"], ["_k", "cand"], digest_bucket(F.col("_k")), "r").drop("_k")
+    degree = pos.groupBy("src").agg(F.count("*").alias("_d"))
+    cand = checkpointed(salted_join(cand, degree, ["src"]).filter(F.col("r") <= F.col("_d")).drop("_d"))
+    # State: the next candidate number per positive of the drugs still at work.
     state = checkpointed(cand.select("src", "dst").distinct().withColumn("r", F.lit(1).cast("long")))
-    for _ in range(max_rounds):
+    done = None
+    while True:
         bids = state.join(cand, ["src", "dst", "r"])
         best = bids.groupBy("src", "cand").agg(F.min(F.struct("prio", "dst")).alias("w"))
         judged = bids.join(best, ["src", "cand"]).withColumn("won", F.col("dst") == F.col("w.dst"))
         judged = checkpointed(judged.select("src", "dst", "r", "cand", "won"))
-        if judged.filter(~F.col("won")).isEmpty():
-            return judged.select("src", "dst", F.col("cand").alias("neg"))
+        open_ = judged.filter(~F.col("won")).select("src").distinct()
+        settled = judged.join(open_, "src", "left_anti").select("src", "dst", F.col("cand").alias("neg"))
+        done = settled if done is None else checkpointed(done.unionByName(settled))
         # Losers move on; those past their last candidate drop out of the join above.
-        state = judged.select("src", "dst", F.when(F.col("won"), F.col("r")).otherwise(F.col("r") + 1).alias("r"))
-    raise RuntimeError("matching did not settle; raise max_rounds")
+        state = judged.join(open_, "src", "left_semi").select("src", "dst", F.when(F.col("won"), F.col("r")).otherwise(F.col("r") + 1).alias("r"))
+        if judged.filter(~F.col("won")).isEmpty():
+            return done
 
 
 def negatives_nearest(pos: DataFrame, distance: DataFrame) -> DataFrame:
@@ -120,20 +145,20 @@ def negatives_nearest(pos: DataFrame, distance: DataFrame) -> DataFrame:
     return best.select("src", "dst", F.col("m.neg").alias("neg"), F.col("m.d").alias("d"))
 
 
-def holdout_final(pos: DataFrame, min_targets: int = 2, min_mult: int = 5, seed: int = 0, max_rounds: int = 100) -> DataFrame:
+def holdout_final(pos: DataFrame, min_targets: int = 2, min_mult: int = 5, seed: int = 0) -> DataFrame:
     """One positive per drug to a final fold, without emptying a target: (src, dst).
 
     Drugs of more than ``min_targets`` targets offer their target of the highest
     multiplicity, if above ``min_mult``. A target gives drugs away in md5 order while
     its multiplicity stays at ``min_mult`` or more; drugs it turns down offer again
-    with the lowered multiplicities.
+    with the lowered multiplicities, until no drug has an offer left.
     """
     pos = checkpointed(pos.select("src", "dst").distinct())
     eligible = pos.groupBy("src").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_targets).select("src")
     waiting = checkpointed(pos.join(eligible, "src", "left_semi"))
     mult = checkpointed(pos.groupBy("dst").agg(F.count("*").alias("mult")))
     taken = None
-    for _ in range(max_rounds):
+    while True:  # each round takes a drug of every target that has offers
         offers = waiting.join(mult.filter(F.col("mult") > min_mult), "dst")
         offers = offers.groupBy("src").agg(F.min(F.struct((-F.col("mult")).alias("m"), "dst")).alias("b"))
         offers = offers.select("src", F.col("b.dst").alias("dst"), (-F.col("b.m")).alias("mult"))
@@ -149,6 +174,16 @@ def holdout_final(pos: DataFrame, min_targets: int = 2, min_mult: int = 5, seed:
     return taken if taken is not None else pos.limit(0)
 
 
+def final_negatives(pos: DataFrame, distance: DataFrame, lo: float = 2.5, hi: float = 5.0, n: int | None = None, seed: int = 0) -> DataFrame:
+    """One non-partner per drug within the band of a target of its, ``n`` of them in md5 order: (src, dst)."""
+    near = band_join(pos.select("src", "dst"), distance, lo, hi).select("src", F.col("cand").alias("dst"))
+    near = near.join(pos.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("_k", order_key(seed, "src", "dst"))
+    one = near.groupBy("src").agg(F.min(F.struct("_k", "dst")).alias("b")).select("src", "b.dst", F.col("b._k").alias("_k"))
+    if n is None:
+        return one.drop("_k")
+    return ranked(one, [], ["_k", "src"], digest_bucket(F.col("_k"), 3), "_r").filter(F.col("_r") <= n).drop("_k", "_r")
+
+
 # -- folds ------------------------------------------------------------------
 
 def folds_sp(pairs: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
@@ -193,15 +228,16 @@ def fold_spread(folds: DataFrame, entity: str) -> DataFrame:
     return folds.groupBy(entity).agg(F.count_distinct("fold").alias("n_folds"), F.min("fold").alias("fold"))
 
 
-def repair_folds(folds: DataFrame, positives: DataFrame, mode: str = "Sp", seed: int = 0, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def repair_folds(folds: DataFrame, positives: DataFrame, mode: str = "Sp", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Replace negatives so that no target (Sp, Sd) or drug (St) sits in one fold only.
 
     A *crucial* entity occurs in exactly one fold, a *spare* one in three or more. For
     each crucial entity a negative of another fold with a spare entity gives its place
     to (partner, crucial entity, 0). The partner must be spare in Sp and occur in a
     single fold in Sd and St. Replacements that would be true positives or repeat a pair
-    are not made. Rounds stop when nothing is crucial or no repair is left; the second
-    result lists what remains crucial.
+    are not made. Rounds stop when nothing is crucial or when no fold that could be asked
+    had a repair; the second result lists what remains crucial. A repair makes no entity
+    crucial, so the rounds end.
 
     In each round negatives are offered to crucial entities one to one, by equal
     rank in md5 order among those of the same fold, shifted by the round.
@@ -210,8 +246,9 @@ def repair_folds(folds: DataFrame, positives: DataFrame, mode: str = "Sp", seed:
     current = checkpointed(folds.select("fold", "src", "dst", "label"))
     known = positives.select("src", "dst").distinct()
     n_folds = current.agg(F.count_distinct("fold")).first()[0]
-    idle = 0
-    for rnd in range(max_rounds):
+    idle, rnd = 0, -1
+    while True:
+        rnd += 1
         spread = checkpointed(fold_spread(current, e))
         crucial = spread.filter(F.col("n_folds") == 1).select(F.col(e).alias("need"), F.col("fold").alias("home"))
         n_crucial = crucial.count()

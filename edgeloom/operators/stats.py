@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .edges import undirected
 from .graph import component_sizes, connected_components
 from .rank import group_median
-from .scale import salted_join
+from .scale import ranked, salted_join
 
 _HOW = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}
 
@@ -55,16 +55,10 @@ def drug_profile(case_drug: DataFrame, case_term: DataFrame, freq: DataFrame) ->
     return cells.select("drug", "term", "f", (F.col("f") > 0).cast("int").alias("bit"))
 
 
-def collect_terms(df: DataFrame, key: str, term: str, where: Column, chunk: int = 10_000) -> DataFrame:
-    """Distinct terms per id as sorted lists (key, part, terms).
-
-    An id of more than ``chunk`` terms has several lists, told apart by ``part``.
-    """
-    kept = df.filter(where).select(key, term).distinct()
-    counts = kept.groupBy(key).agg(F.ceil(F.count("*") / chunk).alias("_parts"))
-    part = F.pmod(F.xxhash64(term), F.col("_parts")).cast("int")
-    split = salted_join(kept, counts, [key]).withColumn("part", part)
-    return split.groupBy(key, "part").agg(F.array_sort(F.collect_list(term)).alias("terms"))
+def collect_terms(df: DataFrame, key: str, term: str, where: Column) -> DataFrame:
+    """Distinct terms per id in order: (key, term, position from 1). A list of any length, one term a row."""
+    kept = df.filter(where & F.col(term).isNotNull()).select(key, term).distinct()
+    return ranked(kept, [key], [term], F.ascii(F.col(term)), "position")
 
 
 # -- categories -------------------------------------------------------------

@@ -17,20 +17,25 @@ R6 = lambda c: F.round(c, 6)
 
 # -- negatives --------------------------------------------------------------
 
-def _permuted_sql(ratio):
-    primes = list(N.STEP_PRIMES)
+_DRAW = "(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) % {n})"
+
+
+def _draws_sql(ratio):
+    """The first ratio·degree different non-partners in the order of the draws, or in md5 order where they are many."""
+    draw = _DRAW.format(key="'0|' || src || '|' || i", n="n")
     return (
         with_views("inter") + f""", tgt AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS idx FROM (SELECT DISTINCT dst FROM inter)), k AS (SELECT count(*) AS n FROM tgt),
-    d AS (SELECT src, count(*) AS deg, md5('0|' || src) AS h FROM inter GROUP BY 1),
-    cand AS (SELECT src, deg, i, (CAST('0x' || substr(h, 1, 7) AS BIGINT) + i * ({primes}[CAST('0x' || substr(h, 8, 7) AS BIGINT) % {len(primes)} + 1] % n)) % n AS idx FROM (SELECT *, unnest(range(0, n)) AS i FROM d, k)),
-    free AS (SELECT cand.src, tgt.dst, deg, i FROM cand JOIN tgt USING (idx) WHERE NOT EXISTS (SELECT 1 FROM inter p WHERE p.src = cand.src AND p.dst = tgt.dst))
-    SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY i) AS r FROM free) WHERE r <= {ratio} * deg"""
+    d AS (SELECT src, n, least({ratio} * count(*), n - count(*)) AS want, count(*) * {2 * (ratio + 1)} >= n AS many FROM inter, k GROUP BY src, n),
+    dr AS (SELECT src, want, i, {draw} AS idx FROM (SELECT src, n, want, unnest(range(0, 16 * want)) AS i FROM d WHERE NOT many)),
+    cand AS (SELECT src, want, dst, printf('%020d', min(i)) AS o FROM dr JOIN tgt USING (idx) GROUP BY 1, 2, 3 UNION ALL SELECT src, want, dst, md5('0|' || src || '|' || dst) FROM d, tgt WHERE many),
+    free AS (SELECT src, want, dst, row_number() OVER (PARTITION BY src ORDER BY o, dst) AS r FROM cand WHERE NOT EXISTS (SELECT 1 FROM inter p WHERE p.src = cand.src AND p.dst = cand.dst))
+    SELECT src, dst FROM free WHERE r <= want"""
     )
 
 
 for _ratio in (1, 10):
 
-    @query(f"negatives_per_drug_{_ratio}", _permuted_sql(_ratio))
+    @query(f"negatives_per_drug_{_ratio}", _draws_sql(_ratio))
     def _(spark, sf, ratio=_ratio):
         pos = checkpointed(T.interactions(spark, sf))
         return N.negatives_per_drug(pos, pos.select("dst"), ratio)
@@ -40,9 +45,11 @@ for _ratio in (1, 10):
     "negatives_global",
     with_views("inter") + f""", s AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS i FROM (SELECT DISTINCT src FROM inter)), t AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS j FROM (SELECT DISTINCT dst FROM inter)),
     k AS (SELECT (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM t) AS nt, (SELECT count(*) FROM inter) AS m),
-    pick AS (SELECT p, CAST((CAST('0x' || substr(md5('0'), 1, 13) AS HUGEINT) + CAST(p AS HUGEINT) * (CAST({N.STEP_GLOBAL} AS HUGEINT) % (ns * nt))) % (ns * nt) AS BIGINT) AS c, nt, m FROM (SELECT *, unnest(range(0, 2 * m)) AS p FROM k)),
-    free AS (SELECT src, dst, p, m FROM pick JOIN s ON s.i = c // nt JOIN t ON t.j = c % nt WHERE NOT EXISTS (SELECT 1 FROM inter q WHERE q.src = s.src AND q.dst = t.dst))
-    SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY p) AS r FROM free) WHERE r <= m""",
+    pick AS (SELECT p, {_DRAW.format(key="'0s|' || p", n="ns")} AS i, {_DRAW.format(key="'0t|' || p", n="nt")} AS j FROM (SELECT *, unnest(range(0, 8 * m)) AS p FROM k)),
+    free AS (SELECT src, dst, lpad(CAST(min(p) AS VARCHAR), 20, '0') AS o FROM pick JOIN s USING (i) JOIN t USING (j) WHERE NOT EXISTS (SELECT 1 FROM inter q WHERE q.src = s.src AND q.dst = t.dst) GROUP BY 1, 2),
+    dense AS (SELECT src, dst, md5('0|' || src || '|' || dst) AS o FROM s, t WHERE NOT EXISTS (SELECT 1 FROM inter q WHERE q.src = s.src AND q.dst = t.dst)),
+    either AS (SELECT free.* FROM free, k WHERE 2 * (least(m, ns * nt - m) + m) < ns * nt UNION ALL SELECT dense.* FROM dense, k WHERE 2 * (least(m, ns * nt - m) + m) >= ns * nt)
+    SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY o, src, dst) AS r FROM either), k WHERE r <= m""",
 )
 def _(spark, sf):
     return N.negatives_global(T.interactions(spark, sf))
@@ -68,12 +75,25 @@ def _(spark, sf):
     return N.negatives_nearest(T.interactions(spark, sf), T.target_distance(spark, sf))
 
 
+@query(
+    "final_negatives",
+    with_views("inter", "dist") + """, m AS (SELECT a, b, d FROM dist UNION ALL SELECT b, a, d FROM dist), c AS (SELECT DISTINCT i.src, m.b AS dst FROM inter i JOIN m ON i.dst = m.a WHERE d > 2.5 AND d < 5),
+    f AS (SELECT src, dst, md5('0|' || src || '|' || dst) AS k FROM c WHERE NOT EXISTS (SELECT 1 FROM inter p WHERE p.src = c.src AND p.dst = c.dst)), o AS (SELECT src, arg_min(dst, k) AS dst, min(k) AS k FROM f GROUP BY 1)
+    SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY k, src) AS r FROM o) WHERE r <= (SELECT count(*) // 2 FROM (SELECT src FROM inter GROUP BY 1 HAVING count(*) > 2))""",
+)
+def _(spark, sf):
+    """As many as half of the drugs that may give a positive away."""
+    pos = checkpointed(T.interactions(spark, sf))
+    n = pos.groupBy("src").count().filter("count > 2").count()
+    return N.final_negatives(pos, T.target_distance(spark, sf), n=n // 2)
+
+
 @query("holdout_final")
 def _(spark, sf):
     return N.holdout_final(T.interactions(spark, sf))
 
 
-@query("negative_coverage", _permuted_sql(1).replace("SELECT src, dst FROM (SELECT *, row_number()", ", neg AS (SELECT src, dst FROM (SELECT *, row_number()", 1) + ") SELECT count(DISTINCT dst) AS n_used, round(100.0 * count(DISTINCT dst) / (SELECT count(*) FROM tgt), 2) AS percent FROM neg")
+@query("negative_coverage", "SELECT count(DISTINCT dst) AS n_used, round(100.0 * count(DISTINCT dst) / (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_quantity < 30), 2) AS percent FROM (" + _draws_sql(1) + ")")
 def _(spark, sf):
     pos = checkpointed(T.interactions(spark, sf))
     return V.negative_coverage(N.negatives_per_drug(pos, pos.select("dst")), pos)
@@ -167,6 +187,14 @@ def _(spark, sf):
     return N.oversample(T.labelled_pairs(spark, sf))
 
 
+@query("repair_left")
+def _(spark, sf):
+    """What no repair can spread over two folds, and how many rows of each class the repaired folds have."""
+    pairs = T.labelled_pairs(spark, sf)
+    folds, left = N.repair_folds(N.folds_sp(pairs), T.interactions(spark, sf))
+    return left.select(F.lit("left").alias("what"), F.col("dst").alias("id"), F.lit(1).cast("long").alias("n")).unionByName(folds.groupBy(F.col("label").cast("string").alias("id")).agg(F.count("*").alias("n")).select(F.lit("class").alias("what"), "id", "n"))
+
+
 @query("repair_folds")
 def _(spark, sf):
     pairs = T.labelled_pairs(spark, sf)

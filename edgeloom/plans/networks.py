@@ -266,9 +266,9 @@ def _(spark, sf):
     return A.drug_profile(e.select("case", "drug"), e.select("case", "term"), freq).withColumn("f", F.round("f", 8))
 
 
-@query("collect_terms", _EV + "SELECT drug, string_agg(term, ',' ORDER BY term) AS terms FROM (SELECT DISTINCT drug, term FROM ev WHERE value > 30) GROUP BY 1")
+@query("collect_terms", _EV + "SELECT drug, term, row_number() OVER (PARTITION BY drug ORDER BY term) AS position FROM (SELECT DISTINCT drug, term FROM ev WHERE value > 30)")
 def _(spark, sf):
-    return A.collect_terms(_events(spark, sf), "drug", "term", F.col("value") > 30).withColumn("terms", F.array_join("terms", ",")).drop("part")
+    return A.collect_terms(_events(spark, sf), "drug", "term", F.col("value") > 30)
 
 
 @query("contingency", "SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2")

@@ -53,25 +53,29 @@ def _(spark, sf):
 _GIP = "exp(-(na + nb - 2 * o) / (SELECT avg(n) FROM (SELECT count(*) * 1.0 AS n FROM inter GROUP BY src)))"
 
 
+@query("gip_sizes", with_views("inter") + "SELECT src AS id, count(*) AS n, round(1.0 / (SELECT avg(n) FROM (SELECT count(*) * 1.0 AS n FROM inter GROUP BY src)), 9) AS gamma FROM inter GROUP BY 1")
+def _(spark, sf):
+    return K.gip_sizes(K.profiles(T.interactions(spark, sf))).withColumn("gamma", F.round("gamma", 9))
+
+
 @query("gip", _set_sql("inter", "src", "dst", _GIP, 0.3))
 def _(spark, sf):
     return _rounded(K.gip(K.profiles(T.interactions(spark, sf)), 0.3))
 
 
-@query("knn_drugs", with_views("dsim") + "SELECT src, dst, round(s, 6) AS s, rank FROM (SELECT a AS src, b AS dst, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT a, b, s FROM dsim UNION ALL SELECT b, a, s FROM dsim)) WHERE rank <= 5")
+@query("knn_drugs", with_views("dall") + "SELECT src, dst, round(s, 6) AS s, rank FROM dall WHERE rank <= 5")
 def _(spark, sf):
-    rows, members = OV.fold_copies(checkpointed(K.profiles(T.interactions(spark, sf))))
-    return OV.expand_knn(K.jaccard(rows, 0.05), members, 5).withColumn("s", R6("s"))
+    return T.drug_neighbours(spark, sf, 5).withColumn("s", R6("s"))
 
 
-@query("knn_edges", with_views("tsim") + "SELECT src, dst, round(s, 6) AS s, rank FROM (SELECT a AS src, b AS dst, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT a, b, s FROM tsim UNION ALL SELECT b, a, s FROM tsim)) WHERE rank <= 10")
+@query("knn_edges", with_views("tall") + "SELECT src, dst, round(s, 6) AS s, rank FROM tall WHERE rank <= 10")
 def _(spark, sf):
-    return R.knn_edges(T.target_similarity(spark, sf), 10).withColumn("s", R6("s"))
+    return T.target_neighbours(spark, sf, 10).withColumn("s", R6("s"))
 
 
 @query("strongest_k", with_views("ttop") + "SELECT a, b, round(s, 6) AS s FROM ttop")
 def _(spark, sf):
-    return _rounded(R.strongest_k(T.target_similarity(spark, sf), 5))
+    return _rounded(R.linked(T.target_neighbours(spark, sf, 5)))
 
 
 @query(
@@ -280,12 +284,11 @@ def _(spark, sf):
 
 @query(
     "augment_graph",
-    with_views("inter", "tsim", "dsim") + """, k AS (SELECT 'src_knn' AS etype, a AS src, b AS dst, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM (SELECT a, b, s FROM dsim UNION ALL SELECT b, a, s FROM dsim)
-    UNION ALL SELECT 'dst_knn', a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) FROM (SELECT a, b, s FROM tsim UNION ALL SELECT b, a, s FROM tsim))
-    SELECT src, dst, 1.0 AS weight, 'interaction' AS etype FROM inter UNION ALL SELECT src, dst, round(s, 6), etype FROM k WHERE r <= 3""",
+    with_views("inter", "tall", "dall") + """SELECT src, dst, 1.0 AS weight, 'interaction' AS etype FROM inter UNION ALL SELECT src, dst, round(s, 6), 'src_knn' FROM dall WHERE rank <= 3
+    UNION ALL SELECT src, dst, round(s, 6), 'dst_knn' FROM tall WHERE rank <= 3""",
 )
 def _(spark, sf):
-    g = G.augment_graph(T.interactions(spark, sf), T.drug_similarity(spark, sf), T.target_similarity(spark, sf), 3)
+    g = G.augment_graph(T.interactions(spark, sf), T.drug_neighbours(spark, sf, 3), T.target_neighbours(spark, sf, 3))
     return g.withColumn("weight", R6("weight"))
 
 
@@ -346,8 +349,8 @@ for _kind, _sql in _META_SQL.items():
     @query(f"meta_path_{_kind}", _META + f"SELECT src, dst, sum, max FROM ({_sql})")
     def _(spark, sf, kind=_kind):
         e = checkpointed(T.interactions(spark, sf))
-        sim = lambda f: checkpointed(R.strongest_k(f(spark, sf), 5))
-        drugs = sim(T.drug_similarity) if kind in ("ddt", "dddt", "ddtt") else None
-        targets = sim(T.target_similarity) if kind in ("dtt", "dttt", "ddtt") else None
+        sim = lambda f: checkpointed(R.linked(f(spark, sf, 5)))
+        drugs = sim(T.drug_neighbours) if kind in ("ddt", "dddt", "ddtt") else None
+        targets = sim(T.target_neighbours) if kind in ("dtt", "dttt", "ddtt") else None
         out = G.meta_paths(drugs, targets, e, kinds=(kind,))[kind]
         return out.select("src", "dst", F.round("sum", 9).alias("sum"), F.round("max", 9).alias("max"))

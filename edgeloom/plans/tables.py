@@ -80,6 +80,14 @@ def predictions(spark, sf) -> DataFrame:
     )
 
 
+def _ranked_neighbours(own, feature):
+    return (
+        f"SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM (SELECT x.id AS src, y.id AS dst, coalesce(o, 0) * 1.0 / (x.n + y.n - coalesce(o, 0)) AS s "
+        f"FROM (SELECT {own} AS id, count(*) AS n FROM inter GROUP BY 1) x JOIN (SELECT {own} AS id, count(*) AS n FROM inter GROUP BY 1) y ON x.id <> y.id "
+        f"LEFT JOIN (SELECT p.{own} AS a, q.{own} AS b, count(*) AS o FROM inter p JOIN inter q ON p.{feature} = q.{feature} GROUP BY 1, 2) ON a = x.id AND b = y.id)"
+    )
+
+
 # The same views for the SQL side; `with_views("inter", …)` adds what each needs.
 _VIEWS = {
     "affinity": "SELECT 'D'||o_custkey AS src, 'T'||l_partkey AS dst, l_quantity AS y, o_orderpriority AS dataset, "
@@ -104,11 +112,12 @@ _VIEWS = {
     "dsim": "SELECT a, b, o * 1.0 / (na + nb - o) AS s FROM (SELECT x.src AS a, y.src AS b, count(*) AS o FROM inter x JOIN inter y "
     "ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2) p JOIN (SELECT src AS ka, count(*) AS na FROM inter GROUP BY 1) ON a = ka "
     "JOIN (SELECT src AS kb, count(*) AS nb FROM inter GROUP BY 1) ON b = kb WHERE o * 1.0 / (na + nb - o) >= 0.05 - 1e-9",
+    # All neighbours of a row in order, those that share nothing included.
+    "tall": _ranked_neighbours("dst", "src"),
+    "dall": _ranked_neighbours("src", "dst"),
     # The five strongest links per row.
-    "ttop": "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r "
-    "FROM (SELECT a, b, s FROM tsim UNION ALL SELECT b, a, s FROM tsim)) WHERE r <= 5",
-    "dtop": "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r "
-    "FROM (SELECT a, b, s FROM dsim UNION ALL SELECT b, a, s FROM dsim)) WHERE r <= 5",
+    "ttop": "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, s FROM tall WHERE rank <= 5",
+    "dtop": "SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b, s FROM dall WHERE rank <= 5",
     # Labelled pairs dealt to ten folds for two seeds.
     "lab": "SELECT src, dst, max(CASE WHEN y < 30 THEN 1 ELSE 0 END) AS label FROM affinity GROUP BY 1, 2",
     "folds": "SELECT seed, src, dst, label, CAST((row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|' || src || '|' || dst), src, dst) - 1) % 10 AS INTEGER) AS fold "
@@ -116,7 +125,7 @@ _VIEWS = {
 }
 _NEEDS = {
     "inter": ["affinity"], "known": ["affinity", "inter"], "tsim": ["affinity", "inter"], "dist": ["affinity", "inter", "tsim"], "dsim": ["affinity", "inter"],
-    "ttop": ["affinity", "inter", "tsim"], "dtop": ["affinity", "inter", "dsim"], "lab": ["affinity"], "folds": ["affinity", "lab"],
+    "tall": ["affinity", "inter"], "dall": ["affinity", "inter"], "ttop": ["affinity", "inter", "tall"], "dtop": ["affinity", "inter", "dall"], "lab": ["affinity"], "folds": ["affinity", "lab"],
 }
 
 
@@ -143,6 +152,20 @@ def drug_similarity(spark, sf) -> DataFrame:
     return jaccard(profiles(interactions(spark, sf)), 0.05)
 
 
+def target_neighbours(spark, sf, k) -> DataFrame:
+    from ..operators.kernels import profiles
+    from ..operators.overlap import knn
+
+    return knn(profiles(interactions(spark, sf), "dst", "src"), k)
+
+
+def drug_neighbours(spark, sf, k) -> DataFrame:
+    from ..operators.kernels import profiles
+    from ..operators.overlap import knn
+
+    return knn(profiles(interactions(spark, sf)), k)
+
+
 def target_distance(spark, sf) -> DataFrame:
     """Stand-in for the given structure distances: 8 − 60·s for alike targets."""
     return target_similarity(spark, sf).select("a", "b", F.round(F.lit(8.0) - F.lit(60.0) * F.col("s"), 6).alias("d"))
