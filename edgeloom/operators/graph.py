@@ -69,14 +69,16 @@ def component_sizes(components: DataFrame) -> DataFrame:
 
 # -- distances --------------------------------------------------------------
 
-def hop_distance(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """Shortest hop counts (source, id, hops) from given sources, up to ``max_hops``."""
+def hop_distance(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Shortest hop counts (source, id, hops) from given sources to all they reach, or up to ``max_hops``."""
     both = checkpointed(symmetrize(edges))
     frontier = sources.select(F.col("id").alias("source"), "id").distinct()
     frontier = frontier.join(both.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("source", "id")
     seen = checkpointed(frontier.withColumn("hops", F.lit(0)))
     frontier, n = seen.select("source", "id"), seen.count()
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while hop != max_hops:
+        hop += 1
         reached = salted_join(frontier.withColumnRenamed("id", "src"), both, ["src"], rows=n).select("source", F.col("dst").alias("id")).distinct()
         fresh = checkpointed(reached.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(hop)))
         n = fresh.count()
@@ -88,7 +90,10 @@ def hop_distance(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFra
 
 
 def path_kernel(hops: DataFrame, scale: float = 0.9) -> DataFrame:
-    """0.9·exp(−hops); a node to itself gives 0.9, unreachable pairs are absent (0)."""
+    """0.9·exp(−hops); a node to itself gives 0.9, pairs that ``hops`` does not list are absent (0).
+
+    Give distances without a bound, so that only unreachable pairs are absent.
+    """
     return hops.select(F.col("source").alias("a"), F.col("id").alias("b"), (F.lit(scale) * F.exp(-F.col("hops"))).alias("s"))
 
 
@@ -187,6 +192,27 @@ def two_hop(sim: DataFrame) -> DataFrame:
     return out.filter(F.col("i") != F.col("j")).select("i", F.col("j").alias("k"), "sum", "max")
 
 
+def cooccurrence(walks: DataFrame, window: int) -> DataFrame:
+    """(a, b, n): how often b follows or precedes a within ``window`` steps of a walk (walk, step, node).
+
+    Every step meets the steps at each distance by an equi-join on (walk, step).
+    """
+    x = walks.select("walk", "step", F.col("node").alias("a"))
+    y = walks.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(window)))).select("walk", (F.col("step") + F.col("_d")).alias("step"), F.col("node").alias("b"))
+    pairs = x.join(y, ["walk", "step"])
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    return both.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+
+
+def positive_information(counts: DataFrame) -> DataFrame:
+    """(a, b, w): w = max(0, ln(n·N / (n_a·n_b))) of symmetric counts (a, b, n); zeros are left out."""
+    own = counts.groupBy("a").agg(F.sum("n").cast("double").alias("na"))
+    total = own.agg(F.sum("na").alias("_N"))
+    x = salted_join(salted_join(counts, own, ["a"]), own.select(F.col("a").alias("b"), F.col("na").alias("nb")), ["b"]).join(F.broadcast(total))
+    w = F.log(F.col("n") * F.col("_N") / (F.col("na") * F.col("nb")))
+    return x.select("a", "b", w.alias("w")).filter(F.col("w") > 0)
+
+
 def meta_paths(src_sim: DataFrame, dst_sim: DataFrame, edges: DataFrame, kinds=("ddt", "dtt", "dddt", "dttt", "ddtt", "dtdt")) -> dict[str, DataFrame]:
     """Sum and max of path products per (src, dst) for each path shape.
 

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler, Word2Vec
+from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import digest_int, order_key
+from .graph import cooccurrence, positive_information
 from .rank import top_runs
-from .scale import checkpointed, dense_index
+from .scale import checkpointed, dense_index, salted_join
 from .splits import oversample
 
-# Word2Vec keeps its vocabulary on the driver: refuse what does not fit there.
-MAX_VOCABULARY = 5_000_000
-
-
 def scale_features(train: DataFrame, others, kind: str = "minmax", col: str = "feature"):
     """Scaler fitted on the training rows only; returns (train, *others) with array features."""
     scaler = (MinMaxScaler if kind == "minmax" else MaxAbsScaler)(inputCol="_v", outputCol="_s")
@@ -123,15 +121,25 @@ def factor_scores(train: DataFrame, test: DataFrame, rank: int = 10, iterations:
     return x.withColumn("score", dot).drop("i", "j", "_u", "_w")
 
 
-def node_embeddings(walks: DataFrame, dim: int = 32, window: int = 10, iterations: int = 5, seed: int = 0) -> DataFrame:
-    """Skip-gram vectors (id, vec) of the nodes in walks (walk, step, node).
+def node_embeddings(walks: DataFrame, dim: int = 32, window: int = 10, rounds: int = 2, seed: int = 0) -> DataFrame:
+    """Vectors (id, vec) of unit length of the nodes in walks (walk, step, node), near for nodes of like company.
 
-    A walk is at most its length long, so gathering its steps is bounded.
+    The positive mutual information of nodes within a window is projected: every node
+    starts from random signs (by digest), and each round takes the weighted mean of the
+    vectors of those it occurs with. The sum over the rounds is the vector. All of it is
+    joins and sums over the sparse matrix, ``dim`` numbers a row.
     """
-    n = walks.agg(F.count_distinct("node")).first()[0]
-    if n > MAX_VOCABULARY:
-        raise ValueError(f"{n} nodes exceed the vocabulary limit of {MAX_VOCABULARY}")
-    steps = F.array_sort(F.collect_list(F.struct("step", "node")))
-    text = walks.groupBy("walk").agg(F.transform(steps, lambda s: s["node"]).alias("words"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, maxIter=iterations, seed=seed, inputCol="words", outputCol="_v").fit(text)
-    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vec"))
+    w = positive_information(cooccurrence(walks, window))
+    share = w.groupBy("a").agg(F.sum("w").alias("_t"))
+    w = checkpointed(salted_join(w, share, ["a"]).select("a", "b", (F.col("w") / F.col("_t")).alias("w")))
+    sign = lambda i: F.when(digest_int(order_key(seed, "id", F.lit(str(i))), 1, 1) % 2 == 0, 1.0).otherwise(-1.0)
+    names = [f"v{i}" for i in range(dim)]
+    now = walks.select(F.col("node").alias("id")).distinct().select("id", *[sign(i).alias(n) for i, n in enumerate(names)])
+    total = None
+    for _ in range(rounds):
+        met = salted_join(w.withColumnRenamed("b", "id"), now, ["id"])
+        now = checkpointed(met.groupBy(F.col("a").alias("id")).agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]))
+        total = now if total is None else total.unionByName(now)
+    out = total.groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).select("id", F.array(*names).alias("vec"))
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return out.select("id", F.when(size > 0, F.transform("vec", lambda x: x / size)).otherwise(F.col("vec")).alias("vec"))

@@ -211,6 +211,19 @@ def _(spark, sf):
     return V.confusion(T.predictions(spark, sf))
 
 
+@query("confusion_total", with_views("pred") + f"SELECT {_CELLS} FROM pred")
+def _(spark, sf):
+    """Summed over the folds."""
+    return V.confusion(T.predictions(spark, sf), by=())
+
+
+@query("best_run", "SELECT run, auc FROM (SELECT o_orderpriority AS run, round(avg(o_totalprice), 4) AS auc FROM orders GROUP BY 1) ORDER BY auc DESC, run LIMIT 1")
+def _(spark, sf):
+    from ..operators.learn import best_run
+
+    return best_run(T.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.round(F.avg("o_totalprice"), 4).alias("auc")))
+
+
 @query(
     "ranking_metrics",
     with_views("pred") + """, g AS (SELECT fold, score, sum(label) AS pos, sum(1 - label) AS neg FROM pred GROUP BY 1, 2),

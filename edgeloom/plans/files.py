@@ -113,20 +113,32 @@ def _(spark, sf):
 
 
 def _catalog(spark, sf):
-    """Suppliers as drug records: their parts are targets, their nation an enzyme."""
-    li = T.table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").filter("l_partkey % 100 = l_suppkey % 100").distinct()
-    s = T.table(spark, sf, "supplier")
-    # An XML record is one document: this stand-in keeps the few parts that share the supplier's last digits.
+    """Orders as drug records: their parts are targets, their customer an enzyme; orders of one customer have one name.
+
+    A record holds the few lines of its order, so none grows with the table.
+    """
     part = lambda c: F.struct(
         F.array(F.struct(c.alias("_id"), F.struct(F.array(F.struct(F.lit("UniProtKB").alias("resource"), c.alias("identifier"))).alias("external-identifier")).alias("external-identifiers"))).alias("polypeptide")
     )
-    targets = li.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_list(part(F.concat(F.lit("P"), "l_partkey"))).alias("t"))
-    rec = s.join(targets, "s_suppkey", "left").select(
-        F.array(F.struct(F.lit(True).alias("_primary"), F.concat(F.lit("DB"), "s_suppkey").alias("_VALUE"))).alias("drugbank-id"),
-        F.col("s_name").alias("name"),
-        F.struct(F.array(F.struct(F.lit("SMILES").alias("kind"), F.col("s_acctbal").cast("string").alias("value"))).alias("property")).alias("calculated-properties"),
+    li = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("P"), "l_partkey").alias("p"), "l_linenumber")
+    targets = li.groupBy("o_orderkey").agg(F.collect_list(part(F.col("p"))).alias("t"), F.collect_set(F.struct(F.concat(F.lit("brand "), "p").alias("name"))).alias("pr"))
+    key, text = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    prop = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    ident = lambda resource, value: F.struct(F.lit(resource).alias("resource"), value.alias("identifier"))
+    rec = T.table(spark, sf, "orders").join(targets, "o_orderkey", "left").select(
+        F.array(
+            F.struct(F.lit(False).alias("_primary"), F.concat(F.lit("OLD"), key).alias("_VALUE")), F.struct(F.lit(True).alias("_primary"), F.concat(F.lit("DB"), key).alias("_VALUE"))
+        ).alias("drugbank-id"),
+        F.concat(F.lit("Customer "), "o_custkey").alias("name"),
+        F.struct(F.col("pr").alias("product")).alias("products"),
+        F.struct(F.array(F.struct(F.concat(F.lit("DB"), key + 1).alias("drugbank-id")), F.struct(F.concat(F.lit("DB"), key - 1).alias("drugbank-id"))).alias("drug-interaction")).alias("drug-interactions"),
+        F.struct(F.array(prop("logP", text("o_custkey")), prop("SMILES", text("o_totalprice")), prop("SMILES", F.lit("0"))).alias("property")).alias("calculated-properties"),
+        F.struct(F.array(
+            ident("KEGG Drug", F.concat(F.lit("D"), key)), ident("KEGG Drug", F.concat(F.lit("E"), key)),
+            F.when(key % 2 == 0, ident("PubChem Compound", F.concat(F.lit("C"), key))).otherwise(ident("PubChem Substance", F.concat(F.lit("S"), key))),
+        ).alias("external-identifier")).alias("external-identifiers"),
         F.struct(F.col("t").alias("target")).alias("targets"),
-        F.struct(F.array(part(F.concat(F.lit("N"), "s_nationkey"))).alias("enzyme")).alias("enzymes"),
+        F.struct(F.array(part(F.concat(F.lit("N"), "o_custkey"))).alias("enzyme")).alias("enzymes"),
     )
     path = _new(spark)
     rec.write.format("xml").option("rowTag", "drug").option("rootTag", "drugbank").save(path)
@@ -135,18 +147,71 @@ def _catalog(spark, sf):
 
 @query(
     "catalog_edges",
-    """SELECT DISTINCT 'DB' || l_suppkey AS src, 'P' || l_partkey AS dst, 'target' AS role FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey % 100 = l_suppkey % 100
-    UNION ALL SELECT 'DB' || s_suppkey, 'N' || s_nationkey, 'enzyme' FROM supplier""",
+    """SELECT DISTINCT 'DB' || l_orderkey AS src, 'P' || l_partkey AS dst, 'target' AS role FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    UNION ALL SELECT 'DB' || o_orderkey, 'N' || o_custkey, 'enzyme' FROM orders""",
 )
 def _(spark, sf):
     return C.catalog_edges(_catalog(spark, sf))
 
 
-@query("catalog_names", "SELECT lower(s_name) AS k, 'DB' || s_suppkey AS v FROM supplier")
+@query(
+    "catalog_names",
+    """SELECT DISTINCT 'customer ' || o_custkey AS k, 'DB' || o_orderkey AS v FROM orders UNION ALL SELECT DISTINCT 'BRAND P' || l_partkey, 'DB' || l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
+)
 def _(spark, sf):
     return C.catalog_names(_catalog(spark, sf)).select("k", "v")
 
 
-@query("catalog_property", "SELECT 'DB' || s_suppkey AS drug, s_acctbal AS value FROM supplier")
+@query("catalog_property", "SELECT 'DB' || o_orderkey AS drug, o_totalprice AS value FROM orders")
 def _(spark, sf):
     return C.catalog_property(_catalog(spark, sf), "SMILES").select("drug", F.col("value").cast("double").alias("value"))
+
+
+@query(
+    "catalog_external_ids",
+    """SELECT 'DB' || o_orderkey AS drug, 'D' || o_orderkey AS kegg_drug, CAST(NULL AS VARCHAR) AS kegg_compound, CASE WHEN o_orderkey % 2 = 0 THEN 'C' || o_orderkey END AS pubchem_compound,
+    CASE WHEN o_orderkey % 2 <> 0 THEN 'S' || o_orderkey END AS pubchem_substance, CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'S' END || o_orderkey AS pubchem FROM orders""",
+)
+def _(spark, sf):
+    return C.catalog_external_ids(_catalog(spark, sf))
+
+
+@query("catalog_ddi", "SELECT DISTINCT least('DB' || o_orderkey, 'DB' || o) AS src, greatest('DB' || o_orderkey, 'DB' || o) AS dst FROM (SELECT o_orderkey, unnest([o_orderkey + 1, o_orderkey - 1]) AS o FROM orders)")
+def _(spark, sf):
+    return C.catalog_ddi(_catalog(spark, sf))
+
+
+# -- matrices and maps ------------------------------------------------------
+
+@query("read_matrix", "SELECT 'S' || s_suppkey AS a, 'N' || n_nationkey AS b, CAST(s_suppkey * 100 + n_nationkey AS DOUBLE) AS s FROM supplier, nation")
+def _(spark, sf):
+    s = T.table(spark, sf, "supplier").select("s_suppkey").repartitionByRange(1, "s_suppkey").sortWithinPartitions("s_suppkey")
+    nations = [r[0] for r in T.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    head = spark.createDataFrame([("\t".join(["", *[f"N:{n}" for n in nations]]), -1)], "line string, o long")
+    line = F.concat_ws("\t", F.concat(F.lit("S:"), "s_suppkey"), *[(F.col("s_suppkey") * 100 + n).cast("string") for n in nations])
+    path = _new(spark)
+    head.unionByName(s.select(line.alias("line"), F.col("s_suppkey").alias("o"))).repartitionByRange(1, "o").sortWithinPartitions("o").select("line").write.text(path)
+    return R.read_matrix(spark, path)
+
+
+@query(
+    "write_matrix",
+    "SELECT 'D' || user_id AS id, " + " || ' ' || ".join(f"CAST(max(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) AS VARCHAR)" for t in ("click", "error", "view")) + " AS line FROM events GROUP BY 1",
+)
+def _(spark, sf):
+    from pyspark.sql import Window as W_
+
+    e = T.table(spark, sf, "events").select(F.concat(F.lit("D"), "user_id").alias("src"), F.col("event_type").alias("dst"))
+    path = _new(spark)
+    ids = e.select(F.col("src").alias("id")).distinct()
+    W.write_matrix(e, ids, ["click", "error", "view"], path)
+    back = R.number_lines(spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("block")))
+    # Line numbers against the sorted ids show the order of the rows too.
+    return back.join(ids.withColumn("pos", (F.row_number().over(W_.orderBy("id")) - 1).cast("long")), "pos").select("id", F.col("value").alias("line"))
+
+
+@query("write_map", "SELECT DISTINCT p_name AS k, 'P' || p_partkey AS v FROM part")
+def _(spark, sf):
+    path = _new(spark)
+    W.write_map(T.table(spark, sf, "part").select(F.col("p_name").alias("k"), F.concat(F.lit("P"), "p_partkey").alias("v")), path)
+    return spark.read.schema("k string, v string").json(path)

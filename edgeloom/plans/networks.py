@@ -434,11 +434,27 @@ def _(spark, sf):
     return A.augmented_stats(cells, ref)
 
 
-@query("matrix_checks", "SELECT true AS square, true AS symmetric, true AS unit_diagonal FROM region LIMIT 1")
+_MATRICES = """, m AS (SELECT a, b, s FROM tsim UNION ALL SELECT b, a, s FROM tsim), n AS (SELECT 'whole' AS name, * FROM m UNION ALL SELECT DISTINCT 'whole', a, a, 1.0 FROM m UNION ALL SELECT 'no diagonal', * FROM m UNION ALL SELECT 'upper', a, b, s FROM tsim
+    UNION ALL SELECT 'incidence', src, dst, 1.0 FROM inter UNION ALL SELECT 'not one', * FROM m UNION ALL SELECT DISTINCT 'not one', a, a, 0.5 FROM m)"""
+
+
+@query(
+    "matrix_checks",
+    with_views("tsim", "inter") + _MATRICES + """, k AS (SELECT n.*, t.s AS back FROM n LEFT JOIN n t ON t.name = n.name AND t.a = n.b AND t.b = n.a), o AS (SELECT name, a AS id, 1 AS x, 0 AS y FROM n UNION ALL SELECT name, b, 0, 1 FROM n),
+    q AS (SELECT name, bool_and(x = 1 AND y = 1) AS square FROM (SELECT name, id, max(x) AS x, max(y) AS y FROM o GROUP BY 1, 2) GROUP BY 1)
+    SELECT k.name, any_value(square) AS square, bool_and(coalesce(abs(s - back) < 1e-9, false)) AS symmetric, count(DISTINCT a) = count(CASE WHEN a = b AND s = 1 THEN 1 END) AS unit_diagonal FROM k JOIN q ON q.name = k.name GROUP BY k.name""",
+)
 def _(spark, sf):
     s = S.checkpointed(T.target_similarity(spark, sf))
-    diag = E.node_set(s.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("s"))
-    return A.matrix_checks(E.mirror(s, "s").unionByName(diag))
+    both = E.mirror(s, "s")
+    diag = lambda v: E.node_set(s.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(v).alias("s"))
+    inter = T.interactions(spark, sf).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("s"))
+    matrices = {"whole": both.unionByName(diag(1.0)), "no diagonal": both, "upper": s, "incidence": inter, "not one": both.unionByName(diag(0.5))}
+    out = None
+    for name, m in matrices.items():
+        row = A.matrix_checks(m).select(F.lit(name).alias("name"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(

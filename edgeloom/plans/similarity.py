@@ -301,12 +301,12 @@ def _(spark, sf):
 
 
 _HOPS = with_views("geo", recursive=True, extra="""bw AS (SELECT src, dst FROM geo UNION SELECT dst, src FROM geo), walk(source, id, hops) AS (SELECT 'N'||n_nationkey, 'N'||n_nationkey, 0 FROM nation
-    UNION SELECT source, dst, hops + 1 FROM walk JOIN bw ON id = src WHERE hops < 3), best AS (SELECT source, id, min(hops) AS hops FROM walk GROUP BY 1, 2)""")
+    UNION SELECT source, dst, hops + 1 FROM walk JOIN bw ON id = src WHERE hops < 9), best AS (SELECT source, id, min(hops) AS hops FROM walk GROUP BY 1, 2)""")
 
 
 def _hops(spark, sf):
     sources = T.table(spark, sf, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("id"))
-    return G.hop_distance(T.geography(spark, sf), sources, 3)
+    return G.hop_distance(T.geography(spark, sf), sources)
 
 
 @query("hop_distance", _HOPS + "SELECT source, id, hops FROM best")
@@ -329,9 +329,42 @@ def _(spark, sf):
     from ..operators.learn import node_embeddings
 
     walks = checkpointed(G.biased_walks(T.interactions(spark, sf), num_walks=2, length=5))
-    return node_embeddings(walks, dim=8, window=3, iterations=1)
+    return node_embeddings(walks, dim=8, window=3)
 
 
+# Sessions as walks: the events of a user in the order of time.
+_WALKS = "WITH w AS (SELECT user_id AS walk, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type || json_extract_string(props, '$.k') AS node FROM events), p AS (SELECT x.node AS a, y.node AS b FROM w x JOIN w y ON x.walk = y.walk AND x.step - y.step BETWEEN 1 AND 5), c AS (SELECT a, b, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT b, a FROM p) GROUP BY 1, 2) "
+
+
+def _sessions(spark, sf):
+    from pyspark.sql import Window as W
+
+    e = T.table(spark, sf, "events")
+    node = F.concat("event_type", F.get_json_object("props", "$.k"))
+    return e.select(F.col("user_id").alias("walk"), F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"), node.alias("node"))
+
+
+@query("cooccurrence", _WALKS + "SELECT a, b, n FROM c")
+def _(spark, sf):
+    return G.cooccurrence(checkpointed(_sessions(spark, sf)), 5)
+
+
+@query("positive_information", _WALKS + ", o AS (SELECT a, sum(n) AS s FROM c GROUP BY 1) SELECT c.a, c.b, round(ln(n * (SELECT CAST(sum(s) AS DOUBLE) FROM o) / (x.s * y.s)), 6) AS w FROM c JOIN o x ON x.a = c.a JOIN o y ON y.a = c.b WHERE n * (SELECT CAST(sum(s) AS DOUBLE) FROM o) / (x.s * y.s) > 1")
+def _(spark, sf):
+    return G.positive_information(checkpointed(G.cooccurrence(checkpointed(_sessions(spark, sf)), 5))).withColumn("w", R6("w"))
+
+
+@query("walk_checks", with_views("inter") + "SELECT (SELECT count(*) FROM (SELECT src FROM inter UNION SELECT dst FROM inter)) * 2 AS walks, 6 AS steps, 0 AS off_edge, 0 AS wrong_start")
+def _(spark, sf):
+    """Every walk has its length, starts at its node and goes along edges."""
+    e = checkpointed(T.interactions(spark, sf))
+    walks = checkpointed(G.biased_walks(e, num_walks=2, length=6))
+    a, b = walks.select("walk", "step", F.col("node").alias("src")), walks.select("walk", (F.col("step") - 1).alias("step"), F.col("node").alias("dst"))
+    off = a.join(b, ["walk", "step"]).join(E.symmetrize(e), ["src", "dst"], "left_anti").agg(F.count("*").cast("int").alias("off_edge"))
+    size = walks.groupBy("walk").agg(F.count("*").alias("n"), F.max(F.when(F.col("step") == 0, F.split("walk", "#")[0] != F.col("node")).cast("int")).alias("bad"))
+    size = size.agg(F.count("*").alias("walks"), F.when(F.min("n") == F.max("n"), F.max("n")).cast("int").alias("steps"), F.sum("bad").cast("int").alias("wrong_start"))
+    return size.join(F.broadcast(off))
+
 _META = with_views("inter", "dtop", "ttop") + """, d AS (SELECT a AS i, b AS k, s FROM dtop UNION ALL SELECT b, a, s FROM dtop), t AS (SELECT a AS i, b AS k, s FROM ttop UNION ALL SELECT b, a, s FROM ttop),
 d2 AS (SELECT x.i, y.k, sum(x.s * y.s) AS su, max(x.s * y.s) AS mx FROM d x JOIN d y ON x.k = y.i WHERE x.i <> y.k GROUP BY 1, 2), t2 AS (SELECT x.i, y.k, sum(x.s * y.s) AS su, max(x.s * y.s) AS mx FROM t x JOIN t y ON x.k = y.i WHERE x.i <> y.k GROUP BY 1, 2),
 ddt AS (SELECT d.i AS src, e.dst, sum(d.s) AS su, max(d.s) AS mx FROM d JOIN inter e ON d.k = e.src GROUP BY 1, 2) """

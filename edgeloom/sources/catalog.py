@@ -61,10 +61,11 @@ EXTERNAL = {"kegg_drug": "KEGG Drug", "kegg_compound": "KEGG Compound", "pubchem
 
 
 def catalog_external_ids(catalog: DataFrame) -> DataFrame:
-    """One column per external vocabulary; ``pubchem`` is the compound, else the substance."""
-    x = catalog.select("drug", F.explode_outer(F.col("external-identifiers")["external-identifier"]).alias("x"))
-    picks = [F.max(F.when(F.col("x.resource") == r, F.col("x.identifier"))).alias(n) for n, r in EXTERNAL.items()]
-    return x.groupBy("drug").agg(*picks).withColumn("pubchem", F.coalesce("pubchem_compound", "pubchem_substance"))
+    """One column per external vocabulary, with the first identifier of each; ``pubchem`` is the compound, else the substance."""
+    listed = F.col("external-identifiers")["external-identifier"]
+    first = lambda r: F.try_element_at(F.filter(listed, lambda x: x["resource"] == r), F.lit(1))["identifier"]
+    picks = [first(r).alias(n) for n, r in EXTERNAL.items()]
+    return catalog.select("drug", *picks).withColumn("pubchem", F.coalesce("pubchem_compound", "pubchem_substance"))
 
 
 def catalog_names(catalog: DataFrame) -> DataFrame:

@@ -91,10 +91,11 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
 
 
 def read_embeddings(spark: SparkSession, path) -> DataFrame:
-    """(id, vec) from lines ``id f1 … fd``; the count/dimension line is left out."""
+    """(id, vec) from lines ``id f1 … fd``; a first line of two fields holds count and dimension and is left out."""
+    lines = number_lines(spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("block")))
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") > 2)
-    return rows.select(F.element_at("p", 1).alias("id"), F.slice("p", 2, 1_000_000).cast("array<float>").alias("vec"))
+    rows = lines.select("pos", parts.alias("p")).filter((F.size("p") > 1) & ~((F.col("pos") == 0) & (F.size("p") == 2)))
+    return rows.select(F.element_at("p", 1).alias("id"), F.slice("p", F.lit(2), F.size("p") - 1).cast("array<float>").alias("vec"))
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -117,22 +118,19 @@ def read_matrix(spark: SparkSession, path, sep: str = "\t", labels: list[str] |
     ``row_names`` (pos, id) the rows by their line number from 0.
     """
     clean = lambda c: F.translate(c, ":", "")
+    lines = number_lines(spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("block")))
+    fields = F.split("value", sep) if labels is None else F.split(F.trim("value"), sep if sep != " " else r"\s+")
+    cells = lines.select("pos", F.posexplode(fields).alias("at", "x"))
     if labels is None:
-        # The schema of a labelled matrix is its first line; lines are cut by position.
-        head = spark.read.text(path).first()[0]
-        labels = head.split(sep)[1:]
-        names = ["_row"] + [f"c{i}" for i in range(len(labels))]
-        wide = read_table(spark, path, names, sep=sep, header=True).withColumnRenamed("_row", "a")
+        # The first line names the columns: a table that is joined by position, as the row labels are.
+        names = cells.filter("pos = 0 AND at > 0").select("at", F.translate("x", '"', "").alias("b"))
+        rows = cells.filter("pos > 0 AND at = 0").select("pos", F.col("x").alias("a"))
+        body = cells.filter("pos > 0 AND at > 0")
     else:
-        numbered = number_lines(spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block")))
-        parts = F.split(F.trim("value"), sep if sep != " " else r"\s+")
-        wide = numbered.join(row_names.select("pos", F.col("id").alias("a")), "pos").select(
-            "a", *[F.element_at(parts, i + 1).alias(f"c{i}") for i in range(len(labels))]
-        )
-    cells = wide.unpivot(["a"], [f"c{i}" for i in range(len(labels))], "_c", "s")
-    at = F.regexp_extract("_c", r"(\d+)$", 1).cast("int")
-    names = F.array(*[F.lit(x.strip('"')) for x in labels])
-    return cells.select(clean(F.col("a")).alias("a"), clean(F.element_at(names, at + 1)).alias("b"), F.col("s").cast("double").alias("s"))
+        names = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "at int, b string")
+        rows, body = row_names.select("pos", F.col("id").alias("a")), cells
+    out = body.join(names, "at").join(rows, "pos")
+    return out.select(clean(F.col("a")).alias("a"), clean(F.col("b")).alias("b"), F.col("x").cast("double").alias("s"))
 
 
 def read_runs(spark: SparkSession, glob, schema, sep: str = "\t", header: bool = True) -> DataFrame:
