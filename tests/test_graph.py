@@ -91,3 +91,23 @@ def test_combine_vectors(spark):
     want = {"Concat": [1, 2, 3, 5], "Hadamard": [3, 10], "AVG": [2, 3.5], "WL1": [2, 3], "WL2": [4, 9]}
     for func, value in want.items():
         assert G.combine_vectors(df, func).first().feature == value
+
+
+def test_node_vectors_follow_their_company(spark):
+    import numpy as np
+
+    from edgeloom.operators.learn import node_embeddings
+
+    rng = np.random.default_rng(0)
+    walks = [(w, s, f"{'ab'[w % 2]}{rng.integers(8)}") for w in range(60) for s in range(12)]
+    out = {r.id: np.array(r.vec) for r in node_embeddings(spark.createDataFrame(walks, "walk int, step int, node string"), dim=16, window=3).collect()}
+    assert set(out) == {n for _, _, n in walks} and all(abs(v @ v - 1) < 1e-9 for v in out.values())
+    same = np.mean([out[x] @ out[y] for x in out for y in out if x < y and x[0] == y[0]])
+    other = np.mean([out[x] @ out[y] for x in out for y in out if x[0] < y[0]])
+    assert same > other + 0.3
+
+
+def test_hops_without_a_bound(spark):
+    e = [(f"n{i}", f"n{i + 1}") for i in range(12)]
+    got = {r.id: r.hops for r in G.hop_distance(_df(spark, e), spark.createDataFrame([("n0",)], "id string")).collect()}
+    assert got == {f"n{i}": i for i in range(13)}

@@ -42,11 +42,12 @@ JAC = lambda x, y: len(x & y) / len(x | y)
 COS = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
 
 
-@pytest.fixture(params=[True, False], ids=["direct", "indexed"])
+@pytest.fixture(params=["small", "usual"])
 def way(request, monkeypatch):
     # Small index limits so that the fixture's features count as warm and hot.
-    real, index = OV.overlaps, OV.index_rows
-    monkeypatch.setattr(OV, "overlaps", lambda rows, need: real(rows, need, direct=request.param))
+    index = OV.index_rows
+    if request.param == "usual":
+        return
     monkeypatch.setattr(OV, "index_rows", lambda rows, need, n_rows=None: index(rows, need, cold=2, warm=16))
 
 
@@ -98,6 +99,19 @@ def test_knn_over_folded_copies(spark, k):
         assert [d for _, d in sorted(got.get(a, []))] == [b for _, b in near]
 
 
+@pytest.mark.parametrize("k", [1, 5, 100])
+def test_knn_is_exact_and_never_short(spark, k):
+    s = _sets(7, n=30)
+    s |= {f"lone{i}": {f"own{i}"} for i in range(4)} | {f"z{i:02d}": {"hub"} for i in range(20)}  # some share nothing, a third are the hub alone
+    got = {}
+    for r in OV.knn(_rows(spark, s), k, at=0.3).collect():
+        got.setdefault(r.src, []).append((r["rank"], r.dst, round(r.s, 9)))
+    for a in s:
+        near = sorted((-JAC(s[a], s[b]), b) for b in s if b != a)[:k]
+        # Fillers that share nothing come from the 2 k + 1 smallest ids.
+        assert [(d, v) for _, d, v in sorted(got[a])] == [(b, round(-v, 9)) for v, b in near]
+
+
 def test_partitioning_does_not_matter(spark):
     s = _sets(6)
     a = {tuple(r) for r in K.jaccard(_rows(spark, s).repartition(1), 0.4).collect()}

@@ -146,3 +146,27 @@ def test_contiguous_remainder_goes_last(spark):
 def test_train_val_test_covers_all(pos, edges):
     rows = N.train_val_test(pos).collect()
     assert len(rows) == len(edges) and {r.part for r in rows} == {"train", "val", "test"}
+
+
+def test_negatives_are_an_even_sample(spark):
+    # 40 drugs of 3 among 100 targets: about 120 picks over 100 targets, none a partner, none repeated for a drug.
+    pos = spark.createDataFrame([(f"d{i:02d}", f"t{(7 * i + j) % 100:03d}") for i in range(40) for j in range(3)], "src string, dst string")
+    targets = spark.createDataFrame([(f"t{j:03d}",) for j in range(100)], "dst string")
+    picks = [tuple(r) for seed in range(3) for r in N.negatives_per_drug(pos, targets, 2, seed).collect()]
+    known = {tuple(r) for r in pos.collect()}
+    assert len(picks) == 3 * 240 and not known & set(picks)
+    use = {}
+    for _, t in picks:
+        use[t] = use.get(t, 0) + 1
+    expected = len(picks) / 100
+    assert len(use) > 95 and sum((use.get(f"t{j:03d}", 0) - expected) ** 2 / expected for j in range(100)) < 160  # chi-squared, 99 degrees
+    # Drugs with most targets as partners get what is left.
+    dense = spark.createDataFrame([("a", f"t{j:03d}") for j in range(97)] + [("b", "t000")], "src string, dst string")
+    got = sorted(tuple(r) for r in N.negatives_per_drug(dense, targets, 1).collect())
+    assert [t for d, t in got if d == "a"] == ["t097", "t098", "t099"] and len(got) == 4
+
+
+def test_global_negatives_of_a_dense_network(spark):
+    pairs = [(f"d{i}", f"t{j}") for i in range(5) for j in range(6)]
+    got = [tuple(r) for r in N.negatives_global(spark.createDataFrame(pairs[:-4], "src string, dst string")).collect()]
+    assert sorted(got) == sorted(pairs[-4:])
