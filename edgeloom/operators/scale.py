@@ -8,7 +8,10 @@ that holds a third of the table is spread over all of its buckets.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +22,21 @@ HOT_ROWS = 1_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable storage named by ``spark.checkpoint.dir``."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: the rows as a Parquet table in the folder named by ``spark.checkpoint.dir``.
+
+    Later reads take the columns they need. The shuffle files of the job that writes it
+    go when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark) -> str:
@@ -33,6 +48,7 @@ def shared_folder(spark) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="edgeloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -72,16 +88,18 @@ def running_sum(df: DataFrame, groups, order, bucket: Column, measures: dict[str
 
 
 def salted_join(left: DataFrame, right: DataFrame, on, how: str = "inner", hot_rows: int = HOT_ROWS, rows: int | None = None) -> DataFrame:
-    """Equi-join that splits the left rows of hot keys and copies their right rows.
+    """Equi-join whose hot left keys are split.
 
-    Keys with more than ``hot_rows`` left rows are spread over ``ceil(n / hot_rows)``
+    Where the session splits skewed partitions at run time, a plain join does it, from
+    sizes that are known by then. Else the left rows of hot keys are salted and their
+    right rows copied: keys with more than ``hot_rows`` left rows are spread over ``ceil(n / hot_rows)``
     salts. At most ``|left| / hot_rows`` keys can be hot: that bounds the hot-key table,
     which is therefore broadcast. Rows with a NULL key match nothing and are spread too.
     Left rows keep their matches exactly (inner, left, left_semi or left_anti). If the
     left side is known to have at most ``hot_rows`` rows, nothing can be hot.
     """
     on = list(on)
-    if rows is not None and rows <= hot_rows:
+    if hot_rows == HOT_ROWS and (splits_skew(left.sparkSession) or rows is not None and rows <= hot_rows):
         return left.join(right, on, how)
     hot = (
         left.groupBy(*on).count().filter(F.col("count") > hot_rows)
@@ -97,6 +115,12 @@ def salted_join(left: DataFrame, right: DataFrame, on, how: str = "inner", hot_r
     return salted.join(copies, on + ["_salt"], how).drop("_salt")
 
 
+def splits_skew(spark) -> bool:
+    """Whether adaptive execution deals skewed join partitions anew, even where that needs another shuffle."""
+    on = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin")
+    return all(spark.conf.get(k, "false") == "true" for k in on)
+
+
 def dense_index(ids: DataFrame, col: str, name: str = "idx") -> DataFrame:
     """Distinct sorted ids numbered from 0 without a single-task sort.
 
