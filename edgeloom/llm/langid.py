@@ -6,7 +6,8 @@ match in the automaton, at least one letter. Phrases end with a word, so the phr
 once and reused. c phrases over m letters against n letters of training cost c log2(n) / m bits a letter
 (the cross-parsing estimate of the cross-entropy); the language of the lowest cost wins, ties by name.
 
-The sample holds at most ``SAMPLE`` documents of each language: those with the smallest hashes of their id.
+The sample holds at most ``SAMPLE`` documents of each language: those with the smallest hashes of their id
+(rows of an equal id count as one).
 All else reads whole texts of all rows; predictions see the text alone.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without labelled rows all are ``und``;
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SAMPLE = 48  # labelled documents of a language
-CACHE = 200_000  # words whose phrases a task remembers
+CACHE = 100_000  # words whose phrases a task remembers
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = " "
 
@@ -95,12 +96,13 @@ def learned_from(key: Column) -> Column:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> list[tuple[str, SuffixAutomaton]]:
     """An automaton for every language of the labelled rows given, from at most ``sample`` documents each."""
-    rows = docs.select(F.xxhash64(F.col(key).cast("string")).alias("_h"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter("_t IS NOT NULL AND _l IS NOT NULL")
-    sizes = rows.groupBy("_l").count()
-    # Hashes are even: a share of them holds the sample with room to spare; only that share is ranked.
-    share = F.least(F.lit(1.0), 4.0 * sample / F.col("count"))
-    drawn = rows.join(sizes, "_l").filter((F.pmod(F.col("_h"), F.lit(1 << 40)) / float(1 << 40)) < share)
-    first = drawn.withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy(F.pmod(F.col("_h"), F.lit(1 << 40)), "_h", "_t"))).filter(F.col("_r") <= sample)
+    h = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40))
+    rows = docs.select(h.alias("_h"), F.col(text).alias("_t"), F.col(lang).alias("_l")).filter("_t IS NOT NULL AND _l IS NOT NULL")
+    # The hashes alone give the last one of each language's sample; then only the texts up to it are read.
+    first = rows.select("_l", "_h").withColumn("_r", F.row_number().over(W.partitionBy("_l").orderBy("_h"))).filter(F.col("_r") <= sample)
+    last = [tuple(r) for r in first.groupBy("_l").agg(F.max("_h")).collect()]
+    last = docs.sparkSession.createDataFrame(last, "_l string, _last long")  # a row for each language, as many as there are models
+    first = rows.join(F.broadcast(last), "_l").filter(F.col("_h") <= F.col("_last"))
     words: dict[str, set[str]] = {}
     for r in first.select("_l", "_t").toLocalIterator():
         words.setdefault(r[0], set()).update(LETTERS.findall(r[1].lower()))
