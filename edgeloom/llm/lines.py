@@ -25,13 +25,14 @@ from .common import stored
 
 WORDS = 8
 SPACE = r"[\x20\x09-\x0D]+"
-_BLANKS = " \t\n\x0b\f\r"
 _MOD = (1 << 61) - 1
 COUNTS = ("n_lines", "n_exact", "n_near")
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+    """Words between blanks; other white space is rare and replaced before, as a single blank splits fastest."""
+    plain = F.when(line.rlike(r"[\t\x0B\f\r\n]"), F.regexp_replace(line, SPACE, " ")).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _hash(*parts) -> Column:
