@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SAMPLE = 48  # labelled documents of a language
-CACHE = 100_000  # words whose phrases a task remembers
+CACHE = 200_000  # words whose phrases a task remembers
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = " "
 
@@ -124,7 +124,8 @@ def _identify(text: str, models):
 
     def one(body):
         counts = Counter(LETTERS.findall(body.lower())) if body else None
-        if not counts or not models:
+        # Runs of signs like ½ are words, but no letters.
+        if not counts or not models or not any(c.isalpha() for word in counts for c in word):
             return "und", 0.0
         total = [0] * len(models)
         for word, n in counts.items():
