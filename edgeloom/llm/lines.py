@@ -43,7 +43,7 @@ def half_keys(w: Column, n: Column) -> Column:
     """Hashes of the first and of the last half; two lines within one edit share one of them."""
     halves = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
     return F.flatten(F.transform(halves, lambda h: F.array(
-        F.xxhash64(F.lit("head"), h, F.array_join(F.slice(w, 1, h), " ")), F.xxhash64(F.lit("tail"), h, F.array_join(F.slice(w, n - h + 1, h), " ")))))
+        F.xxhash64(F.lit("head"), h, F.slice(w, 1, h)), F.xxhash64(F.lit("tail"), h, F.slice(w, n - h + 1, h)))))
 
 
 def _sum(values: Column) -> Column:
@@ -96,9 +96,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     rows = docs.select(F.col(key).alias("_d"), F.xxhash64(text).alias("_t"), F.posexplode(F.split(text, "\n")).alias("_p", "line"))
     w, n = F.col("w"), F.col("n")
     rows = rows.select("_d", "_t", "_p", words_of(F.col("line")).alias("w")).withColumn("n", F.size("w"))
-    joined = F.array_join(w, " ")
     rows = stored(rows.select(
-        F.struct("_d", "_t", "_p").alias("at"), "n", F.when(n > 0, F.xxhash64(joined)).alias("h1"), F.when(n > 0, F.xxhash64(F.lit(1), joined)).alias("h2"),
+        F.struct("_d", "_t", "_p").alias("at"), "n", F.when(n > 0, F.xxhash64(w)).alias("h1"), F.when(n > 0, F.xxhash64(F.lit(1), w)).alias("h2"),
         F.when(n >= words, half_keys(w, n)).alias("halves")))
     distinct = rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("halves").alias("halves"))
     distinct = stored(distinct)
