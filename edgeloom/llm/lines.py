@@ -6,9 +6,10 @@ line is within one word edit (one word put in, left out or replaced), whether or
 
 Distinct lines that share no half with another cannot be within one edit and drop out first. Every other line
 emits its variants as hashed keys: the line, the line without each word, and the line with a gap at each word.
-Hashes of the variants come from sums over the words, so a line's variants cost as much as the line. Lines
-meet at equal keys, where only the earliest matters: a gap or a whole line is compared with the earliest of
-its key, so no pairs of a group are made. The word edit distance of every such candidate is then verified.
+Hashes of the variants come from sums over the words with their places, modulo 2^61 - 1, so variants with equal
+keys are equal but for chance, and a line's variants cost little more than the line. Lines meet at equal keys,
+where only the earliest matters: a gap or a whole line is compared with the earliest of its key, so no pairs of
+a group are made. The word edit distance of every such candidate is then verified.
 
 Cases: null texts stay null; empty texts and blank lines stay; long lines and texts are read whole; ties are
 settled by the hash of the text, rows equal in id and text are one document and lose the same lines; a null
@@ -50,29 +51,30 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: F.pmod(a + x, F.lit(_MOD)))
 
 
-def gap_keys(w: Column, n: Column, total: Column) -> Column:
-    """Keys of the line with a gap at each word; ``total``: sum of the words' hashes with their places."""
-    return F.transform(w, lambda x, i: F.xxhash64(F.lit("gap"), n, i, F.pmod(total - _hash(x, i), F.lit(_MOD))))
+def placed(w: Column) -> Column:
+    """Hash of each word with its place."""
+    return F.transform(w, lambda x, i: _hash(x, i))
 
 
-def _triple(w: Column, a: Column, b: Column, c: Column) -> Column:
-    at = lambda i: F.when(i < 0, F.lit(None)).otherwise(F.get(w, i))
-    return _hash("three", F.coalesce(at(a), F.lit("\n")), F.coalesce(at(b), F.lit("\n")), F.coalesce(at(c), F.lit("\n")))
+def moves(w: Column, n: Column, at: Column) -> Column:
+    """For each place, what the sum of ``placed`` loses when the words up to there move one place ahead, modulo ``_MOD``.
 
+    A running sum by doubling: each round adds the value a power of two before, n log n steps for a line of any length."""
+    lost = F.zip_with(at, F.transform(w, lambda x, i: _hash(x, i - 1)), lambda a, b: F.pmod(a - b, F.lit(_MOD)))
+    powers = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda k: k < n)
+    return F.aggregate(powers, lost, lambda s, k: F.transform(s, lambda x, i: F.when(i < k, x).otherwise(F.pmod(x + F.get(s, i - k), F.lit(_MOD)))))
 
-def triples(w: Column) -> Column:
-    """Sum of the hashes of all three words in a row, both ends marked."""
-    return _sum(F.transform(w, lambda _, i: _triple(w, i - 1, i, i + 1)))
 
+def gap_keys(at: Column, n: Column, total: Column) -> Column:
+    """Keys of the line with a gap at each word; ``total``: sum of ``at``, the words' hashes with their places."""
+    return F.transform(at, lambda x, i: F.xxhash64(F.lit("gap"), n, i, F.pmod(total - x, F.lit(_MOD))))
 
-def without_keys(w: Column, n: Column, total: Column) -> Column:
-    """Keys of the line without each word, equal to the ``whole_key`` of that line; ``total``: its ``triples``."""
-    first, last = F.lit(0).cast("long"), n - 1
-    def key(i):
-        gone = _triple(w, i - 1, i, i + 1) + F.when(i > 0, _triple(w, i - 2, i - 1, i)).otherwise(first) + F.when(i < last, _triple(w, i, i + 1, i + 2)).otherwise(first)
-        new = F.when(i > 0, _triple(w, i - 2, i - 1, i + 1)).otherwise(first) + F.when(i < last, _triple(w, i - 1, i + 1, i + 2)).otherwise(first)
-        return F.xxhash64(F.lit("whole"), n - 1, F.pmod(F.pmod(total - gone, F.lit(_MOD)) + new, F.lit(_MOD)))
-    return F.transform(w, lambda _, i: key(i))
+
+def without_keys(at: Column, n: Column, total: Column, moved: Column) -> Column:
+    """Keys of the line without each word, equal to the ``whole_key`` of that line, as later words move one place ahead; ``moved``: its ``moves``."""
+    rest = F.pmod(total - F.get(moved, n - 1), F.lit(_MOD))
+    key = lambda x, s, r: F.xxhash64(F.lit("whole"), n - 1, F.pmod(r + s - x, F.lit(_MOD)))
+    return F.flatten(F.transform(F.array(rest), lambda r: F.zip_with(at, moved, lambda x, s: key(x, s, r))))
 
 
 def whole_key(n: Column, total: Column) -> Column:
@@ -113,9 +115,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     near = stored(found.withColumn("n", F.size("w")))
 
     # Variants; only the earliest of each key is a candidate.
-    summed = near.select("at", "w", "n", _sum(F.transform("w", lambda x, i: _hash(x, i))).alias("total"), triples(w).alias("three"))
+    summed = near.select("at", "w", "n", placed(w).alias("placed"))
+    put, total = F.col("placed"), F.col("total")
+    summed = summed.select("at", "n", "placed", _sum(put).alias("total"), moves(w, n, put).alias("moved"))
     variant = lambda role, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.lit(role).alias("role")))
-    variants = F.concat(variant(0, gap_keys(w, n, F.col("total"))), variant(1, without_keys(w, n, F.col("three"))), variant(2, F.array(whole_key(n, F.col("three")))))
+    variants = F.concat(variant(0, gap_keys(put, n, total)), variant(1, without_keys(put, n, total, F.col("moved"))), variant(2, F.array(whole_key(n, total))))
     variants = summed.select("at", F.explode(variants).alias("v")).select("at", "v.key", "v.role")
     variants = stored(variants)
     at = F.col("at")

@@ -85,6 +85,19 @@ def test_line_dedup(spark, odd):
     assert sum(x[4] for x in want) >= 5
 
 
+def test_line_dedup_of_repeated_words(spark):
+    """Lines of the same words and word pairs in another order are no partners and hide none."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(1, "0 0 0 1 0 0 0 0 0"), (2, "0 0 0 0 0 1 0 0 0"), (3, "0 0 0 0 0 1 0 0 0 0")]
+    rows += [(i, " ".join(draw.choices("01", [9, 1], k=draw.randint(8, 13)))) for i in range(4, 40)]
+    for some in (rows[:3], rows):
+        want = brute.lines(some, lambda t: 0)
+        assert brute.rows_of(lines.dedup_lines(brute.frame(spark, some)), "doc_id", "text", "n_lines", "n_exact", "n_near") == want
+        assert any(x[0] == 3 and x[4] == 1 for x in want)
+
+
 def test_suffix_tree(odd):
     rows, df = odd
     want, states = brute.suffix_tree(rows, 6, suffixtree.K)
