@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ _ENCODERS: dict = {}
 
 
 def encoder(path: str):
-    """Byte-level BPE of a ``tokenizers`` file; ids equal those of that library, special strings are ordinary text."""
+    """Byte-level BPE of a ``tokenizers`` file; ids equal those of that library, also for its added tokens inside a text."""
     if path not in _ENCODERS:
         import tiktoken
         from public_tokenizers import PATTERN
@@ -46,9 +47,11 @@ def encoder(path: str):
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
         assert set(of) == set(ByteLevel.alphabet())
-        special = {t["content"] for t in model["added_tokens"]}
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        # Found in the text as it stands: neither normalised nor joined with blanks or bounded by words.
+        assert not any(t[k] for t in model["added_tokens"] for k in ("normalized", "lstrip", "rstrip", "single_word"))
         ranks = {bytes(of[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
-        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _ENCODERS[path]
 
 
@@ -56,7 +59,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document, in order."""
 
     def run(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        encode = partial(encoder(vocabulary).encode, allowed_special="all")
         for b in slices(batches, "_text", 2 << 20):
             rows: dict[str, list] = {f.name: [] for f in schema.fields}
             for doc, body in zip(b.column("_key").to_pylist(), b.column("_text").to_pylist()):

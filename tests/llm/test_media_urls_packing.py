@@ -116,6 +116,12 @@ def test_packing(odd, none, size):
     assert packing.packed(none, VOCABULARY).count() == 0
 
 
+def test_packing_of_special_strings(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f" {end} ", f"x{end}y\n{end}", f"word \n {end}\t\t word", f"{end[:-1]} <|ENDOFTEXT|> <{end}>", f"é {end}é " * 50]
+    checked(packing.packed(brute.frame(spark, list(enumerate(texts))), VOCABULARY, size=64), list(enumerate(texts)), 64)
+
+
 def test_best_two_fit_replaces_the_smallest():
     # Greedy: 6 + 3, one place left. The 3 gives way to 2 + 2.
     fillings = packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)
