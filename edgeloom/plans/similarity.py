@@ -321,15 +321,14 @@ def _(spark, sf):
 
 @query("biased_walks")
 def _(spark, sf):
-    return G.biased_walks(T.interactions(spark, sf), num_walks=1, length=5)
+    return G.biased_walks(T.interactions(spark, sf))
 
 
 @query("node_embeddings")
 def _(spark, sf):
     from ..operators.learn import node_embeddings
 
-    walks = checkpointed(G.biased_walks(T.interactions(spark, sf), num_walks=2, length=5))
-    return node_embeddings(walks, dim=8, window=3)
+    return node_embeddings(checkpointed(G.biased_walks(T.interactions(spark, sf))))
 
 
 # Sessions as walks: the events of a user in the order of time.

@@ -111,3 +111,25 @@ def test_hops_without_a_bound(spark):
     e = [(f"n{i}", f"n{i + 1}") for i in range(12)]
     got = {r.id: r.hops for r in G.hop_distance(_df(spark, e), spark.createDataFrame([("n0",)], "id string")).collect()}
     assert got == {f"n{i}": i for i in range(13)}
+
+
+def test_walk_queries_use_the_operators_defaults(spark, monkeypatch):
+    from inspect import signature
+
+    from edgeloom.operators import learn
+    from edgeloom.plans import QUERIES
+    from edgeloom.plans import tables as T
+
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    walks = spark.createDataFrame([("a#0", 0, "a")], "walk string, step int, node string")
+    monkeypatch.setattr(T, "interactions", lambda *_: edges)
+    seen = []
+    for module, name in ((G, "biased_walks"), (learn, "node_embeddings")):
+        def spy(*args, _f=signature(getattr(module, name)), **kw):
+            bound = _f.bind(*args, **kw).arguments
+            seen.append({k: v for k, v in list(bound.items())[1:] if v != _f.parameters[k].default})
+            return walks
+        monkeypatch.setattr(module, name, spy)
+    for name in ("biased_walks", "node_embeddings"):
+        QUERIES[name](spark, "")
+    assert seen == [{}, {}, {}]
