@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.scale import shared_folder
+from ..operators.scale import dense_index, shared_folder
 from ..sources import catalog as C
 from ..sources import readers as R
 from ..sources import writers as W
@@ -185,12 +185,12 @@ def _(spark, sf):
 
 @query("read_matrix", "SELECT 'S' || s_suppkey AS a, 'N' || n_nationkey AS b, CAST(s_suppkey * 100 + n_nationkey AS DOUBLE) AS s FROM supplier, nation")
 def _(spark, sf):
-    s = T.table(spark, sf, "supplier").select("s_suppkey").repartitionByRange(1, "s_suppkey").sortWithinPartitions("s_suppkey")
+    s = T.table(spark, sf, "supplier").select("s_suppkey")
     nations = [r[0] for r in T.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     head = spark.createDataFrame([("\t".join(["", *[f"N:{n}" for n in nations]]), -1)], "line string, o long")
     line = F.concat_ws("\t", F.concat(F.lit("S:"), "s_suppkey"), *[(F.col("s_suppkey") * 100 + n).cast("string") for n in nations])
     path = _new(spark)
-    head.unionByName(s.select(line.alias("line"), F.col("s_suppkey").alias("o"))).repartitionByRange(1, "o").sortWithinPartitions("o").select("line").write.text(path)
+    head.unionByName(s.select(line.alias("line"), F.col("s_suppkey").alias("o"))).repartitionByRange("o").sortWithinPartitions("o").select("line").write.text(path)
     return R.read_matrix(spark, path)
 
 
@@ -199,15 +199,13 @@ def _(spark, sf):
     "SELECT 'D' || user_id AS id, " + " || ' ' || ".join(f"CAST(max(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) AS VARCHAR)" for t in ("click", "error", "view")) + " AS line FROM events GROUP BY 1",
 )
 def _(spark, sf):
-    from pyspark.sql import Window as W_
-
     e = T.table(spark, sf, "events").select(F.concat(F.lit("D"), "user_id").alias("src"), F.col("event_type").alias("dst"))
     path = _new(spark)
     ids = e.select(F.col("src").alias("id")).distinct()
     W.write_matrix(e, ids, ["click", "error", "view"], path)
     back = R.number_lines(spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("block")))
     # Line numbers against the sorted ids show the order of the rows too.
-    return back.join(ids.withColumn("pos", (F.row_number().over(W_.orderBy("id")) - 1).cast("long")), "pos").select("id", F.col("value").alias("line"))
+    return back.join(dense_index(ids, "id", "pos"), "pos").select("id", F.col("value").alias("line"))
 
 
 @query("write_map", "SELECT DISTINCT p_name AS k, 'P' || p_partkey AS v FROM part")

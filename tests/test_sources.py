@@ -135,3 +135,24 @@ def test_writers(spark, tmp_path):
     assert _rows(tagged, "src", "dst", "tag") == [("a", "x", "a"), ("a", "x", "x"), ("b", "x", "x")]
     W.write_tagged(tagged, str(tmp_path / "tags"))
     assert sorted(d for d in os.listdir(tmp_path / "tags") if d.startswith("tag=")) == ["tag=a", "tag=x"]
+
+
+def test_matrix_queries_without_a_single_task(spark, monkeypatch, tmp_path):
+    """Rows are written by range and numbered over ranges; several files are read in their order."""
+    from edgeloom.plans import QUERIES, files
+
+    path = str(tmp_path / "matrix")
+    monkeypatch.setattr(files, "_new", lambda _: path)
+    adaptive = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        cells = QUERIES["read_matrix"](spark, "/root/testdata/sf0.01")
+        assert sum(f.startswith("part-") for f in os.listdir(path)) > 1
+        right = F.concat(F.regexp_replace("a", "^S", ""), F.lpad(F.regexp_replace("b", "^N", ""), 2, "0")).cast("double")
+        assert cells.filter(F.col("s") != right).count() == 0 and cells.count() == cells.select("a", "b").distinct().count() == 100 * 25
+        path = str(tmp_path / "events")
+        lines = QUERIES["write_matrix"](spark, "/root/testdata/sf0.001")
+        assert "row_number" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(adaptive, before)
