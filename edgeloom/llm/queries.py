@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
+from .conversations import structure
 from .decontaminate import contamination, verdicts
 from .langid import identify, learned_from, train
 from .lines import dedup_lines
@@ -15,6 +17,7 @@ from .sharding import sharded
 from .suffixes import dedup_substrings
 from .suffixtree import score
 from .urlfilter import judge, rules_table
+from .vectors import near_vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +132,20 @@ def op3_substrings(spark, sf):
 @query("op10_lm_scores")
 def op10_lm_scores(spark, sf):
     return score(read(spark, sf, "documents"))
+
+
+@query("op11_alignment")
+def op11_alignment(spark, sf):
+    import public_tokenizers
+
+    return align(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_conversations")
+def op12_conversations(spark, sf):
+    return structure(read(spark, sf, "conversations"))
+
+
+@query("op13_embeddings")
+def op13_embeddings(spark, sf):
+    return near_vectors(read(spark, sf, "embeddings"))
