@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import digest_bucket, digest_int, order_key, uniform
 from .edges import symmetrize, undirected
-from .scale import checkpointed, ranked, salted_join
+from .scale import checkpointed, salted_join
+from .walks import biased_walks  # noqa: F401
 
 
 def augment_graph(edges: DataFrame, src_near: DataFrame, dst_near: DataFrame) -> DataFrame:
@@ -97,78 +97,6 @@ def path_kernel(hops: DataFrame, scale: float = 0.9) -> DataFrame:
     return hops.select(F.col("source").alias("a"), F.col("id").alias("b"), (F.lit(scale) * F.exp(-F.col("hops"))).alias("s"))
 
 
-# -- walks ------------------------------------------------------------------
-
-def adjacency_index(edges: DataFrame, seed=0) -> DataFrame:
-    """Neighbours of every node numbered 0…degree − 1: (node, pos, nbr, weight, degree, top).
-
-    ``top`` is the node's largest edge weight. Edges are (src, dst[, weight]).
-    """
-    w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-    e = edges.select("src", "dst", w.alias("weight"))
-    both = e.select(F.explode(F.array(F.struct("src", "dst", "weight"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))).alias("e"))
-    both = both.groupBy(F.col("e.src").alias("node"), F.col("e.dst").alias("nbr")).agg(F.max("e.weight").alias("weight"))
-    both = checkpointed(both.withColumn("_k", order_key(seed, "node", "nbr")))
-    pos = ranked(both, ["node"], ["_k", "nbr"], digest_bucket(F.col("_k")), "pos").withColumn("pos", F.col("pos") - 1).drop("_k")
-    deg = both.groupBy("node").agg(F.count("*").alias("degree"), F.max("weight").alias("top"))
-    return checkpointed(salted_join(pos, deg, ["node"], rows=both.count()))
-
-
-def biased_walks(
-    edges: DataFrame, p: float = 0.25, q: float = 2.0, num_walks: int = 10, length: int = 50, seed: int = 0, tries: int = 6, starts: DataFrame | None = None
-) -> DataFrame:
-    """Second-order walks as rows (walk, step, node); a walk is named start#i.
-
-    A step from v, having come from u, weighs a neighbour x by w/p if x = u, w if x
-    is linked to u, w/q otherwise. A walk never looks at the whole neighbourhood: it
-    draws neighbours by their number and accepts one with probability weight / bound
-    (rejection sampling), so a hub costs a walk no more than any other node. The
-    return edge, which can weigh more than the bound for the others, has its own
-    share of the draws. Walks that accept none of ``tries`` draws draw again.
-    """
-    adj = adjacency_index(edges, seed)
-    bound = max(1.0, 1.0 / q)
-    extra = max(0.0, 1.0 / p - bound)
-    degree = adj.groupBy(F.col("node").alias("cur")).agg(F.first("degree").alias("degree"), F.first("top").alias("top"))
-    draws = adj.select(F.col("node").alias("cur"), "pos", F.col("nbr").alias("x"), F.col("weight").alias("w"))
-    links = adj.select(F.col("node").alias("prev"), F.col("nbr").alias("x"), F.lit(True).alias("linked"))
-
-    nodes = (starts.select(F.col("id").alias("cur")).distinct().join(degree, "cur", "left_semi") if starts is not None else degree.select("cur"))
-    rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("i"), "cur")
-    walks = rows.select(F.concat_ws("#", "cur", "i").alias("walk"), "cur", F.lit(None).cast("string").alias("prev"))
-    walks = checkpointed(walks)
-    n_walks = walks.count()
-    out = walks.select("walk", F.lit(0).alias("step"), F.col("cur").alias("node"))
-    for step in range(1, length):
-        here = salted_join(walks, degree, ["cur"], rows=n_walks)
-        # Weight of the edge back to the previous node, for its extra share of the draws.
-        back = adj.select(F.col("node").alias("cur"), F.col("nbr").alias("prev"), F.col("weight").alias("w_back"))
-        here = checkpointed(here.join(back, ["cur", "prev"], "left"))
-        pending, moved, rnd = here, None, 0
-        while True:
-            t = pending.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-            t = t.withColumn("_k", order_key(seed, "walk", F.lit(step), F.lit(rnd), "t"))
-            area = F.col("degree") * F.col("top") * bound
-            outlier = F.coalesce(F.col("w_back") * extra, F.lit(0.0))
-            t = t.withColumn("back", uniform(F.col("_k"), 1) * (area + outlier) >= area)
-            t = t.withColumn("pos", F.least(F.floor(uniform(F.col("_k"), 14) * F.col("degree")), F.col("degree") - 1).cast("long"))
-            t = t.withColumn("height", F.conv(F.substring(F.md5(F.concat("_k", F.lit("h"))), 1, 13), 16, 10).cast("double") / float(16**13))
-            t = t.join(draws, ["cur", "pos"]).withColumn("x", F.when(F.col("back"), F.col("prev")).otherwise(F.col("x")))
-            t = t.join(links, ["prev", "x"], "left")
-            bias = F.when(F.col("prev").isNull(), 1.0).when(F.col("x") == F.col("prev"), F.least(F.lit(1.0 / p), F.lit(bound)))
-            bias = bias.when(F.col("linked"), 1.0).otherwise(1.0 / q)
-            ok = F.col("back") | (F.col("height") * F.col("top") * bound < F.col("w") * bias)
-            hit = checkpointed(t.filter(ok).groupBy("walk", "cur").agg(F.min_by("x", "t").alias("x")))
-            moved = hit if moved is None else moved.unionByName(hit)
-            rest = pending.join(hit.select("walk"), "walk", "left_anti")
-            if hit.count() == pending.count():
-                break
-            pending, rnd = checkpointed(rest), rnd + 1
-        walks = moved.select("walk", F.col("x").alias("cur"), F.col("cur").alias("prev"))
-        out = out.unionByName(walks.select("walk", F.lit(step).alias("step"), F.col("cur").alias("node")))
-    return out
-
-
 # -- meta-paths -------------------------------------------------------------
 
 def _product(left: DataFrame, right: DataFrame, lv, rv) -> DataFrame:
@@ -195,13 +123,16 @@ def two_hop(sim: DataFrame) -> DataFrame:
 def cooccurrence(walks: DataFrame, window: int) -> DataFrame:
     """(a, b, n): how often b follows or precedes a within ``window`` steps of a walk (walk, step, node).
 
-    Every step meets the steps at each distance by an equi-join on (walk, step).
+    Steps are dealt to spans of ``window``; a step meets those of its span and of the next
+    by an equi-join on (walk, span). Pairs are counted in one order and mirrored then.
     """
-    x = walks.select("walk", "step", F.col("node").alias("a"))
-    y = walks.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(window)))).select("walk", (F.col("step") + F.col("_d")).alias("step"), F.col("node").alias("b"))
-    pairs = x.join(y, ["walk", "step"])
-    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
-    return both.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    span = F.floor(F.col("step") / window)
+    x = walks.select("walk", "step", F.col("node").alias("a"), span.alias("_span"))
+    y = walks.select("walk", F.col("step").alias("_later"), F.col("node").alias("b"), F.explode(F.array(span, span - 1)).alias("_span"))
+    met = x.join(y, ["walk", "_span"]).filter((F.col("_later") > F.col("step")) & (F.col("_later") <= F.col("step") + window))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("n"))
+    both = met.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "n")
+    return both.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
 
 
 def positive_information(counts: DataFrame) -> DataFrame:

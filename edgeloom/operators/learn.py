@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -121,25 +123,81 @@ def factor_scores(train: DataFrame, test: DataFrame, rank: int = 10, iterations:
     return x.withColumn("score", dot).drop("i", "j", "_u", "_w")
 
 
-def node_embeddings(walks: DataFrame, dim: int = 32, window: int = 10, rounds: int = 2, seed: int = 0) -> DataFrame:
-    """Vectors (id, vec) of unit length of the nodes in walks (walk, step, node), near for nodes of like company.
+def _products(rows: DataFrame, left: str, right: str) -> np.ndarray:
+    """Sum over the rows of the outer products of two array columns: partial sums in the tasks, width² numbers in the end."""
+
+    def run(batches):
+        total = 0.0
+        for b in batches:
+            x, y = (np.array(b[c].flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1) for c in (left, right))
+            total = total + x.T @ y
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "v"])
+
+    parts = rows.select(*dict.fromkeys((left, right))).mapInArrow(run, "at long, v double")
+    cells = parts.groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    width = round(len(cells) ** 0.5)
+    return np.array([r.v for r in cells]).reshape(width, width)
+
+
+def _turned(rows: DataFrame, col: str, by: np.ndarray, out: str) -> DataFrame:
+    """(id, out): the array column times a small matrix."""
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b[col].flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1) @ by
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(list(x), pa.list_(pa.float64()))], names=["id", out])
+
+    return rows.select("id", col).mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {out} array<double>")
 
-    The positive mutual information of nodes within a window is projected: every node
-    starts from random signs (by digest), and each round takes the weighted mean of the
-    vectors of those it occurs with. The sum over the rounds is the vector. All of it is
-    joins and sums over the sparse matrix, ``dim`` numbers a row.
+
+def _whitening(gram: np.ndarray) -> np.ndarray:
+    """T with Tᵀ·G·T = 1 on the directions that G has."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    ok = values > values.max() * 1e-13
+    return vectors[:, ok] / np.sqrt(values[ok])
+
+
+def leading_vectors(matrix: DataFrame, dim: int, spare: int = 8, rounds: int = 12, tol: float = 1e-3, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """Eigenvectors of a symmetric sparse matrix (a, b, w) for its ``dim`` eigenvalues of largest size: ((id, vec), values).
+
+    Block power iteration with ``spare`` more columns: the matrix times the block is a join and sums, the block is made
+    orthonormal by its Gram matrix, a sum over the rows, whose small factor is applied back to them. It stops when the
+    Ritz values have moved by less than ``tol`` of the largest, or after ``rounds``. Only width² numbers leave the cluster.
     """
-    w = positive_information(cooccurrence(walks, window))
-    share = w.groupBy("a").agg(F.sum("w").alias("_t"))
-    w = checkpointed(salted_join(w, share, ["a"]).select("a", "b", (F.col("w") / F.col("_t")).alias("w")))
+    width = dim + spare
+    matrix = checkpointed(matrix.select("a", "b", F.col("w").cast("double").alias("w")))
     sign = lambda i: F.when(digest_int(order_key(seed, "id", F.lit(str(i))), 1, 1) % 2 == 0, 1.0).otherwise(-1.0)
-    names = [f"v{i}" for i in range(dim)]
-    now = walks.select(F.col("node").alias("id")).distinct().select("id", *[sign(i).alias(n) for i, n in enumerate(names)])
-    total = None
-    for _ in range(rounds):
-        met = salted_join(w.withColumnRenamed("b", "id"), now, ["id"])
-        now = checkpointed(met.groupBy(F.col("a").alias("id")).agg(*[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]))
-        total = now if total is None else total.unionByName(now)
-    out = total.groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).select("id", F.array(*names).alias("vec"))
+    start = checkpointed(matrix.select(F.col("a").alias("id")).distinct().select("id", F.array(*[sign(i) for i in range(width)]).alias("v")))
+    if not start.head(1):
+        return start.withColumnRenamed("v", "vec"), np.zeros(0)
+    block = _turned(start, "v", _whitening(_products(start, "v", "v")), "v")
+    before = None
+    for no in range(rounds):
+        block = checkpointed(block)
+        width = block.select(F.size("v")).first()[0]
+        met = matrix.join(block.withColumnRenamed("id", "b"), "b")
+        moved = met.groupBy("a").agg(*[F.sum(F.col("w") * F.col("v")[i]).alias(f"y{i}") for i in range(width)])
+        moved = checkpointed(moved.select(F.col("a").alias("id"), F.array(*[f"y{i}" for i in range(width)]).alias("y")).join(block, "id"))
+        small = _products(moved, "v", "y")
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-np.abs(values))[:dim]
+        values, turn = values[order], turn[:, order]
+        if no == rounds - 1 or before is not None and len(before) == len(values) and np.abs(np.abs(values) - np.abs(before)).max() <= tol * np.abs(values).max():
+            break
+        before = values
+        block = _turned(moved, "y", _whitening(_products(moved, "y", "y")), "v")
+    return _turned(moved, "v", turn, "vec"), values
+
+
+def node_embeddings(walks: DataFrame, dim: int = 32, window: int = 10, rounds: int = 12, seed: int = 0) -> DataFrame:
+    """Vectors (id, vec) of unit length of the nodes in walks (walk, step, node), near for nodes of like company.
+
+    They factorise the positive mutual information of nodes within a window: its leading eigenvectors, each times the
+    root of its eigenvalue's size. Nodes without any such information are absent.
+    """
+    vectors, values = leading_vectors(positive_information(checkpointed(cooccurrence(walks, window))), dim, rounds=rounds, seed=seed)
+    weight = F.array(*[F.lit(float(w)) for w in np.sqrt(np.abs(values))])
+    out = vectors.select("id", F.zip_with("vec", weight, lambda x, w: x * w).alias("vec"))
     size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     return out.select("id", F.when(size > 0, F.transform("vec", lambda x: x / size)).otherwise(F.col("vec")).alias("vec"))

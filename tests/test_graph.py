@@ -61,17 +61,38 @@ def test_walks_follow_edges_and_repeat(spark):
     assert w == _walks(spark, e, num_walks=2, length=5)
 
 
-def test_walk_bias(spark):
-    # From m, having come from u: back to u 1/p, to the linked v 1, to the far x and y 1/q each.
-    e = [("u", "m", 1.0), ("u", "v", 1.0), ("v", "m", 1.0), ("m", "x", 1.0), ("m", "y", 2.0)]
-    start = spark.createDataFrame([("u",)], "id string")
-    rows = G.biased_walks(spark.createDataFrame(e, "src string, dst string, weight double"), p=0.25, q=2.0, num_walks=6000, length=3, starts=start)
-    third = rows.groupBy("walk").agg(F.max(F.when(F.col("step") == 1, F.col("node"))).alias("a"), F.max(F.when(F.col("step") == 2, F.col("node"))).alias("b"))
-    n = {r.b: r["count"] for r in third.filter("a = 'm'").groupBy("b").count().collect()}
-    total = sum(n.values())
-    want = {"u": 4.0, "v": 1.0, "x": 0.5, "y": 1.0}
-    for k, v in want.items():
-        assert n[k] / total == pytest.approx(v / 6.5, abs=0.03)
+def _law(edges, p, q):
+    """Probabilities of the neighbours of v after a step from u."""
+    w = {}
+    for a, b, x in edges:
+        for c, d in ((a, b), (b, a)):
+            w.setdefault(c, {})[d] = max(w.get(c, {}).get(d, 0.0), x)
+
+    def of(u, v):
+        out = {x: k / p if x == u else k if x in w[u] else k / q for x, k in w[v].items()}
+        return {x: k / sum(out.values()) for x, k in out.items()}
+
+    return of
+
+
+@pytest.mark.parametrize("p, q, cell", [(0.25, 2.0, 3), (4.0, 0.5, 256)])
+def test_steps_follow_their_law(spark, p, q, cell):
+    # Triangles, weights, a loop, and a hub whose neighbours fill several cells.
+    e = [("u", "m", 1.0), ("u", "v", 1.0), ("v", "m", 1.0), ("m", "x", 1.0), ("m", "y", 2.0), ("m", "m", 1.5), ("x", "y", 1.0)]
+    e += [("m", f"z{i}", 0.5 + i / 10) for i in range(12)] + [("u", f"z{i}", 1.0) for i in range(0, 12, 3)]
+    seen = {}
+    for w in _walks(spark, e, p=p, q=q, num_walks=1000, length=4, cell=cell).values():
+        for u, v, x in zip(w, w[1:], w[2:]):
+            seen.setdefault((u, v), {}).setdefault(x, []).append(1)
+    law, square, free = _law(e, p, q), 0.0, 0
+    for (u, v), found in seen.items():
+        want, total = law(u, v), sum(map(len, found.values()))
+        assert found.keys() <= want.keys()
+        for x, share in want.items():
+            if total * share > 5:
+                square += (len(found.get(x, [])) - total * share) ** 2 / (total * share)
+                free += 1
+    assert free > 100 and square / free < 1.4
 
 
 def test_dtdt_counts_paths(spark):
@@ -107,6 +128,37 @@ def test_node_vectors_follow_their_company(spark):
     assert same > other + 0.3
 
 
+@pytest.mark.parametrize("rank", [40, 3])
+def test_leading_vectors_are_eigenvectors(spark, rank):
+    import numpy as np
+
+    from edgeloom.operators.learn import leading_vectors
+
+    r = np.random.default_rng(0)
+    a = r.standard_normal((40, rank)) * (r.random((40, rank)) < 0.5)
+    a = a @ np.diag(0.7 ** np.arange(rank) * np.where(np.arange(rank) % 3, 1.0, -1.0)) @ a.T
+    cells = spark.createDataFrame([(f"n{i}", f"n{j}", float(a[i, j])) for i in range(40) for j in range(40) if a[i, j]], "a string, b string, w double")
+    vectors, values = leading_vectors(cells, 5, rounds=40, tol=1e-6)
+    want = np.linalg.eigvalsh(a)
+    want = want[np.argsort(-np.abs(want))][:5]
+    got = {v.id: np.array(v.vec) for v in vectors.collect()}
+    n = min(rank, 5)
+    x = np.array([got.get(f"n{i}", np.zeros(len(values))) for i in range(40)])[:, :n]
+    assert values[:n] == pytest.approx(want[:n], rel=1e-3)
+    assert np.abs(a @ x - x * values[:n]).max() < 1e-2 * np.abs(values[0]) and np.abs(x.T @ x - np.eye(n)).max() < 1e-9
+
+
+def test_cooccurrence_counts_all_pairs_within_the_window(spark):
+    r = random.Random(3)
+    walks = [(w, s, f"n{r.randrange(4)}") for w in range(5) for s in range(r.randrange(1, 14)) if r.random() < 0.9]
+    want = {}
+    for w, s, a in walks:
+        for w2, s2, b in walks:
+            if w == w2 and 0 < abs(s - s2) <= 3:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(x.a, x.b): x.n for x in G.cooccurrence(spark.createDataFrame(walks, "walk int, step int, node string"), 3).collect()} == want
+
+
 def test_hops_without_a_bound(spark):
     e = [(f"n{i}", f"n{i + 1}") for i in range(12)]
     got = {r.id: r.hops for r in G.hop_distance(_df(spark, e), spark.createDataFrame([("n0",)], "id string")).collect()}
