@@ -354,4 +354,14 @@ def _(spark, sf):
 
     e = checkpointed(T.interactions(spark, sf))
     test = e.filter(order_key(0, "src", "dst") < "1")
-    return factor_scores(e.join(test, ["src", "dst"], "left_anti"), test, rank=4, iterations=2)
+    return factor_scores(e.join(test, ["src", "dst"], "left_anti"), test)
+
+
+@query("inductive_scores")
+def _(spark, sf):
+    """All pairs of one drug in ten, which the fit never sees, scored by the features of both ends."""
+    from ..operators.factor import inductive_scores
+
+    pairs = checkpointed(T.labelled_pairs(spark, sf))
+    new = order_key("new", "src") < "1a"
+    return inductive_scores(pairs.filter(~new), pairs.filter(new), T.drug_features(spark, sf), T.target_features(spark, sf))

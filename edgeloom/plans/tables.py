@@ -63,6 +63,20 @@ def sequences(spark, sf) -> DataFrame:
     return table(spark, sf, "pages").select(F.concat(F.lit("Q"), F.col("page_id")).alias("id"), F.col("url").alias("seq"))
 
 
+def drug_features(spark, sf) -> DataFrame:
+    """(id, f, w): nation, segment and a constant of every customer."""
+    c = table(spark, sf, "customer")
+    f = F.explode(F.array(F.concat(F.lit("nation"), "c_nationkey"), "c_mktsegment", F.lit("one")))
+    return c.select(F.concat(F.lit("D"), "c_custkey").alias("id"), f.alias("f"), F.lit(1.0).alias("w"))
+
+
+def target_features(spark, sf) -> DataFrame:
+    """(id, f, w): brand, type, size and a constant of every part."""
+    p = table(spark, sf, "part")
+    f = F.explode(F.array("p_brand", "p_type", F.concat(F.lit("size"), "p_size"), F.lit("one")))
+    return p.select(F.concat(F.lit("T"), "p_partkey").alias("id"), f.alias("f"), F.lit(1.0).alias("w"))
+
+
 def embeddings(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.concat(F.lit("V"), F.col("vec_id")).alias("id"), F.col("embedding").alias("vec"), "label")
 
