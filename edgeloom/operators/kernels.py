@@ -8,6 +8,9 @@ membership table alongside.
 
 from __future__ import annotations
 
+from math import comb
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,27 +75,63 @@ def spectrum_kernel(seq: DataFrame, k: int, min_sim: float) -> DataFrame:
     return cosine_weighted(kmer_counts(seq, k).select("id", "f", F.col("c").alias("w")), min_sim)
 
 
-def mismatch_counts(seq: DataFrame, k: int, m: int, alphabet) -> DataFrame:
-    """Counts of k-mers within ``m`` mismatches of an occurring one.
+def common_neighbours(k: int, m: int, letters: int, d: int) -> int:
+    """Number of words of length k within m mismatches of both of two words that differ in d places."""
+    total = 0
+    for i in range(d + 1):  # differing places where it is like the first word, j like the second, the rest like neither
+        for j in range(d - i + 1):
+            for c in range(k - d + 1):  # places where the words agree and it does not
+                if d - i + c <= m and d - j + c <= m:
+                    total += comb(d, i) * comb(d - i, j) * (letters - 2) ** (d - i - j) * comb(k - d, c) * (letters - 1) ** c
+    return total
+
+
+def blank_weights(k: int, m: int, letters: int) -> list[int]:
+    """Weight of matches with j places blanked, such that their weighted sum counts common neighbours.
 
-    Neighbours are generated once per distinct k-mer, not per occurrence.
-    ``alphabet`` is the list of letters of the sequence vocabulary.
+    Words that differ in d places agree under comb(k - d, j - d) of the ways to blank j places: the weights solve
+    sum over j of weight_j * comb(k - d, j - d) = common_neighbours(d), for every d.
     """
-    counts = kmer_counts(seq, k)
-    letters = F.array(*[F.lit(a) for a in alphabet])
+    n = [common_neighbours(k, m, letters, d) for d in range(k + 1)]
+    return [sum(n[d] * (-1) ** (d - j) * comb(k - j, d - j) for d in range(j, k + 1)) for j in range(k + 1)]
+
+
+def count_letters(seq: DataFrame, col: str = "seq") -> int:
+    return seq.select(F.explode(F.split(col, "")).alias("l")).filter("l <> ''").agg(F.count_distinct("l")).first()[0]
+
+
+def blanked_rows(counts: DataFrame, k: int, weights: list[int]) -> DataFrame:
+    """(id, f, w): k-mer counts (id, f, c) with every choice of places blanked; w is the count times the root of the weight."""
+    ways = [[i for i in range(k) if not bits >> i & 1] for bits in range(1 << k)]
+    word = lambda at: F.concat_ws("", *[F.substring("f", i + 1, 1) if i in at else F.lit("\0") for i in range(k)])
+    ways = [(at, float(np.sqrt(weights[k - len(at)]))) for at in ways if weights[k - len(at)]]
+    made = F.explode(F.array(*[F.struct(F.concat(F.lit(f"{n}:"), word(at)).alias("f"), F.lit(w).alias("w")) for n, (at, w) in enumerate(ways)]))
+    return counts.select("id", "c", made.alias("_x")).groupBy("id", F.col("_x.f").alias("f")).agg(F.sum(F.col("c") * F.col("_x.w")).alias("w"))
+
+
+def neighbour_rows(counts: DataFrame, seq: DataFrame, k: int, m: int, col: str = "seq") -> DataFrame:
+    """(id, f, w): counts of all words within m mismatches of the k-mers, for alphabets of a few letters."""
+    letters = F.array(*[F.lit(r[0]) for r in seq.select(F.explode(F.split(col, "")).alias("l")).filter("l <> ''").distinct().collect()])
     near = counts.select("f").distinct().withColumn("g", F.col("f"))
     for _ in range(m):
-        def swaps(g):
-            change = lambda i: F.transform(
-                letters, lambda a: F.concat(F.substring(g, F.lit(1), i - 1), a, F.substring(g, i + 1, F.lit(k)))
-            )
-            return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), change))
-        near = near.select("f", F.explode(F.array_distinct(F.concat(F.array("g"), swaps(F.col("g"))))).alias("g")).distinct()
-    return counts.join(near, "f").groupBy("id", F.col("g").alias("f")).agg(F.sum("c").alias("c"))
+        change = lambda i: F.transform(letters, lambda a: F.concat(F.substring("g", F.lit(1), i - 1), a, F.substring("g", i + 1, F.lit(k))))
+        near = near.select("f", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), change))).alias("g")).distinct()
+    return counts.join(near, "f").groupBy("id", F.col("g").alias("f")).agg(F.sum("c").alias("w"))
 
 
-def mismatch_kernel(seq: DataFrame, k: int, m: int, alphabet, min_sim: float) -> DataFrame:
-    return cosine_weighted(mismatch_counts(seq, k, m, alphabet).select("id", "f", F.col("c").alias("w")), min_sim)
+def mismatch_kernel(seq: DataFrame, k: int, m: int, min_sim: float) -> DataFrame:
+    """Cosine-normalised count of common words within ``m`` mismatches of the k-mers of both sequences, over all their letters.
+
+    No neighbouring word is made: k-mers with places blanked are the features, 2^k of a k-mer at most whatever the
+    alphabet, and inclusion and exclusion gives their weights. Where an alphabet is so small that a weight is negative,
+    its few neighbours are listed instead.
+    """
+    counts, letters = kmer_counts(seq, k), count_letters(seq)
+    if letters < 2:  # every k-mer is the same word
+        return spectrum_kernel(seq, k, min_sim)
+    weights = blank_weights(k, m, letters)
+    rows = blanked_rows(counts, k, weights) if min(weights) >= 0 else neighbour_rows(counts, seq, k, m)
+    return cosine_weighted(rows, min_sim)
 
 
 def tfidf_rows(counts: DataFrame) -> DataFrame:

@@ -107,17 +107,31 @@ for _k in (3, 4):
         return _rounded(K.spectrum_kernel(T.sequences(spark, sf), k, 0.8))
 
 
-_ALPHABET = list("aeiout")
+def _common_sql(k, m, d):
+    """Words within m mismatches of both of two words that differ in d places, as SQL in the number of letters L."""
+    from math import comb
 
+    ways = [(i, j, c) for i in range(d + 1) for j in range(d - i + 1) for c in range(k - d + 1) if d - i + c <= m and d - j + c <= m]
+    return " + ".join(f"{comb(d, i) * comb(d - i, j) * comb(k - d, c)} * (L - 2) ** {d - i - j} * (L - 1) ** {c}" for i, j, c in ways) or "0"
 
-@query(
-    "mismatch_kernel",
-    _grams(3) + f""", near AS (SELECT DISTINCT f, CASE WHEN p = 0 THEN f ELSE substr(f, 1, p - 1) || l || substr(f, p + 1) END AS m
-    FROM (SELECT DISTINCT f FROM g), (SELECT unnest([0, 1, 2, 3]) AS p), (SELECT unnest({_ALPHABET}) AS l)), w AS (SELECT id, m AS f, CAST(sum(c) AS DOUBLE) AS w FROM g JOIN near USING (f) GROUP BY 1, 2)"""
-    + _NORM + _COS.format(at=0.85),
-)
-def _(spark, sf):
-    return _rounded(K.mismatch_kernel(T.sequences(spark, sf), 3, 1, _ALPHABET, 0.85))
+
+def _mismatch_sql(k, m, at):
+    """For one mismatch all neighbours over all letters, for two the Hamming distances of all pairs of words."""
+    letters = "al AS (SELECT DISTINCT unnest(string_split(seq, '')) AS l FROM seqs)"
+    if m == 1:
+        near = f"near AS (SELECT DISTINCT f, substr(f, 1, p - 1) || l || substr(f, p + 1) AS g FROM (SELECT DISTINCT f FROM g), (SELECT unnest(range(1, {k + 1})) AS p), al)"
+        return _grams(k) + f", {letters}, {near}, w AS (SELECT id, near.g AS f, CAST(sum(c) AS DOUBLE) AS w FROM g JOIN near USING (f) GROUP BY 1, 2)" + _NORM + _COS.format(at=at)
+    number = "CASE d " + " ".join(f"WHEN {d} THEN {_common_sql(k, m, d)}" for d in range(k + 1)) + " END"
+    return _grams(k) + f""", {letters}, n AS (SELECT CAST(count(*) AS DOUBLE) AS L FROM al), v AS (SELECT DISTINCT f FROM g), h AS (SELECT x.f AS f, y.f AS e, hamming(x.f, y.f) AS d FROM v x, v y), h2 AS (SELECT f, e, CAST({number} AS DOUBLE) AS n FROM h, n),
+    t AS (SELECT id, e, sum(c * n) AS t FROM g JOIN h2 USING (f) GROUP BY 1, 2), kk AS (SELECT t.id AS a, g.id AS b, sum(t.t * g.c) AS s FROM t JOIN g ON t.e = g.f WHERE t.id <= g.id GROUP BY 1, 2), o AS (SELECT a, s FROM kk WHERE a = b)
+    SELECT kk.a, kk.b, round(kk.s / sqrt(x.s * y.s), 6) AS s FROM kk JOIN o x ON x.a = kk.a JOIN o y ON y.a = kk.b WHERE kk.a < kk.b AND kk.s / sqrt(x.s * y.s) >= {at} - 1e-9"""
+
+
+for _k, _m, _at in ((3, 1, 0.85), (4, 1, 0.75), (3, 2, 0.95), (4, 2, 0.9)):
+
+    @query("mismatch_kernel" if (_k, _m) == (3, 1) else f"mismatch_kernel_{_k}_{_m}", _mismatch_sql(_k, _m, _at))
+    def _(spark, sf, k=_k, m=_m, at=_at):
+        return _rounded(K.mismatch_kernel(T.sequences(spark, sf), k, m, at))
 
 
 @query(
