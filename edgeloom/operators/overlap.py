@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scale import checkpointed, running_sum, salted_join
+from .scale import checkpointed, dense_index, running_sum, salted_join
 
 SLACK = 1e-9
+POSTING = 2048  # rows of a feature that meet each other under one key
+CAPS = (1024, 65_536, None)  # most rows of the features that nearest neighbours are looked for with, round by round
 
 
 @dataclass(frozen=True)
@@ -119,19 +121,20 @@ def index_rows(rows: DataFrame, need: Threshold, cold: int = 64, warm: int = 409
     left = F.col("n") - F.col("_upto") + F.col("_w2")
     share = F.when(F.col("_df") < cold, 0.0).when(F.col("_df") < warm, 0.5).otherwise(1.0)
     return x.select(
-        "id", "f", "w", "n", "_w2",
+        "id", "f", "w", "n", "_w2", "_df",
         (left >= need.as_smaller(F.col("n")) * share - SLACK).alias("short"),
         (left >= need.as_larger(F.col("n")) * share - SLACK).alias("long"),
     )
 
 
-def spread(x: DataFrame) -> DataFrame:
-    """Partition by feature into the configured number of partitions.
+def posting_blocks(rows: DataFrame, df: str, names: tuple[str, str], size: int | None = None) -> DataFrame:
+    """Rows of one side of a join on ``f``, dealt so that no key holds more than about ``size`` rows of a side.
 
-    The join that follows multiplies its rows, so its tasks must not be merged by the
-    size of their input.
+    A feature of ``df`` rows has ceil(df / size) blocks a side; a row goes to one of its own side and to all of the
+    other's. ``names`` are the columns of the own and of the other side's block: join on ``f`` and both.
     """
-    return x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "f")
+    n = F.ceil(F.col(df) / F.lit(size or POSTING)).cast("int")
+    return rows.withColumn(names[0], F.pmod(F.xxhash64(rows.columns[0]), n).cast("int")).withColumn(names[1], F.explode(F.sequence(F.lit(0), n - 1)))
 
 
 def overlaps(rows: DataFrame, need: Threshold) -> DataFrame:
@@ -146,9 +149,9 @@ def overlaps(rows: DataFrame, need: Threshold) -> DataFrame:
         F.sum(F.when(~F.col("long"), F.col("_w2")).otherwise(0.0)).alias("rl"),
     )
     x = salted_join(x.drop("_w2"), rest, ["id"], rows=n_rows)
-    by_feature = spread(x)
-    small = by_feature.filter("short").select("f", F.col("id").alias("x"), F.col("w").alias("wx"), F.col("n").alias("nx"), F.col("rs").alias("rx"))
-    large = by_feature.filter("long").select("f", F.col("id").alias("y"), F.col("w").alias("wy"), F.col("n").alias("ny"), F.col("rl").alias("ry"))
+    small = x.filter("short").select(F.col("id").alias("x"), "f", F.col("w").alias("wx"), F.col("n").alias("nx"), F.col("rs").alias("rx"), F.col("_df").alias("_dx"))
+    large = x.filter("long").select(F.col("id").alias("y"), "f", F.col("w").alias("wy"), F.col("n").alias("ny"), F.col("rl").alias("ry"), F.col("_df").alias("_dy"))
+    small, large = posting_blocks(small, "_dx", ("_p", "_q")), posting_blocks(large, "_dy", ("_q", "_p"))
     if need.unit_weights:
         ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
         bound = F.greatest("rx", "ry")
@@ -156,7 +159,7 @@ def overlaps(rows: DataFrame, need: Threshold) -> DataFrame:
         ordered = F.col("x") < F.col("y")
         bound = F.sqrt(F.greatest(F.col("rx") * F.col("ny"), F.col("ry") * F.col("nx")))
     wanted = need.pair(F.col("nx"), F.col("ny")) - SLACK
-    seen = small.join(large, "f").filter(ordered & need.sizes(F.col("nx"), F.col("ny")))
+    seen = small.join(large, ["f", "_p", "_q"]).filter(ordered & need.sizes(F.col("nx"), F.col("ny")))
     seen = seen.groupBy("x", "y").agg(
         F.sum(term(F.col("wx"), F.col("wy"))).alias("seen"), *[F.first(c).alias(c) for c in ("nx", "ny", "rx", "ry")]
     )
@@ -180,8 +183,61 @@ def overlaps(rows: DataFrame, need: Threshold) -> DataFrame:
     )
 
 
-def expand_knn(sim: DataFrame, members: DataFrame, k: int, value: str = "s", same: float = 1.0) -> DataFrame:
-    """k nearest others per id from similarities of representatives.
+def nearest(rows: DataFrame, k: int, caps=CAPS) -> DataFrame:
+    """(src, dst, s): the k nearest by the Jaccard coefficient among those that share a feature; ties go to the smaller id.
+
+    Round by round ids meet the rows that share one of their features of up to ``cap`` rows. What the more frequent
+    features add is looked up only for pairs that could still be among the k best. Rows that share only frequent
+    features reach at most (their number) / (the id's size): an id whose k-th best is above that is done, the others
+    go on with the next cap. So a hub's rows meet each other only where nothing rarer settles an id.
+    """
+    ids = checkpointed(dense_index(rows, "id", "i"))
+    freq = rows.groupBy("f").agg(F.count("*").alias("_df"))
+    x = checkpointed(rows.select("id", "f").join(freq, "f").join(ids, "id").select("i", "f", "_df"))
+    most = x.agg(F.max("_df")).first()[0] or 0
+    out, todo = None, None
+    for cap in caps:
+        last = cap is None or cap >= most
+        cap = most if last else cap
+        hot = x.filter(F.col("_df") > cap).select("i", "f")
+        size = x.groupBy("i").agg(F.count("*").alias("n"), F.sum((F.col("_df") > cap).cast("int")).alias("h"))
+        cold = checkpointed(x.filter(F.col("_df") <= cap).join(size, "i"))
+        mine = (cold if todo is None else cold.join(todo, "i", "left_semi")).select(F.col("i").alias("x"), "f", "n", F.col("h").alias("hx"), "_df")
+        theirs = cold.select(F.col("i").alias("y"), "f", F.col("n").alias("m"), F.col("h").alias("hy"), F.col("_df").alias("_dy"))
+        met = posting_blocks(mine, "_df", ("_p", "_q")).join(posting_blocks(theirs, "_dy", ("_q", "_p")), ["f", "_p", "_q"]).filter(F.col("x") != F.col("y"))
+        # Dealt by x once: the counts and the order of an id's candidates need no further shuffle.
+        pair = ["x", "y", "n", "m"] + ([] if last else ["hx", "hy"])
+        seen = met.select(*pair).repartition("x").groupBy(*pair).agg(F.count("*").alias("o"))
+        jaccard = lambda o: o / (F.col("n") + F.col("m") - o)
+        best = W.partitionBy("x").orderBy(F.desc("s"), "y")
+        if not last:
+            more = F.least("hx", "hy")
+            kth = F.max(F.when(F.col("_r") == k, F.col("s"))).over(W.partitionBy("x"))
+            bounded = seen.withColumn("s", jaccard(F.col("o"))).withColumn("_r", F.row_number().over(best)).withColumn("_kth", F.coalesce(kth, F.lit(0.0)))
+            alive = checkpointed(bounded.filter(jaccard(F.col("o") + more) >= F.col("_kth") - SLACK).drop("s", "_r", "_kth"))
+            late = alive.filter(more > 0).select("x", "y").join(hot.withColumnRenamed("i", "x"), "x").join(hot.withColumnRenamed("i", "y"), ["y", "f"], "left_semi")
+            late = late.groupBy("x", "y").agg(F.count("*").alias("_late"))
+            seen = alive.join(late, ["x", "y"], "left").withColumn("o", F.col("o") + F.coalesce("_late", F.lit(0)))
+        found = seen.withColumn("s", jaccard(F.col("o"))).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("x", "y", "s", "_r")
+        if last:
+            out = found if out is None else out.unionByName(found)
+            break
+        found = checkpointed(found)
+        state = size.join(found.filter(F.col("_r") == k).select(F.col("x").alias("i"), F.col("s").alias("_kth")), "i", "left")
+        state = state if todo is None else state.join(todo, "i", "left_semi")
+        done = (F.col("h") == 0) | (F.coalesce("_kth", F.lit(0.0)) > F.col("h") / F.col("n") + SLACK)
+        state = checkpointed(state.select("i", done.alias("_done")))
+        found = found.join(state.filter("_done").select(F.col("i").alias("x")), "x", "left_semi")
+        out = found if out is None else out.unionByName(found)
+        todo = state.filter("not _done").select("i")
+        if not todo.head(1):
+            break
+    named = out.join(ids.select(F.col("i").alias("x"), F.col("id").alias("src")), "x").join(ids.select(F.col("i").alias("y"), F.col("id").alias("dst")), "y")
+    return named.select("src", "dst", "s")
+
+
+def expand_knn(sim: DataFrame, members: DataFrame, k: int, value: str = "s", same: float = 1.0, both: bool = True) -> DataFrame:
+    """k nearest others per id from similarities (a, b) of representatives, each pair given once or, if not ``both``, for a alone.
 
     Copies are nearest with value ``same``; ties go to the smaller id. Only the
     first k + 1 members of a group of copies can be anyone's nearest, so groups are
@@ -189,7 +245,8 @@ def expand_knn(sim: DataFrame, members: DataFrame, k: int, value: str = "s", sam
     """
     by_id = W.partitionBy("rep").orderBy("id")
     heads = members.withColumn("_r", F.row_number().over(by_id)).filter(F.col("_r") <= k + 1).select("rep", "id")
-    both = sim.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), value)
+    ways = [F.struct("a", "b")] + [F.struct(F.col("b").alias("a"), F.col("a").alias("b"))] * both
+    both = sim.select(F.explode(F.array(*ways)).alias("p"), value)
     near = W.partitionBy("rep").orderBy(F.desc(value), "other")
     near_reps = both.select(F.col("p.a").alias("rep"), F.col("p.b").alias("other"), value)
     near_reps = near_reps.withColumn("_r", F.row_number().over(near)).filter(F.col("_r") <= k + 1).drop("_r")
@@ -203,36 +260,21 @@ def expand_knn(sim: DataFrame, members: DataFrame, k: int, value: str = "s", sam
     return out.select("src", "dst", value, "rank")
 
 
-def complete_knn(found: DataFrame, rows: DataFrame, k: int, value: str = "s") -> DataFrame:
-    """The k nearest of every id by the Jaccard coefficient, from those ``found`` (src, dst, value) above some threshold.
+def knn(rows: DataFrame, k: int, caps=CAPS) -> DataFrame:
+    """Exactly k nearest others (src, dst, s, rank) of every id by the Jaccard coefficient; ties go to the smaller id.
 
-    Ids that are still short meet all rows that share a feature with them; what then
-    lacks is filled by the smallest ids that share nothing, with value 0. Only the
-    short ids are joined, and 2 k + 1 smallest ids are enough to fill any of them.
+    Ids with fewer than k that share a feature are filled up with the smallest ids that share nothing, with value 0:
+    2 k + 1 smallest ids are enough to fill any of them.
     """
-    rows = rows.select("id", "f")
-    found = checkpointed(found.select("src", "dst", value))
-    ids = checkpointed(rows.groupBy("id").agg(F.count("*").alias("n")))
-    have = found.groupBy("src").agg(F.count("*").alias("_c"))
-    short = checkpointed(ids.join(have, ids["id"] == have["src"], "left").filter(F.coalesce("_c", F.lit(0)) < k).select("id", "n"))
-    mine = rows.join(short, "id").select(F.col("id").alias("src"), "f", F.col("n").alias("na"))
-    met = spread(mine).join(rows.withColumnRenamed("id", "dst"), "f").filter(F.col("src") != F.col("dst"))
-    met = met.groupBy("src", "dst", "na").agg(F.count("*").alias("o")).join(ids.select(F.col("id").alias("dst"), F.col("n").alias("nb")), "dst")
-    near = met.select("src", "dst", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias(value))
-    least = ids.select(F.col("id").alias("dst")).orderBy("dst").limit(2 * k + 1).agg(F.collect_list("dst").alias("_l"))
-    blank = short.select(F.col("id").alias("src")).join(F.broadcast(least)).select("src", F.explode("_l").alias("dst")).filter(F.col("src") != F.col("dst"))
-    blank = blank.join(near.select("src", "dst"), ["src", "dst"], "left_anti").withColumn(value, F.lit(0.0))
-    kept = found.join(short.select(F.col("id").alias("src")), "src", "left_anti")
-    best = W.partitionBy("src").orderBy(F.desc(value), "dst")
-    out = kept.unionByName(near).unionByName(blank).withColumn("rank", F.row_number().over(best))
-    return out.filter(F.col("rank") <= k)
-
-
-def knn(rows: DataFrame, k: int, at: float = 0.05) -> DataFrame:
-    """Exactly k nearest others (src, dst, s, rank) of every id by the Jaccard coefficient; ties go to the smaller id."""
-    from .kernels import jaccard
-
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.select("id", "f", "w"))
     reps, members = fold_copies(rows)
-    found = expand_knn(jaccard(reps, at), members, k)
-    return complete_knn(found, rows, k)
+    near = nearest(checkpointed(reps), k + 1, caps)
+    found = checkpointed(expand_knn(near.select(F.col("src").alias("a"), F.col("dst").alias("b"), "s"), members, k, both=False).select("src", "dst", "s"))
+    ids = rows.select(F.col("id").alias("src")).distinct()
+    have = found.groupBy(F.col("src").alias("_src")).agg(F.count("*").alias("_c"))
+    short = ids.join(have, F.col("src") == F.col("_src"), "left").filter(F.coalesce("_c", F.lit(0)) < k).select("src")
+    least = ids.orderBy("src").limit(2 * k + 1).agg(F.collect_list("src").alias("_l"))
+    blank = short.join(F.broadcast(least)).select("src", F.explode("_l").alias("dst")).filter(F.col("src") != F.col("dst"))
+    blank = blank.join(found.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("s", F.lit(0.0))
+    best = W.partitionBy("src").orderBy(F.desc("s"), "dst")
+    return found.unionByName(blank).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -46,6 +46,7 @@ COS = lambda x, y: len(x & y) / math.sqrt(len(x) * len(y))
 def way(request, monkeypatch):
     # Small index limits so that the fixture's features count as warm and hot.
     index = OV.index_rows
+    monkeypatch.setattr(OV, "POSTING", 3)
     if request.param == "usual":
         return
     monkeypatch.setattr(OV, "index_rows", lambda rows, need, n_rows=None: index(rows, need, cold=2, warm=16))
@@ -99,12 +100,13 @@ def test_knn_over_folded_copies(spark, k):
         assert [d for _, d in sorted(got.get(a, []))] == [b for _, b in near]
 
 
-@pytest.mark.parametrize("k", [1, 5, 100])
-def test_knn_is_exact_and_never_short(spark, k):
+@pytest.mark.parametrize("k, caps", [(1, (2, 6, None)), (5, (4, None)), (100, (1024, None))])
+def test_knn_is_exact_and_never_short(spark, monkeypatch, k, caps):
+    monkeypatch.setattr(OV, "POSTING", 3)
     s = _sets(7, n=30)
     s |= {f"lone{i}": {f"own{i}"} for i in range(4)} | {f"z{i:02d}": {"hub"} for i in range(20)}  # some share nothing, a third are the hub alone
     got = {}
-    for r in OV.knn(_rows(spark, s), k, at=0.3).collect():
+    for r in OV.knn(_rows(spark, s), k, caps).collect():
         got.setdefault(r.src, []).append((r["rank"], r.dst, round(r.s, 9)))
     for a in s:
         near = sorted((-JAC(s[a], s[b]), b) for b in s if b != a)[:k]
