@@ -196,13 +196,13 @@ def _(spark, sf):
 
 @query(
     "write_matrix",
-    "SELECT 'D' || user_id AS id, " + " || ' ' || ".join(f"CAST(max(CASE WHEN event_type = '{t}' THEN 1 ELSE 0 END) AS VARCHAR)" for t in ("click", "error", "view")) + " AS line FROM events GROUP BY 1",
+    "SELECT 'D' || user_id AS id, string_agg(CAST(CAST(t = ANY(had) AS INTEGER) AS VARCHAR), ' ' ORDER BY t) AS line FROM (SELECT user_id, list(DISTINCT event_type) AS had FROM events GROUP BY 1), (SELECT DISTINCT event_type AS t FROM events) GROUP BY 1",
 )
 def _(spark, sf):
     e = T.table(spark, sf, "events").select(F.concat(F.lit("D"), "user_id").alias("src"), F.col("event_type").alias("dst"))
     path = _new(spark)
     ids = e.select(F.col("src").alias("id")).distinct()
-    W.write_matrix(e, ids, ["click", "error", "view"], path)
+    W.write_matrix(e, ids, [r[0] for r in e.select("dst").distinct().orderBy("dst").collect()], path)
     back = R.number_lines(spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).alias("block")))
     # Line numbers against the sorted ids show the order of the rows too.
     return back.join(dense_index(ids, "id", "pos"), "pos").select("id", F.col("value").alias("line"))

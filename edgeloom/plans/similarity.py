@@ -246,18 +246,21 @@ def _second_similarity(spark, sf):
 _FUSE_VIEW = "SELECT a, b, o * 1.0 / (na + nb - o) AS s FROM (SELECT x.src AS a, y.src AS b, count(*) AS o FROM supply x JOIN supply y ON x.dst = y.dst AND x.src < y.src GROUP BY 1, 2) JOIN (SELECT src AS ka, count(*) AS na FROM supply GROUP BY 1) ON a = ka JOIN (SELECT src AS kb, count(*) AS nb FROM supply GROUP BY 1) ON b = kb WHERE o * 1.0 / (na + nb - o) >= 0.3 - 1e-9"
 
 
-def _fuse_sql():
+def _fuse_sql(rounds=2):
     parts = []
+    status = "SELECT i, j, v / (2 * sum(v) OVER (PARTITION BY i)) AS v FROM {0} WHERE i <> j UNION ALL SELECT DISTINCT i, i, 0.5 FROM {0} WHERE i <> j"
     for n, v in (("1", "tsim"), ("2", "ssim")):
         parts.append(f"m{n} AS (SELECT a AS i, b AS j, s AS v FROM {v} UNION ALL SELECT b, a, s FROM {v})")
-        parts.append(f"p{n} AS (SELECT i, j, v / (2 * sum(v) OVER (PARTITION BY i)) AS v FROM m{n} UNION ALL SELECT DISTINCT i, i, 0.5 FROM m{n})")
-        parts.append(f"k{n} AS (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS r FROM m{n}) WHERE r <= 5)")
-    for n, o in (("1", "2"), ("2", "1")):
-        parts.append(f"h{n} AS (SELECT k{n}.i, p{o}.j, sum(k{n}.v * p{o}.v) AS v FROM k{n} JOIN p{o} ON k{n}.j = p{o}.i GROUP BY 1, 2)")
-        parts.append(f"t{n} AS (SELECT h{n}.i, k{n}.i AS j, sum(h{n}.v * k{n}.v) AS v FROM h{n} JOIN k{n} ON h{n}.j = k{n}.j GROUP BY 1, 2)")
-        parts.append(f"q{n} AS (SELECT i, j, v / (2 * sum(v) OVER (PARTITION BY i)) AS v FROM t{n} WHERE i <> j)")
+        parts.append(f"p{n}_0 AS MATERIALIZED ({status.format(f'm{n}')})")
+        parts.append(f"k{n} AS MATERIALIZED (SELECT i, j, v / sum(v) OVER (PARTITION BY i) AS v FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS r FROM m{n}) WHERE r <= 5)")
+    for r in range(rounds):
+        for n, o in (("1", "2"), ("2", "1")):
+            p = f"p{o}_{r}"
+            parts.append(f"h{n}_{r} AS (SELECT k{n}.i, {p}.j, sum(k{n}.v * {p}.v) AS v FROM k{n} JOIN {p} ON k{n}.j = {p}.i GROUP BY 1, 2)")
+            parts.append(f"t{n}_{r} AS MATERIALIZED (SELECT h.i, k{n}.i AS j, sum(h.v * k{n}.v) AS v FROM h{n}_{r} h JOIN k{n} ON h.j = k{n}.j GROUP BY 1, 2)")
+            parts.append(f"p{n}_{r + 1} AS MATERIALIZED ({status.format(f't{n}_{r}')})")
     return with_views("tsim", "supply") + f", ssim AS ({_FUSE_VIEW}), " + ", ".join(parts) + (
-        " SELECT least(i, j) AS a, greatest(i, j) AS b, round(sum(v) / 4, 6) AS s FROM (SELECT * FROM q1 UNION ALL SELECT * FROM q2) GROUP BY 1, 2"
+        f" SELECT least(i, j) AS a, greatest(i, j) AS b, round(sum(v) / 4, 6) AS s FROM (SELECT * FROM p1_{rounds} UNION ALL SELECT * FROM p2_{rounds}) WHERE i <> j GROUP BY 1, 2"
     )
 
 
@@ -265,7 +268,7 @@ def _fuse_sql():
 def _(spark, sf):
     from ..operators.fuse import fuse
 
-    return _rounded(fuse([T.target_similarity(spark, sf), _second_similarity(spark, sf)], k=5, rounds=1))
+    return _rounded(fuse([T.target_similarity(spark, sf), _second_similarity(spark, sf)], k=5))
 
 
 @query(
