@@ -185,15 +185,17 @@ def annotation_ic(terms: DataFrame, closure: DataFrame, min_ic: float) -> DataFr
     """Largest information content of a shared term, divided by the row's largest.
 
     ``terms`` is (id, term), ``closure`` (term, ancestor) including the term itself.
-    Only terms with at least ``min_ic`` are paired, so frequent ancestors never are.
+    Only terms with at least ``min_ic`` are paired, so frequent ancestors never are; the
+    ids of a term meet in blocks.
     The result is directed: (a, b, s) for both orders.
     """
     full = salted_join(terms, closure, ["term"]).select("id", F.col("ancestor").alias("t")).distinct()
     n = full.agg(F.count_distinct("id").alias("_N"))
     ic = full.groupBy("t").agg(F.count("*").alias("_df")).join(F.broadcast(n))
-    ic = ic.select("t", (-F.log(F.col("_df") / F.col("_N"))).alias("ic")).filter(F.col("ic") >= min_ic)
+    ic = ic.select("t", (-F.log(F.col("_df") / F.col("_N"))).alias("ic"), "_df").filter(F.col("ic") >= min_ic)
     x = salted_join(full, ic, ["t"])
-    pairs = x.select("t", "ic", F.col("id").alias("a")).join(x.select("t", F.col("id").alias("b")), "t")
+    left = ov.posting_blocks(x.select(F.col("id").alias("a"), F.col("t").alias("f"), "ic", "_df"), "_df", ("_p", "_q")).drop("_df")
+    pairs = left.join(ov.posting_blocks(x.select(F.col("id").alias("b"), F.col("t").alias("f"), "_df"), "_df", ("_q", "_p")).drop("_df"), ["f", "_p", "_q"])
     best = pairs.filter(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.max("ic").alias("ic"))
     own = x.groupBy(F.col("id").alias("a")).agg(F.max("ic").alias("_own"))
     return best.join(own, "a").select("a", "b", (F.col("ic") / F.col("_own")).alias("s"))

@@ -228,6 +228,26 @@ def fold_spread(folds: DataFrame, entity: str) -> DataFrame:
     return folds.groupBy(entity).agg(F.count_distinct("fold").alias("n_folds"), F.min("fold").alias("fold"))
 
 
+def _any_offer(offers: DataFrame, crucial: DataFrame, taken: DataFrame, e: str, p: str) -> DataFrame:
+    """A replacement for some crucial entities (need, home), and for none only if no offer (fold, src, dst) fits any.
+
+    An offer fits an entity in another fold whose partner it is not paired with yet. Partners are numbered in each
+    fold: an entity with n partners finds one that is not among them in the first n + 1 of a fold, if there is any.
+    """
+    one = offers.groupBy("fold", p).agg(F.min(e).alias(e)).withColumn("_k", order_key("any", "fold", p))
+    one = checkpointed(ranked(one, ["fold"], ["_k", p], digest_bucket(F.col("_k")), "r"))
+    known = taken.groupBy(F.col(e).alias("need")).agg(F.count("*").alias("_n"))
+    folds = offers.select("fold").distinct()
+    asks = crucial.join(known, "need", "left").join(folds, F.col("fold") != F.col("home"))
+    asks = asks.select("need", "fold", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_n", F.lit(0)) + 1)).alias("r"))
+    fits = asks.join(one, ["fold", "r"]).join(taken.select(F.col(e).alias("need"), p), ["need", p], "left_anti")
+    # One for each entity, and none twice from the same spare entity or to the same pair.
+    fits = fits.groupBy("need").agg(F.min_by(F.struct("fold", e, p), "r").alias("o")).select("need", "o.*")
+    fits = fits.groupBy(e).agg(F.min_by(F.struct("fold", p, "need"), "need").alias("o")).select(e, "o.*")
+    new = {e: F.col("need"), p: F.col(p)}
+    return fits.select("fold", F.col("src").alias("old_src"), F.col("dst").alias("old_dst"), new["src"].alias("src"), new["dst"].alias("dst"))
+
+
 def repair_folds(folds: DataFrame, positives: DataFrame, mode: str = "Sp", seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Replace negatives so that no target (Sp, Sd) or drug (St) sits in one fold only.
 
@@ -235,19 +255,20 @@ def repair_folds(folds: DataFrame, positives: DataFrame, mode: str = "Sp", seed:
     each crucial entity a negative of another fold with a spare entity gives its place
     to (partner, crucial entity, 0). The partner must be spare in Sp and occur in a
     single fold in Sd and St. Replacements that would be true positives or repeat a pair
-    are not made. Rounds stop when nothing is crucial or when no fold that could be asked
-    had a repair; the second result lists what remains crucial. A repair makes no entity
-    crucial, so the rounds end.
+    are not made. Rounds stop when nothing is crucial or no replacement is possible any
+    more; the second result lists what remains crucial (everything, if there is a single
+    fold). A repair makes no entity crucial, so the rounds end.
 
     In each round negatives are offered to crucial entities one to one, by equal
-    rank in md5 order among those of the same fold, shifted by the round.
+    rank in md5 order among those of the same fold, shifted by the round. A round without
+    a repair is followed by one that looks at all offers (``_any_offer``).
     """
     e, p = ("src", "dst") if mode == "St" else ("dst", "src")
     current = checkpointed(folds.select("fold", "src", "dst", "label"))
     known = positives.select("src", "dst").distinct()
     n_folds = current.agg(F.count_distinct("fold")).first()[0]
-    idle, rnd = 0, -1
-    while True:
+    rnd = -1
+    while n_folds > 1:
         rnd += 1
         spread = checkpointed(fold_spread(current, e))
         crucial = spread.filter(F.col("n_folds") == 1).select(F.col(e).alias("need"), F.col("fold").alias("home"))
@@ -258,8 +279,9 @@ def repair_folds(folds: DataFrame, positives: DataFrame, mode: str = "Sp", seed:
         fits = partner.filter(F.col("n_folds") >= 3) if mode == "Sp" else partner.filter(F.col("n_folds") == 1)
         offers = current.filter(F.col("label") == 0)
         offers = offers.join(spread.filter(F.col("n_folds") >= 3), e, "left_semi").join(fits.select(p), p, "left_semi")
+        every = checkpointed(offers.select("fold", "src", "dst"))
         # One replaceable negative per spare entity and round, so that none is drained.
-        offers = offers.withColumn("_k", order_key(f"{seed}/{rnd}", "src", "dst"))
+        offers = every.withColumn("_k", order_key(f"{seed}/{rnd}", "src", "dst"))
         offers = offers.groupBy(e).agg(F.min_by(F.struct("fold", "src", "dst", "_k"), "_k").alias("o")).select("o.*")
         offers = checkpointed(ranked(offers, ["fold"], ["_k", "src", "dst"], digest_bucket(F.col("_k")), "r"))
         # A crucial entity asks in a fold other than its home, a different one each round.
@@ -272,11 +294,9 @@ def repair_folds(folds: DataFrame, positives: DataFrame, mode: str = "Sp", seed:
         made = made.join(known, ["src", "dst"], "left_anti").join(current.select("src", "dst"), ["src", "dst"], "left_anti")
         made = checkpointed(made)
         if made.isEmpty():
-            idle += 1
-            if idle >= n_folds:
+            made = checkpointed(_any_offer(every, crucial, current.select("src", "dst").unionByName(known).distinct(), e, p))
+            if made.isEmpty():
                 break
-            continue
-        idle = 0
         gone = made.select("fold", F.col("old_src").alias("src"), F.col("old_dst").alias("dst"), F.lit(0).alias("label"))
         kept = current.join(gone, ["fold", "src", "dst", "label"], "left_anti")
         current = checkpointed(kept.unionByName(made.select("fold", "src", "dst", F.lit(0).alias("label"))))

@@ -123,6 +123,25 @@ def test_repair_folds(spark, mode):
         assert N.fold_spread(after, side).filter("n_folds > 1").count() == 0
 
 
+def test_repair_leaves_only_what_no_offer_fits(spark):
+    # Targets u0…u3 sit in one fold; only the last drug's negatives can still be given to them, all others are partners.
+    drugs = [f"d{i}" for i in range(8)]
+    rows = [(i % 3, d, f"t{j}", 0) for i, d in enumerate(drugs) for j in range(2)] + [((i + 1) % 3, d, f"t{j}", 0) for i, d in enumerate(drugs) for j in range(2, 4)]
+    rows += [((i + 2) % 3, d, f"t{4 + j}", 0) for i, d in enumerate(drugs) for j in range(2)]
+    rows += [(0, f"own{n}", f"u{n}", 1) for n in range(4)]
+    pos = [(f"own{n}", f"u{n}") for n in range(4)] + [(d, f"u{n}") for d in drugs[:-1] for n in range(3)] + [(d, "u3") for d in drugs]
+    before = spark.createDataFrame(rows, "fold int, src string, dst string, label int")
+    after, left = N.repair_folds(before, spark.createDataFrame(pos, "src string, dst string"))
+    assert [r.dst for r in left.filter("dst like 'u%'").collect()] == ["u3"]
+    assert not {(r.src, r.dst) for r in after.filter("label = 0").collect()} & set(pos)
+
+
+def test_repair_of_a_single_fold_returns_all(spark):
+    one = spark.createDataFrame([(0, "a", "x", 1), (0, "b", "y", 0)], "fold int, src string, dst string, label int")
+    after, left = N.repair_folds(one, one.filter("label = 1"))
+    assert after.count() == 2 and sorted(r.dst for r in left.collect()) == ["x", "y"]
+
+
 def test_check_splits_names_the_setting(spark, pos):
     lab = _labelled(spark, pos)
     assert N.check_splits(N.folds_sd(lab, 5).withColumn("seed", F.lit(0))).first().verdict.startswith("Sd")
