@@ -178,10 +178,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     return out
 
 
-def verdicts(found: DataFrame, into: str = "contamination", share: int = 20) -> DataFrame:
-    """Adds ``contaminated``: some word is hit, and at least one word in ``share``."""
+def verdicts(found: DataFrame, into: str = "contamination", share: int = 20, flag: str = "contaminated") -> DataFrame:
+    """Adds the ``flag``: some word is hit, and at least one word in ``share``."""
     c = F.col(into)
-    return found.withColumn("contaminated", (c["n_hit"] > 0) & (c["n_hit"] * share >= c["n_words"]))
+    return found.withColumn(flag, (c["n_hit"] > 0) & (c["n_hit"] * share >= c["n_words"]))
 
 
 def cut_spans(texts, spans):
@@ -200,10 +200,11 @@ def cut_spans(texts, spans):
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", mode: str = "documents", **options) -> DataFrame:
     """Documents without the contaminated ones, or (``mode="spans"``) with the hit words cut out of every text."""
-    into = "contamination"
-    found = verdicts(contamination(docs, items, text=text, into=into, **options), into)
+    longest = max(map(len, docs.columns), default=0)  # names longer than any column's are free
+    into, flag = "c".ljust(longest + 1, "_"), "f".ljust(longest + 1, "_")
+    found = verdicts(contamination(docs, items, text=text, into=into, **options), into, flag=flag)
     if mode == "documents":
-        return found.filter(~F.col("contaminated")).select(docs.columns)
+        return found.filter(~F.col(flag)).select(docs.columns)
     cut = F.pandas_udf(lambda t, s: pd.Series(cut_spans(t, s)), T.StringType())
     return found.withColumn(text, cut(F.col(text), F.col(into)["spans"])).select(docs.columns)
 

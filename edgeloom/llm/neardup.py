@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from .common import LOWER_BYTES, slices, stored
@@ -130,14 +131,29 @@ def components(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("_least"))
     edges = stored(links(distinct.select("fp"), radius, bucket))
     linked = connected_components(edges).select(F.col("id").alias("fp"), F.col("component").alias("_root"))
-    rooted = distinct.join(linked, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
-    least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    names = rooted.select("fp", "_root").join(least, "_root").select("fp", "component_id")
+    rooted = stored(distinct.join(linked, "fp", "left").withColumn("_root", F.coalesce("_root", "fp")))
+    # Stored, so that the join reads two plain tables: a root with very many fingerprints is then dealt to several tasks.
+    least = stored(rooted.groupBy("_root").agg(F.min("_least").alias("component_id")))
+    names = stored(rooted.select("fp", "_root").join(least, "_root").select("fp", "component_id"))
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without those that have a near-duplicate of a smaller id in their group; rows without an id stay."""
+    """Documents without those that have a near-duplicate of a smaller id in their group; rows without an id stay.
+
+    Rows of one id with different texts are judged each by its own fingerprint, which is computed again for the ids that lose a row.
+    """
     found = components(fingerprints(docs, key, text))
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti")
+    free = "_" * (max(map(len, docs.columns), default=0) + 1)  # no column of the documents begins like this
+    gone_id, gone_fp, own = free + "id", free + "fp", free + "own"
+    gone = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone_id), F.col("fp").alias(gone_fp)).distinct())
+    marked = docs.join(stored(gone.select(gone_id).distinct()), F.col(key) == F.col(gone_id), "left")
+
+    def run(batches):
+        for b in slices(batches, text):
+            fp = [simhash(t or b"") for t in b.column(text).cast(pa.large_binary()).to_pylist()]
+            yield b.append_column(own, pa.array(np.array(fp, np.uint64).view(np.int64)))
+
+    suspects = marked.filter(F.col(gone_id).isNotNull()).select(docs.columns).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    kept = suspects.join(gone, (F.col(key) == F.col(gone_id)) & (F.col(own) == F.col(gone_fp)), "left_anti").select(docs.columns)
+    return marked.filter(F.col(gone_id).isNull()).select(docs.columns).unionByName(kept)
