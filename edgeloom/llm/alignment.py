@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored, text_bytes
 
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 DIGESTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 _SIDES: dict = {}
 
@@ -49,7 +49,7 @@ def byte_side(path: str):
     for token, i in ranks.items():
         table[i] = token
     encode = tiktoken.Encoding("alignment", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return (lambda texts: [encode(" " + t) for t in texts]), table
+    return (lambda texts: [np.array(encode(" " + t), np.int32) for t in texts]), table
 
 
 def piece_side(path: str):
@@ -62,7 +62,7 @@ def piece_side(path: str):
         piece = model.id_to_piece(i)
         byte = re.fullmatch("<0x([0-9A-F]{2})>", piece)
         table.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
-    return (lambda texts: model.encode(texts, num_threads=1)), table
+    return (lambda texts: [np.array(model.encode(t), np.int32) for t in texts]), table
 
 
 def sides(path_a: str, path_b: str):
@@ -76,8 +76,7 @@ def sides(path_a: str, path_b: str):
 
 def list_column(ids: list) -> pa.LargeListArray:
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for doc in ids for x in doc), np.int32, int(lengths.sum()))
-    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]), pa.array(flat))
+    return pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
 
 
 def without(lists: pa.LargeListArray, drop: np.ndarray) -> pa.LargeListArray:
