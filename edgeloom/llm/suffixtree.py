@@ -1,14 +1,19 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-A state is a context of at most ``DEPTH`` words before a token. A context of at least ``SEEN`` training
-occurrences whose shorter context is a state becomes one if its next-word distribution diverges from that of
-the shorter context: the training tokens after it gain likelihood, each judged by the counts without itself
-(so that what occurs once does not vouch for itself). Distributions are smoothed towards the shorter context,
-(n(w) + K p(w)) / (N + K), down to single words, (c + 1/2) / (N + (V + 1) / 2). A token is scored in the
-longest state that ends at it; the start of a text counts as a word of contexts, its end as a token.
+A state is a context of any number of words before a token. A context is examined if its shorter context (without
+its earliest word) is a state, its earlier part (without its last word) was examined, and it occurs at least twice
+in training but less often than the shorter one: with as many occurrences the two have one distribution, and a
+single occurrence cannot vouch for itself. It becomes a state if its next-word distribution diverges from that of
+the shorter context: the training tokens after it gain likelihood, each judged by the counts without itself.
+Contexts deepen until a depth has no new state; counts fall with every word, so this ends.
+
+Distributions are smoothed towards the shorter context, (n(w) + K p(w)) / (N + K), down to single words,
+(c + 1/2) / (N + (V + 1) / 2). A token is scored in the longest state that ends at it; the start of a text counts
+as a word of contexts, its end as a token.
 
 Counts are those of all training documents. Runs of documents ask for the totals of their own distinct words,
-then of their pairs and triples whose context can be a state, so a frequent word is one key of a run.
+then, depth by depth, of the words after their examined contexts, so a frequent word is one key of a run. What a
+depth gave is folded to a number a token of the run, and its messages are deleted.
 
 Cases: null and empty texts are the end token alone; without training documents all tokens are unknown; a null
 doc_id is trained on and not held out; repeated rows count as often as they stand; long texts are scored whole;
@@ -24,14 +29,32 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import LOWER_BYTES
-from .runs import answer, ask, counts, cut_keys, merged, narrow, parts_for, runs, step
+from .common import LOWER_BYTES, discard, stored
+from .runs import _MESSAGE, MESSAGE, answer, ask, counts, cut_keys, merged, narrow, pack, parts_for, runs, step
 
-DEPTH, SEEN, K = 2, 32, 20.0
+K, RUN = 20.0, 3 << 20
 FOLDS, HELD_OUT = 5, 1
 _U = np.uint64
 
 
+def _planes(numbers):
+    """Whole numbers byte by byte: the high bytes are nearly always zero and take hardly any room."""
+    return np.ascontiguousarray(numbers, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(planes):
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8")[:, 0]
+
+
+def _gaps(keys):
+    """Sorted keys by the gaps between them."""
+    return _planes(np.diff(keys, prepend=_U(0)))
+
+
+def _keys(gaps):
+    return np.cumsum(_numbers(gaps), dtype=np.uint64)
+
+
 def _run(ids, missing, body, at):
     """Tokens of a run as numbers of its words by falling frequency; the end of a text is the empty word."""
     raw, vocabulary, tokens, sizes = body.tobytes(), {b"": 0}, [], []
@@ -46,15 +69,13 @@ def _run(ids, missing, body, at):
     order = np.argsort(-np.bincount(token, minlength=len(hashes)), kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    # Byte by byte: the high bytes are nearly always zero and take hardly any room.
-    planes = rank[token].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
     held = np.array([not m and zlib.crc32(str(i).encode()) % FOLDS == HELD_OUT for i, m in zip(ids.tolist(), missing.tolist())], bool)
-    return {"id": ids, "missing": missing, "held": held, "size": np.array(sizes, np.int64), "token": planes, "hash": hashes[order]}
+    return {"id": ids, "missing": missing, "held": held, "size": np.array(sizes, np.int64), "token": _planes(rank[token]), "hash": hashes[order]}
 
 
 def _sorted(run):
     """The run with its words sorted by hash and its tokens as numbers of these."""
-    token = np.ascontiguousarray(np.frombuffer(run["token"], np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+    token = _numbers(run["token"])
     order = np.argsort(run["hash"])
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -62,146 +83,142 @@ def _sorted(run):
 
 
 class _Run:
-    """What a run knows after the steps answered so far."""
+    """What a run knows from the totals of its words and the depths folded so far."""
 
     def __init__(self, run, got, model):
         run = _sorted(run)
-        self.run, self.got, self.model = run, got, model
-        self.token = run["token"]
+        self.run, self.model, self.token, self.depth = run, model, run["token"], 0
         self.start = np.cumsum(run["size"]) - run["size"]
+        self.place = np.arange(len(self.token)) - np.repeat(self.start, run["size"])
         self.train = np.repeat(~run["held"], run["size"])
         self.key = run["hash"][self.token]
-        if got:
-            self.seen = merged(got[0], "total", np.uint8).astype(np.int64)
-            self.p = self.base = (self.seen + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1))
-            self.p = self.base[self.token]
-
-    def context(self, depth):
-        """Hash of the ``depth`` tokens before each token; tokens without so many are False in the second array."""
-        n, key = len(self.token), self.key
-        place = np.arange(n) - np.repeat(self.start, self.run["size"])
-        out = np.zeros(n, np.uint64)
-        for d in range(1, depth + 1):
-            word = np.where(place >= d, np.concatenate([key[:0], np.zeros(min(d, n), np.uint64), key[: max(n - d, 0)]]), _U(0x5851F42D4C957F2D))
+        self.seen = merged(got[0], "total", np.uint8).astype(np.int64)
+        self.base = (self.seen + 0.5) / (model["total"] + 0.5 * (model["distinct"] + 1))
+        self.p = self.base[self.token]
+        self.occurs = np.full(len(self.token), model["total"], np.int64)  # of the context of the depth before each token
+        for depth in got[1:]:
+            self.deepen()
+            n = _numbers(depth[0]["n"]).astype(np.int64)
+            self.fold(n, np.unpackbits(depth[0]["keep"], count=len(n)).astype(bool))
+
+    def deepen(self):
+        """Go one word further back; ``at`` are the tokens after examined contexts."""
+        shorter, self.depth = self.occurs, self.depth + 1
+        if self.depth == 1:
+            can = np.ones(len(self.token), bool)
+            self.occurs = np.where(self.place == 0, self.model["documents"], self.seen[np.concatenate([self.token[:1], self.token[:-1]])])
+        else:
+            # Occurrences of a context: the total of its last word after its earlier part.
+            can = self.state & (self.place > 0) & np.concatenate([self.asked[:0], np.zeros(min(1, len(self.asked)), bool), self.asked[:-1]])
+            self.occurs = np.concatenate([np.zeros(min(1, len(self.total)), np.int64), self.total[:-1]])
+        self.at = np.flatnonzero(can & (self.occurs >= 2) & (self.occurs < shorter))
+
+    def contexts(self):
+        """Hashes of the examined contexts."""
+        out, place = np.zeros(len(self.at), np.uint64), self.place[self.at]
+        for d in range(1, self.depth + 1):
+            word = np.where(place >= d, self.key[self.at - d], _U(0x5851F42D4C957F2D))
             out = (out ^ word) * _U(0x9E3779B97F4A7C15) + _U(d)
             out ^= out >> _U(31)
-        return out, place >= depth - 1
+        return out
 
-    def grams(self, depth, context, can):
-        """Distinct (context, token) keys of candidate contexts, and the number of each candidate's key."""
-        at = np.flatnonzero(can)
-        key = (context[at] ^ (self.key[at] * _U(0xBF58476D1CE4E5B9))) * _U(0x94D049BB133111EB)
+    def grams(self, contexts):
+        """Distinct keys of examined contexts with the tokens after them, and the number of each token's key."""
+        key = (contexts ^ (self.key[self.at] * _U(0xBF58476D1CE4E5B9))) * _U(0x94D049BB133111EB)
         key ^= key >> _U(29)
-        keys, back = np.unique(key, return_inverse=True)
-        return at, keys, back
-
-    def deepen(self, depth):
-        """Candidates of a depth, from the answers to the one before: (context hashes, whether a candidate, its training occurrences)."""
-        if depth == 1:
-            context, can = self.context(1)
-            first = np.zeros(len(self.token), bool)
-            first[self.start] = True
-            before = np.concatenate([[0], self.token[:-1]])
-            occurs = np.where(first, self.model["documents"], self.seen[before])
-            return context, can & (occurs >= self.model["seen"]), occurs
-        context, can = self.context(depth)
-        # Occurrences of a context: the total of the shorter gram that ends at the token before.
-        total = np.concatenate([[0], self.total[:-1]])
-        first = np.zeros(len(self.token), bool)
-        first[self.start] = True
-        return context, can & ~first & np.concatenate([[False], self.known[:-1]]) & self.state & (total >= self.model["seen"]), total
-
-    def replay(self, upto):
-        """Apply the answers on all depths before ``upto`` (counts of the last may be there without its states)."""
-        self.state = np.ones(len(self.token), bool)
-        for depth in range(1, upto + 1):
-            counted, kept = 2 * depth - 1, 2 * depth
-            if len(self.got) <= counted:
-                break
-            context, can, occurs = self.deepen(depth)
-            at, keys, back = self.grams(depth, context, can)
-            total = merged(self.got[counted], "total", np.uint8).astype(np.int64)[back] if len(at) else np.zeros(0, np.int64)
-            self.total, self.known = np.zeros(len(self.token), np.int64), can
-            self.total[at] = total
-            if len(self.got) <= kept:
-                return context, at, back, occurs
-            names, which = np.unique(context[at], return_inverse=True)
-            keep = merged(self.got[kept], "keep", bool)[which] if len(at) else np.zeros(0, bool)
-            self.state = np.zeros(len(self.token), bool)
-            self.state[at[keep]] = True
-            self.p = self.p.copy()
-            self.p[at[keep]] = (total[keep] + K * self.p[at[keep]]) / (occurs[at[keep]] + K)
-        return None
+        return np.unique(key, return_inverse=True)
+
+    def fold(self, n, keep):
+        """Take the totals of the grams at ``at`` and whether their contexts are states."""
+        self.total, self.asked, self.state = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), bool), np.zeros(len(self.token), bool)
+        self.total[self.at], self.asked[self.at], self.state[self.at] = n, True, keep
+        at = self.at[keep]
+        self.p[at] = (n[keep] + K * self.p[at]) / (self.occurs[at] + K)
 
 
 def _ask_words(parts):
     def fn(run, got):
         run = _sorted(run)
-        n = np.bincount(run["token"], np.repeat(~run["held"], run["size"]), len(run["hash"])).astype(np.int64)
-        return {p: {"keys": run["hash"][a:z], "n": narrow(n[a:z])} for p, a, z in cut_keys(run["hash"], parts)}
+        n = np.bincount(run["token"].astype(np.int64), np.repeat(~run["held"], run["size"]), len(run["hash"])).astype(np.int64)
+        return {p: {"keys": _gaps(run["hash"][a:z]), "n": narrow(n[a:z])} for p, a, z in cut_keys(run["hash"], parts)}
 
     return fn
 
 
 def _answer_totals(messages):
     """Totals of all keys; one of the runs that have a key owns it."""
-    keys = np.concatenate([m["keys"] for m in messages])
+    asked = [_keys(m["keys"]) for m in messages]
+    keys = np.concatenate(asked)
     n = np.concatenate([m["n"].astype(np.int64) for m in messages])
     _, owner, back = np.unique(keys, return_index=True, return_inverse=True)
     total = np.bincount(back, n).astype(np.int64)
     own = np.zeros(len(keys), bool)
     own[owner] = True
-    cuts = np.cumsum([len(m["keys"]) for m in messages])[:-1]
+    cuts = np.cumsum([len(k) for k in asked])[:-1]
     return [{"total": narrow(t), "own": o} for t, o in zip(np.split(total[back], cuts), np.split(own, cuts))], int((total > 0).sum()), int(total.sum())
 
 
-def _ask_grams(parts, model, depth):
+def _ask_grams(parts, model):
     def fn(run, got):
         r = _Run(run, got, model)
-        r.replay(depth - 1)
-        context, can, _ = r.deepen(depth)
-        at, keys, back = r.grams(depth, context, can)
-        n = np.bincount(back, r.train[at], len(keys)).astype(np.int64)
-        return {p: {"keys": keys[a:z], "n": narrow(n[a:z])} for p, a, z in cut_keys(keys, parts)}
+        r.deepen()
+        keys, back = r.grams(r.contexts())
+        n = np.bincount(back, r.train[r.at], len(keys)).astype(np.int64)
+        return {p: {"keys": _gaps(keys[a:z]), "n": narrow(n[a:z])} for p, a, z in cut_keys(keys, parts)}
 
     return fn
 
 
-def _ask_states(parts, model, depth):
+def _ask_states(parts, model):
     """Contexts of a run with the gain of the grams that the run owns."""
 
     def fn(run, got):
-        r = _Run(run, got, model)
-        context, at, back, occurs = r.replay(depth)
-        own = merged(got[2 * depth - 1], "own", bool) if len(at) else np.zeros(0, bool)
-        one = np.full(len(own), -1, np.int64)
-        one[back[::-1]] = np.arange(len(at))[::-1]  # a token of each gram
-        names, which = np.unique(context[at], return_inverse=True)
+        r = _Run(run, got[:-1], model)
+        r.deepen()
+        contexts = r.contexts()
+        keys, back = r.grams(contexts)
+        own = merged(got[-1], "own", bool)
+        one = np.zeros(len(keys), np.int64)
+        one[back] = np.arange(len(back))  # a token of each gram
+        names, which = np.unique(contexts, return_inverse=True)
         mine = one[own]
-        n, above, total = r.total[at][mine], r.p[at][mine], occurs[at][mine]
-        left = np.maximum(n - 1, 0)
-        gain = np.where(n > 0, n * np.log10((left + K * above) / (np.maximum(total - 1, 0) + K) / above), 0.0)
+        n, above, occurs = merged(got[-1], "total", np.uint8).astype(np.int64)[own], r.p[r.at[mine]], r.occurs[r.at[mine]]
+        gain = np.where(n > 0, n * np.log10((np.maximum(n - 1, 0) + K * above) / (occurs - 1 + K) / above), 0.0)
         gains = np.bincount(which[mine], gain, len(names))
-        return {p: {"keys": names[a:z], "gain": gains[a:z]} for p, a, z in cut_keys(names, parts)}
+        return {p: {"keys": _gaps(names[a:z]), "gain": gains[a:z]} for p, a, z in cut_keys(names, parts)}
 
     return fn
 
 
 def _answer_states(messages):
-    keys = np.concatenate([m["keys"] for m in messages])
-    names, back = np.unique(keys, return_inverse=True)
+    asked = [_keys(m["keys"]) for m in messages]
+    names, back = np.unique(np.concatenate(asked), return_inverse=True)
     keep = np.round(np.bincount(back, np.concatenate([m["gain"] for m in messages])), 6) > 0
-    return [{"keep": x} for x in np.split(keep[back], np.cumsum([len(m["keys"]) for m in messages])[:-1])], int(keep.sum()), len(names)
+    return [{"keep": x} for x in np.split(keep[back], np.cumsum([len(k) for k in asked])[:-1])], int(keep.sum()), len(names)
+
+
+def _fold(model):
+    """Totals of the grams of a depth and the states among its contexts, for each examined token of a run."""
+
+    def fn(name, run, got):
+        r = _Run(run, got[:-2], model)
+        r.deepen()
+        contexts = r.contexts()
+        _, back = r.grams(contexts)
+        _, which = np.unique(contexts, return_inverse=True)
+        n, keep = merged(got[-2], "total", np.uint8)[back], merged(got[-1], "keep", bool)[which]
+        yield {"run": [name], "part": [0], "body": [pack(n=_planes(n), keep=np.packbits(keep))], "n": [0], "total": [0]}
+
+    return fn
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model, depth):
+def _score(model):
     def fn(_, run, got):
         r = _Run(run, got, model)
-        r.replay(depth)
         add = lambda x: np.add.reduceat(x, r.start) if len(r.start) else np.zeros(0)
         ids = [None if m else i for i, m in zip(run["id"].tolist(), run["missing"].tolist())]
         yield {
@@ -212,17 +229,23 @@ def _score(model, depth):
     return fn
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, seen: int = SEEN) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    base = runs(docs, _run, key, text)
+    base = runs(docs, _run, key, text, RUN)
     parts = parts_for(base)
-    answers = [answer(ask(base, [], _ask_words(parts)), _answer_totals)]
-    distinct, total = counts(answers[0])
-    model = {"total": total, "distinct": distinct, "documents": _documents(base), "seen": seen}
-    for d in range(1, depth + 1):
-        answers.append(answer(ask(base, answers, _ask_grams(parts, model, d)), _answer_totals))
-        answers.append(answer(ask(base, answers, _ask_states(parts, model, d)), _answer_states))
-    return step(base, answers, _score(model, depth), SCORES, _SCORES)
+    known = [answer(ask(base, [], _ask_words(parts)), _answer_totals)]
+    distinct, total = counts(known[0])
+    model = {"total": total, "distinct": distinct, "documents": _documents(base)}
+    while True:
+        grams = answer(ask(base, known, _ask_grams(parts, model)), _answer_totals)
+        states = answer(ask(base, [*known, grams], _ask_states(parts, model)), _answer_states)
+        found, _ = counts(states)
+        if found:
+            known.append(stored(step(base, [*known, grams, states], _fold(model), MESSAGE, _MESSAGE)))
+        discard(grams)
+        discard(states)
+        if not found:
+            return step(base, known, _score(model), SCORES, _SCORES)
 
 
 def _documents(base: DataFrame) -> int:

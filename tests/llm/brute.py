@@ -144,32 +144,35 @@ def lines(rows, order, least=8):
     return sorted(out, key=str)
 
 
-def suffix_tree(rows, seen, k, depth=2):
+def suffix_tree(rows, k):
     tokens = [[w for w in re.split(SPACE, (t or "").translate(UPPER)) if w] + ["\n"] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
-    single, grams, states = Counter(), defaultdict(Counter), set()
-    for ws, h in zip(tokens, held):
-        if not h:
-            single.update(ws)
-            for p, w in enumerate(ws):
-                for d in range(1, min(depth, p + 1) + 1):
-                    grams[tuple(["\0", *ws][p + 1 - d : p + 1])][w] += 1
+    single = Counter(w for ws, h in zip(tokens, held) if not h for w in ws)
     total, distinct = sum(single.values()), len(single)
     base = lambda w: (single[w] + 0.5) / (total + 0.5 * (distinct + 1))
+    grams, size, states, examined, depth = {}, {(): total}, set(), set(), 0
 
     def p(c, w):
         while c and c not in states:
             c = c[1:]
-        return (grams[c][w] + k * p(c[1:], w)) / (sum(grams[c].values()) + k) if c else base(w)
-
-    for d in range(1, depth + 1):
-        new = set()
-        for c, g in grams.items():
-            n = sum(g.values())
-            if len(c) == d and n >= seen and (d == 1 or c[1:] in states):
-                gain = sum(m * math.log10((m - 1 + k * p(c[1:], w)) / (n - 1 + k) / p(c[1:], w)) for w, m in g.items())
-                new |= {c} if round(gain, 6) > 0 else set()
+        return (grams[c][w] + k * p(c[1:], w)) / (size[c] + k) if c else base(w)
+
+    while True:
+        depth += 1
+        here = defaultdict(Counter)
+        for ws, h in zip(tokens, held):
+            padded = ["\0", *ws]
+            for q in range(depth - 1, 0 if h else len(ws)):
+                here[tuple(padded[q + 1 - depth : q + 1])][ws[q]] += 1
+        size |= {c: sum(g.values()) for c, g in here.items()}
+        grams |= here
+        fit = {c for c in here if 2 <= size[c] < size[c[1:]] and (depth == 1 or (c[1:] in states and c[:-1] in examined))}
+        gains = {c: sum(m * math.log10((m - 1 + k * p(c[1:], w)) / (size[c] - 1 + k) / p(c[1:], w)) for w, m in here[c].items()) for c in fit}
+        new = {c for c in fit if round(gains[c], 6) > 0}
+        examined |= fit
         states |= new
+        if not new:
+            break
     out = []
     for (i, _), ws, h in zip(rows, tokens, held):
         score = sum(math.log10(p(tuple(["\0", *ws][max(0, q + 1 - depth) : q + 1]), w)) for q, w in enumerate(ws))

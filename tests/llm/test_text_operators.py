@@ -100,9 +100,9 @@ def test_line_dedup_of_repeated_words(spark):
 
 def test_suffix_tree(odd):
     rows, df = odd
-    want, states = brute.suffix_tree(rows, 6, suffixtree.K)
-    assert states[1] and states[2]
-    got = [tuple(r) for r in suffixtree.score(df, seen=6).collect()]
+    want, states = brute.suffix_tree(rows, suffixtree.K)
+    assert states[1] and states[2] and states[3] and states[4]
+    got = [tuple(r) for r in suffixtree.score(df).collect()]
     assert sorted((x[:5] + (round(x[5], 4), round(x[6], 4)) for x in got), key=str) == want
 
 
