@@ -12,8 +12,9 @@ Distributions are smoothed towards the shorter context, (n(w) + K p(w)) / (N + K
 as a word of contexts, its end as a token.
 
 Counts are those of all training documents. Runs of documents ask for the totals of their own distinct words,
-then, depth by depth, of the words after their examined contexts, so a frequent word is one key of a run. What a
-depth gave is folded to a number a token of the run, and its messages are deleted.
+then, depth by depth, of the words after their examined contexts, so a frequent word is one key of a run. Behind
+``WHOLE`` words a run is only the tokens after examined contexts and the sums of its documents. The messages of a
+depth are deleted when the runs have taken it in.
 
 Cases: null and empty texts are the end token alone; without training documents all tokens are unknown; a null
 doc_id is trained on and not held out; repeated rows count as often as they stand; long texts are scored whole;
@@ -32,7 +33,9 @@ from pyspark.sql import DataFrame
 from .common import LOWER_BYTES, discard, stored
 from .runs import _MESSAGE, MESSAGE, answer, ask, counts, cut_keys, merged, narrow, pack, parts_for, runs, step
 
-K, RUN = 20.0, 3 << 20
+K, RUN, WHOLE = 20.0, 3 << 20, 2
+_START = np.uint64(0x5851F42D4C957F2D)
+_RUN = pa.schema([("run", pa.int64()), ("bytes", pa.int64()), ("body", pa.binary())])
 FOLDS, HELD_OUT = 5, 1
 _U = np.uint64
 
@@ -113,20 +116,23 @@ class _Run:
             self.occurs = np.concatenate([np.zeros(min(1, len(self.total)), np.int64), self.total[:-1]])
         self.at = np.flatnonzero(can & (self.occurs >= 2) & (self.occurs < shorter))
 
-    def contexts(self):
-        """Hashes of the examined contexts."""
-        out, place = np.zeros(len(self.at), np.uint64), self.place[self.at]
-        for d in range(1, self.depth + 1):
-            word = np.where(place >= d, self.key[self.at - d], _U(0x5851F42D4C957F2D))
-            out = (out ^ word) * _U(0x9E3779B97F4A7C15) + _U(d)
-            out ^= out >> _U(31)
-        return out
-
-    def grams(self, contexts):
-        """Distinct keys of examined contexts with the tokens after them, and the number of each token's key."""
-        key = (contexts ^ (self.key[self.at] * _U(0xBF58476D1CE4E5B9))) * _U(0x94D049BB133111EB)
-        key ^= key >> _U(29)
-        return np.unique(key, return_inverse=True)
+    def contexts(self, at, depth):
+        """Hashes of the ``depth`` words before tokens."""
+        before = self.key[at - 1]
+        if depth == 1:
+            return np.where(self.place[at] > 0, before, _START)
+        return _gram(self.contexts(at - 1, depth - 1), before)
+
+    def examined(self):
+        """The tokens after examined contexts; positions of two documents are never neighbours."""
+        at, doc = self.at, np.repeat(np.arange(len(self.start)), self.run["size"])
+        return {"at": at + doc[at], "doc": doc[at], "context": self.contexts(at, self.depth), "key": self.key[at], "p": self.p[at], "occurs": self.occurs[at], "train": self.train[at]}
+
+    def sums(self):
+        """Ids, sizes and scores of the documents by the depths folded so far."""
+        add = lambda x: np.add.reduceat(x, self.start) if len(self.start) else np.zeros(0)
+        known = add((self.seen[self.token] > 0).astype(np.int64))
+        return {c: self.run[c] for c in ("id", "missing", "held", "size")} | {"n_known": known, "base_score": add(np.log10(self.base[self.token])), "score": add(np.log10(self.p))}
 
     def fold(self, n, keep):
         """Take the totals of the grams at ``at`` and whether their contexts are states."""
@@ -136,6 +142,51 @@ class _Run:
         self.p[at] = (n[keep] + K * self.p[at]) / (self.occurs[at] + K)
 
 
+def _gram(context, key):
+    """Hash of a context and the token after it: that of the context one word longer, one token on."""
+    out = (context ^ (key * _U(0xBF58476D1CE4E5B9))) * _U(0x94D049BB133111EB)
+    out ^= out >> _U(29)
+    return out
+
+
+def _whole(model):
+    """The examined tokens of a whole run."""
+
+    def examined(run, got):
+        r = _Run(run, got, model)
+        r.deepen()
+        return r.examined()
+
+    return examined
+
+
+_NUMBERS, _PLAIN = ("at", "doc", "occurs"), ("context", "key", "p", "train")
+
+
+def _rest(run, got):
+    """The examined tokens of a run of which no other token is left."""
+    return {c: _numbers(run[c]).astype(np.int64) for c in _NUMBERS} | {c: run[c] for c in _PLAIN}
+
+
+def _taken(v, grams, states):
+    """Of each examined token: hash of its gram, total of that, whether its context is a state."""
+    gram = _gram(v["context"], v["key"])
+    back, which = (np.unique(x, return_inverse=True)[1] for x in (gram, v["context"]))
+    return gram, merged(grams, "total", np.uint8)[back].astype(np.int64), merged(states, "keep", bool)[which]
+
+
+def _deeper(name, v, sums, grams, states):
+    """A run one word deeper: the tokens whose contexts are examined next, and the sums of its documents."""
+    gram, n, keep = _taken(v, grams, states)
+    p = np.where(keep, (n + K * v["p"]) / (v["occurs"] + K), v["p"])
+    sums = sums | {"score": sums["score"] + np.bincount(v["doc"], np.log10(p / v["p"]), len(sums["size"]))}
+    on = 1 + np.flatnonzero(keep[1:] & (np.diff(v["at"]) == 1))
+    on = on[(n[on - 1] >= 2) & (n[on - 1] < v["occurs"][on])]
+    v = {c: x[on] for c, x in v.items()} | {"context": gram[on - 1], "occurs": n[on - 1], "p": p[on]}
+    body = pack(sums=sums, **{c: _planes(v[c]) for c in _NUMBERS}, **{c: v[c] for c in _PLAIN})
+    return {"run": [name], "bytes": [len(body)], "body": [body]}
+
+
 def _ask_words(parts):
     def fn(run, got):
         run = _sorted(run)
@@ -158,31 +209,26 @@ def _answer_totals(messages):
     return [{"total": narrow(t), "own": o} for t, o in zip(np.split(total[back], cuts), np.split(own, cuts))], int((total > 0).sum()), int(total.sum())
 
 
-def _ask_grams(parts, model):
+def _ask_grams(parts, examined):
     def fn(run, got):
-        r = _Run(run, got, model)
-        r.deepen()
-        keys, back = r.grams(r.contexts())
-        n = np.bincount(back, r.train[r.at], len(keys)).astype(np.int64)
+        v = examined(run, got)
+        keys, back = np.unique(_gram(v["context"], v["key"]), return_inverse=True)
+        n = np.bincount(back, v["train"], len(keys)).astype(np.int64)
         return {p: {"keys": _gaps(keys[a:z]), "n": narrow(n[a:z])} for p, a, z in cut_keys(keys, parts)}
 
     return fn
 
 
-def _ask_states(parts, model):
+def _ask_states(parts, examined):
     """Contexts of a run with the gain of the grams that the run owns."""
 
     def fn(run, got):
-        r = _Run(run, got[:-1], model)
-        r.deepen()
-        contexts = r.contexts()
-        keys, back = r.grams(contexts)
+        v = examined(run, got[:-1])
+        _, one = np.unique(_gram(v["context"], v["key"]), return_index=True)  # a token of each gram
         own = merged(got[-1], "own", bool)
-        one = np.zeros(len(keys), np.int64)
-        one[back] = np.arange(len(back))  # a token of each gram
-        names, which = np.unique(contexts, return_inverse=True)
+        names, which = np.unique(v["context"], return_inverse=True)
         mine = one[own]
-        n, above, occurs = merged(got[-1], "total", np.uint8).astype(np.int64)[own], r.p[r.at[mine]], r.occurs[r.at[mine]]
+        n, above, occurs = merged(got[-1], "total", np.uint8).astype(np.int64)[own], v["p"][mine], v["occurs"][mine]
         gain = np.where(n > 0, n * np.log10((np.maximum(n - 1, 0) + K * above) / (occurs - 1 + K) / above), 0.0)
         gains = np.bincount(which[mine], gain, len(names))
         return {p: {"keys": _gaps(names[a:z]), "gain": gains[a:z]} for p, a, z in cut_keys(names, parts)}
@@ -200,31 +246,48 @@ def _answer_states(messages):
 def _fold(model):
     """Totals of the grams of a depth and the states among its contexts, for each examined token of a run."""
 
+    def fn(name, run, got):
+        _, n, keep = _taken(_whole(model)(run, got[:-2]), *got[-2:])
+        yield {"run": [name], "part": [0], "body": [pack(n=_planes(n), keep=np.packbits(keep))], "n": [0], "total": [0]}
+
+    return fn
+
+
+def _leave(model):
+    """What is left of a whole run one word deeper."""
+
     def fn(name, run, got):
         r = _Run(run, got[:-2], model)
+        sums = r.sums()
         r.deepen()
-        contexts = r.contexts()
-        _, back = r.grams(contexts)
-        _, which = np.unique(contexts, return_inverse=True)
-        n, keep = merged(got[-2], "total", np.uint8)[back], merged(got[-1], "keep", bool)[which]
-        yield {"run": [name], "part": [0], "body": [pack(n=_planes(n), keep=np.packbits(keep))], "n": [0], "total": [0]}
+        yield _deeper(name, r.examined(), sums, *got[-2:])
 
     return fn
 
 
+def _go_on(name, run, got):
+    yield _deeper(name, _rest(run, None), run["sums"], *got)
+
+
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(model):
+def _scores(model, sums):
+    ids = [None if m else i for i, m in zip(sums["id"].tolist(), sums["missing"].tolist())]
+    return {"doc_id": ids, "held_out": sums["held"], "n_tokens": sums["size"], "n_known": sums["n_known"], "train_tokens": np.full(len(ids), model["total"], np.int64), "base_score": sums["base_score"], "score": sums["score"]}
+
+
+def _score_whole(model):
     def fn(_, run, got):
-        r = _Run(run, got, model)
-        add = lambda x: np.add.reduceat(x, r.start) if len(r.start) else np.zeros(0)
-        ids = [None if m else i for i, m in zip(run["id"].tolist(), run["missing"].tolist())]
-        yield {
-            "doc_id": ids, "held_out": run["held"], "n_tokens": run["size"], "n_known": add((r.seen[r.token] > 0).astype(np.int64)),
-            "train_tokens": np.full(len(ids), model["total"], np.int64), "base_score": add(np.log10(r.base[r.token])), "score": add(np.log10(r.p)),
-        }
+        yield _scores(model, _Run(run, got, model).sums())
+
+    return fn
+
+
+def _score_rest(model):
+    def fn(_, run, got):
+        yield _scores(model, run["sums"])
 
     return fn
 
@@ -236,16 +299,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     known = [answer(ask(base, [], _ask_words(parts)), _answer_totals)]
     distinct, total = counts(known[0])
     model = {"total": total, "distinct": distinct, "documents": _documents(base)}
+    depth, whole = 0, True
     while True:
-        grams = answer(ask(base, known, _ask_grams(parts, model)), _answer_totals)
-        states = answer(ask(base, [*known, grams], _ask_states(parts, model)), _answer_states)
+        depth += 1
+        examined = _whole(model) if whole else _rest
+        grams = answer(ask(base, known, _ask_grams(parts, examined)), _answer_totals)
+        states = answer(ask(base, [*known, grams], _ask_states(parts, examined)), _answer_states)
         found, _ = counts(states)
-        if found:
-            known.append(stored(step(base, [*known, grams, states], _fold(model), MESSAGE, _MESSAGE)))
-        discard(grams)
-        discard(states)
+        done = [grams, states]
+        if found and depth < WHOLE:
+            known.append(stored(step(base, [*known, *done], _fold(model), MESSAGE, _MESSAGE)))
+        elif found:
+            done += [base, *known]
+            base = stored(step(base, [*known, grams, states], _leave(model) if whole else _go_on, "run long, bytes long, body binary", _RUN))
+            known, whole = [], False
+        for table in done:
+            discard(table)
         if not found:
-            return step(base, known, _score(model), SCORES, _SCORES)
+            return step(base, known, _score_whole(model) if whole else _score_rest(model), SCORES, _SCORES)
 
 
 def _documents(base: DataFrame) -> int:
