@@ -9,8 +9,9 @@ batch. A shot ends where the histogram difference of two frames exceeds its rece
 deviations and ``FLOOR``.
 
 Cases: a null or empty text is a payload of 64 zero bytes; equal texts give equal files; long texts take more
-frames; repeated rows repeat their result; a null file gives null fields and no clip; a file that is no AVI of
-grey baseline frames is an error; an empty table gives no rows; other columns are not read.
+frames; repeated rows repeat their result; a null file gives null fields and no clip; a file that is no AVI of grey
+baseline frames of one geometry, or is cut off, gives null fields and the reason in ``error``; files of several
+geometries may stand side by side; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -298,7 +299,8 @@ def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 CLIP = pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("difference", pa.float64())])
-READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<clip int, start_s double, end_s double, first_frame int, frames int, difference double>>"
+READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips array<struct<clip int, start_s double, end_s double, first_frame int, frames int, difference double>>, error string"
+_BROKEN = (ValueError, IndexError, KeyError, struct.error)  # what parsing and decoding raise on foreign or cut files
 
 
 def _decoded(files):
@@ -315,15 +317,38 @@ def _decoded(files):
                 heads[kind] = head
             kinds.append(kind)
             coded.append(raw[len(kind) :])
+            if heads[kind]["blocks"] * 2 > len(coded[-1]) * 8:
+                raise ValueError("fewer bits than blocks")
     if len(heads) > 1:
-        raise ValueError("frames of several geometries in one batch")
+        raise ValueError("frames of several geometries")
     levels = decode(coded, heads[kinds[0]]) if coded else np.zeros((0, PER_FRAME), np.uint8)
     counts = np.array([len(s[0]) for s in spans])
     return levels, np.cumsum(counts) - counts, counts, [s[1] for s in spans], [s[2] for s in spans]
 
 
+def _read(files):
+    """What is read back from each file; all are decoded in step."""
+    levels, first, counts, payloads, each = _decoded(files)
+    cut, diff = cuts(levels, first[counts > 0]) if len(levels) else (np.zeros(0, bool), np.zeros(0))
+    for x, f, n, p, s in zip(files, first.tolist(), counts.tolist(), payloads, each):
+        body = levels[f : f + n].tobytes()
+        body = body if p < 0 else body[:p]
+        begin = np.flatnonzero(cut[f : f + n]).tolist()
+        shots = [{"clip": k, "start_s": a * s, "end_s": z * s, "first_frame": a, "frames": z - a, "difference": round(float(diff[f + a]), 6)} for k, (a, z) in enumerate(zip(begin, [*begin[1:], n]))]
+        yield len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-UNIT:]), len(x), hashlib.sha256(x).hexdigest(), shots, None
+
+
+def _read_each(files):
+    """The same file by file, with the reason for those that cannot be read."""
+    for x in files:
+        try:
+            yield from _read([x])
+        except _BROKEN as reason:
+            yield (None,) * 6 + (f"{type(reason).__name__}: {reason}",)
+
+
 def read_media(media: DataFrame, column: str = "media") -> DataFrame:
-    """The rows without the files, with what was read back from them: payload, digests and clips."""
+    """The rows without the files, with what was read back from them: payload, digests, clips, and why a file is unreadable."""
     from pyspark.sql import types as T
 
     new = T._parse_datatype_string(READ)
@@ -333,18 +358,13 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
         for b in slices(batches, column, 4 << 20):
             files = b.column(column).to_pylist()
             some = [x for x in files if x is not None]
-            levels, first, counts, payloads, each = _decoded(some)
-            cut, diff = cuts(levels, first[counts > 0]) if len(levels) else (np.zeros(0, bool), np.zeros(0))
-            rows = []
-            for x, f, n, p, s in zip(some, first.tolist(), counts.tolist(), payloads, each):
-                body = levels[f : f + n].tobytes()
-                body = body if p < 0 else body[:p]
-                begin = np.flatnonzero(cut[f : f + n]).tolist()
-                shots = [{"clip": k, "start_s": a * s, "end_s": z * s, "first_frame": a, "frames": z - a, "difference": round(float(diff[f + a]), 6)} for k, (a, z) in enumerate(zip(begin, [*begin[1:], n]))]
-                rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-UNIT:]), len(x), hashlib.sha256(x).hexdigest(), shots))
+            try:
+                rows = list(_read(some))
+            except _BROKEN:
+                rows = list(_read_each(some))
             done = iter(rows)
-            rows = [next(done) if x is not None else (None,) * 6 for x in files]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(CLIP)]
+            rows = [next(done) if x is not None else (None,) * 7 for x in files]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(CLIP), pa.string()]
             arrays = [b.column(f.name) for f in rest] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in rest] + new.names)
 

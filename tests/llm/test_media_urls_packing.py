@@ -16,7 +16,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def test_media_round_trip(odd, none):
     rows, df = odd
-    got = media.read_media(media.store_media(df)).drop("clips")
+    got = media.read_media(media.store_media(df)).drop("clips", "error")
     want = []
     for i, t in rows:
         body = (t or "").encode()
@@ -53,6 +53,25 @@ def test_shots_are_cut_where_the_content_changes(spark):
     assert media.read_media(files).first()["clips"] is None
 
 
+def test_foreign_and_broken_files(spark):
+    """They end no job, carry the reason, and change nothing for the files beside them."""
+    import struct
+
+    good = [bytes(r.media) for r in media.store_media(spark.createDataFrame([(1, "word " * 900), (2, "x")], "doc_id long, text string")).orderBy("doc_id").collect()]
+    size = struct.pack(">HH", media.ROWS * 8, media.ACROSS * 8)
+    assert size in good[0]
+    lower = good[0].replace(size, struct.pack(">HH", media.ROWS * 4, media.ACROSS * 8))
+    vast = good[0].replace(size, b"\xff\xff\xff\xff")
+    files = [good[0], b"", b"junk", good[0][: len(good[0]) // 2], lower, vast, None, good[1]]
+    rows = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(files)], "doc_id long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media.read_media(rows).collect()}
+    alone = {r.doc_id: r for r in media.read_media(rows.filter("doc_id in (0, 7)")).collect()}
+    assert got[0] == alone[0] and got[7] == alone[7] and alone[0].error is None
+    assert all(got[i].error and got[i].clips is None and got[i].payload_bytes is None for i in (1, 2, 3, 5))
+    assert got[6].error is None and got[6].clips is None
+    assert set(got) == set(range(8))
+
+
 URLS = ["http://A.Example.org/es/1", "https://example.org/en/12?x", "example.org/es/", "http://b.com/de/1", "http://com/fr/", "http://b.com/fr/#a", "ftp://x.net/", None, "", "http://", "://org/", "http://org", "http://xorg/", "http://a.org:80/", "http://example.org/en/2", "http://b.com/DE/", "http://..org/", "x://example.org/es", "http://example.org?/es/"]
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
