@@ -160,6 +160,27 @@ def _(spark, sf):
     return alignment_scores(K.spectrum_kernel(seq, 3, 0.85), seq).withColumn("s", R6("s"))
 
 
+# Digits stand for each other, and so do vowels, at a lower cost than other letters.
+_CLASSES = {(x, y): 5.0 if x == y else -2.0 for group in ("0123456789", "aeiou") for x in group for y in group}
+
+
+@query("alignment_table")
+def _(spark, sf):
+    from ..operators.align import alignment_scores
+
+    seq = T.sequences(spark, sf)
+    return alignment_scores(K.spectrum_kernel(seq, 3, 0.85), seq, table=_CLASSES).withColumn("s", R6("s"))
+
+
+@query("alignment_join")
+def _(spark, sf):
+    """All pairs of different addresses whose alignment reaches the threshold, without other candidates given."""
+    from ..operators.align import aligned_pairs, fold_sequences
+
+    reps, _ = fold_sequences(T.sequences(spark, sf))
+    return aligned_pairs(checkpointed(reps), 0.9).withColumn("s", R6("s"))
+
+
 @query(
     "annotation_ic",
     with_views("inter") + """, cl AS (SELECT 'T'||p_partkey AS term, 'T'||p_partkey AS ancestor FROM part UNION ALL SELECT 'T'||p_partkey, p_brand FROM part UNION ALL SELECT 'T'||p_partkey, p_type FROM part),
