@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .edges import symmetrize, undirected
-from .scale import checkpointed, salted_join
+from .scale import checkpointed, dense_index, salted_join
 from .walks import biased_walks  # noqa: F401
 
 
@@ -70,23 +72,35 @@ def component_sizes(components: DataFrame) -> DataFrame:
 # -- distances --------------------------------------------------------------
 
 def hop_distance(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """Shortest hop counts (source, id, hops) from given sources to all they reach, or up to ``max_hops``."""
+    """Shortest hop counts (source, id, hops) from given sources to all they reach, or up to ``max_hops``.
+
+    Sources that have no edge are left out. Sixty-four sources share a long: a node's word has the bits of those that
+    reach it in this step, so a step is one join of words with edges and one ``bit_or``. Edges lead both ways, hence a
+    neighbour of a node at h hops is at h − 1, h or h + 1: a step takes off the bits of the last two steps and
+    needs no table of all that was seen.
+    """
     both = checkpointed(symmetrize(edges))
-    frontier = sources.select(F.col("id").alias("source"), "id").distinct()
-    frontier = frontier.join(both.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("source", "id")
-    seen = checkpointed(frontier.withColumn("hops", F.lit(0)))
-    frontier, n = seen.select("source", "id"), seen.count()
+    n_edges = both.count()
+    names = checkpointed(dense_index(sources.select("id").join(both.select(F.col("src").alias("id")), "id", "left_semi"), "id", "_i"))
+    names = names.select(F.col("id").alias("source"), F.shiftright("_i", 6).alias("word"), F.pmod("_i", F.lit(64)).cast("int").alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    last = checkpointed(names.select(F.col("source").alias("id"), "word", mask.alias("mask")))
+    before, steps = last.limit(0), [last.withColumn("hops", F.lit(0))]
     hop = 0
     while hop != max_hops:
         hop += 1
-        reached = salted_join(frontier.withColumnRenamed("id", "src"), both, ["src"], rows=n).select("source", F.col("dst").alias("id")).distinct()
-        fresh = checkpointed(reached.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(hop)))
-        n = fresh.count()
-        if n == 0:
+        reached = salted_join(both, last.withColumnRenamed("id", "src"), ["src"], rows=n_edges)
+        reached = reached.groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("mask").alias("mask"))
+        known = before.unionByName(last).groupBy("id", "word").agg(F.bit_or("mask").alias("_known"))
+        fresh = reached.join(known, ["id", "word"], "left")
+        fresh = fresh.select("id", "word", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long")))).alias("mask"))
+        before, last = last, checkpointed(fresh.filter("mask <> 0"))
+        if not last.head(1):
             break
-        seen = seen.unionByName(fresh)
-        frontier = fresh.select("source", "id")
-    return seen
+        steps.append(last.withColumn("hops", F.lit(hop)))
+    found = reduce(DataFrame.unionByName, steps)
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("mask", b) == 1)
+    return found.withColumn("bit", F.explode(places)).join(names, ["word", "bit"]).select("source", "id", "hops")
 
 
 def path_kernel(hops: DataFrame, scale: float = 0.9) -> DataFrame:

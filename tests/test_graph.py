@@ -165,6 +165,34 @@ def test_hops_without_a_bound(spark):
     assert got == {f"n{i}": i for i in range(13)}
 
 
+def test_hops_from_many_sources(spark):
+    """More sources than bits of a word, loops, a hub, odd cycles, several components: breadth-first search of each."""
+    rng = random.Random(8)
+    e = [(f"r{rng.randrange(90)}", f"r{rng.randrange(90)}") for _ in range(110)] + [("hub", f"s{i}") for i in range(40)]
+    e += [(f"o{i}", f"o{(i + 1) % 7}") for i in range(7)] + [("solo", "solo"), ("hub", "r0"), ("s1", "hub")]
+    near = {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for most in (None, 0, 2):
+        want = {}
+        for source in near:
+            level, hops = {source}, 0
+            want[source, source] = 0
+            while level and hops != most:
+                hops += 1
+                level = {y for x in level for y in near[x] if (source, y) not in want}
+                want.update({(source, y): hops for y in level})
+        ids = spark.createDataFrame([(x,) for x in [*near, "hub", "absent", None]], "id string")
+        got = G.hop_distance(_df(spark, e), ids, most).collect()
+        assert {(r.source, r.id): r.hops for r in got} == want and len(got) == len(want)
+
+
+def test_hops_without_edges(spark):
+    e = spark.createDataFrame([], "src string, dst string")
+    assert G.hop_distance(e, spark.createDataFrame([("a",)], "id string")).collect() == []
+
+
 def test_walk_queries_use_the_operators_defaults(spark, monkeypatch):
     from inspect import signature
 
