@@ -81,20 +81,20 @@ def hop_distance(edges: DataFrame, sources: DataFrame, max_hops: int | None = No
     """
     both = checkpointed(symmetrize(edges))
     n_edges = both.count()
-    names = checkpointed(dense_index(sources.select("id").join(both.select(F.col("src").alias("id")), "id", "left_semi"), "id", "_i"))
+    names = dense_index(sources.select("id").join(both.select(F.col("src").alias("id")), "id", "left_semi"), "id", "_i")
     names = names.select(F.col("id").alias("source"), F.shiftright("_i", 6).alias("word"), F.pmod("_i", F.lit(64)).cast("int").alias("bit"))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
     last = checkpointed(names.select(F.col("source").alias("id"), "word", mask.alias("mask")))
-    before, steps = last.limit(0), [last.withColumn("hops", F.lit(0))]
-    hop = 0
+    known, steps = last, [last.withColumn("hops", F.lit(0))]
+    none, hop = F.lit(0).cast("long"), 0
     while hop != max_hops:
         hop += 1
         reached = salted_join(both, last.withColumnRenamed("id", "src"), ["src"], rows=n_edges)
-        reached = reached.groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("mask").alias("mask"))
-        known = before.unionByName(last).groupBy("id", "word").agg(F.bit_or("mask").alias("_known"))
-        fresh = reached.join(known, ["id", "word"], "left")
-        fresh = fresh.select("id", "word", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long")))).alias("mask"))
+        marks = reached.select(F.col("dst").alias("id"), "word", "mask", none.alias("_known"))
+        marks = marks.unionByName(known.select("id", "word", none.alias("mask"), F.col("mask").alias("_known")))
+        fresh = marks.groupBy("id", "word").agg(F.bit_or("mask").bitwiseAND(F.bitwise_not(F.bit_or("_known"))).alias("mask"))
         before, last = last, checkpointed(fresh.filter("mask <> 0"))
+        known = before.unionByName(last)
         if not last.head(1):
             break
         steps.append(last.withColumn("hops", F.lit(hop)))
