@@ -50,6 +50,19 @@ def _(spark, sf):
     return _rounded(K.tanimoto_bits(K.profiles(T.supply(spark, sf)), 0.3))
 
 
+_BITS = """WITH fp AS (SELECT DISTINCT l_partkey AS p, l_suppkey % 2048 AS f FROM lineitem), n AS (SELECT p, count(*) AS n FROM fp GROUP BY 1), o AS (SELECT x.p AS p, y.p AS q, count(*) AS o FROM fp x JOIN fp y ON x.f = y.f AND 'T'||x.p < 'T'||y.p GROUP BY 1, 2)
+SELECT 'T'||o.p AS a, 'T'||q AS b, round(o * 1.0 / (x.n + y.n - o), 6) AS s FROM o JOIN n x ON x.p = o.p JOIN n y ON y.p = q WHERE o * 1.0 / (x.n + y.n - o) >= 0.3 - 1e-9"""
+
+
+@query("tanimoto_words", _BITS)
+def _(spark, sf):
+    """Suppliers of a part folded to a fingerprint of 2,048 bits."""
+    from ..operators import fingerprints as FP
+
+    li = T.table(spark, sf, "lineitem").select(F.concat(F.lit("T"), "l_partkey").alias("id"), F.pmod("l_suppkey", F.lit(2048)).alias("bit"))
+    return _rounded(FP.tanimoto_words(FP.pack_bits(li, 2048), 0.3))
+
+
 _GIP = "exp(-(na + nb - 2 * o) / (SELECT avg(n) FROM (SELECT count(*) * 1.0 AS n FROM inter GROUP BY src)))"
 
 
@@ -352,6 +365,17 @@ def _(spark, sf):
     return _hops(spark, sf)
 
 
+_ALL_HOPS = with_views("geo", recursive=True, extra="""bw AS (SELECT src, dst FROM geo UNION SELECT dst, src FROM geo), walk(source, id, hops) AS (SELECT DISTINCT src, src, 0 FROM bw
+    UNION SELECT source, dst, hops + 1 FROM walk JOIN bw ON id = src WHERE hops < 5), best AS (SELECT source, id, min(hops) AS hops FROM walk GROUP BY 1, 2)""")
+
+
+@query("hop_distance_all", _ALL_HOPS + "SELECT source, id, hops FROM best")
+def _(spark, sf):
+    """Between all nodes: a tree of three levels, so no path is longer than four."""
+    e = checkpointed(T.geography(spark, sf))
+    return G.hop_distance(e, E.node_set(e))
+
+
 @query("path_kernel", _HOPS + "SELECT source AS a, id AS b, round(0.9 * exp(-hops), 6) AS s FROM best")
 def _(spark, sf):
     return _rounded(G.path_kernel(_hops(spark, sf)))
