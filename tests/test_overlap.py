@@ -133,3 +133,31 @@ def test_minmax_constant_column(spark):
     m = spark.createDataFrame([("a", "x", 2.0), ("b", "x", 2.0), ("a", "y", 1.0), ("b", "y", 3.0)], "i string, j string, v double")
     out = {(r.i, r.j): r.v for r in K.minmax_columns(m).collect()}
     assert out == {("a", "x"): 0.0, ("b", "x"): 0.0, ("a", "y"): 0.0, ("b", "y"): 1.0}
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_index_and_blocks_agree_with_brute_force(spark, monkeypatch, blocks):
+    monkeypatch.setattr(OV, "meets_in_blocks", lambda x: blocks)
+    whole = OV.block_overlaps
+    monkeypatch.setattr(OV, "block_overlaps", lambda rows, need: whole(rows, need, size=23))
+    monkeypatch.setattr(OV, "COLUMNS", 5)
+    sets = _sets(11)
+    _same(K.jaccard(_rows(spark, sets), 0.3), _brute(sets, JAC, 0.3))
+    _same(K.cosine_binary(_rows(spark, sets), 0.5), _brute(sets, COS, 0.5))
+    rng = random.Random(5)
+    counts = {i: {f: rng.randrange(1, 6) for f in s} for i, s in sets.items()}
+    table = spark.createDataFrame([(i, f, c) for i, s in counts.items() for f, c in s.items()], "id string, f string, c long")
+    dice = lambda x, y: 2 * sum(min(x[f], y[f]) for f in x.keys() & y.keys()) / (sum(x.values()) + sum(y.values()))
+    cos = lambda x, y: sum(x[f] * y[f] for f in x.keys() & y.keys()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    ids = sorted(counts)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:]]
+    for kernel, sim, t in ((K.dice_counts(table, 0.6), dice, 0.6), (K.cosine_weighted(table.withColumnRenamed("c", "w"), 0.7), cos, 0.7)):
+        _same(kernel, {(a, b): sim(counts[a], counts[b]) for a, b in pairs if sim(counts[a], counts[b]) >= t - 1e-9})
+
+
+def test_dense_rows_meet_in_blocks_and_sparse_ones_by_the_index(spark):
+    dense = {f"d{i:03d}": {f"f{j}" for j in range(40) if (i * 7 + j * j) % 3} for i in range(90)}
+    sparse = {f"s{i:04d}": {f"g{i // 2}", f"u{i}"} for i in range(3000)}
+    assert OV.meets_in_blocks(OV.index_rows(_rows(spark, dense), OV.jaccard_at(0.4)))
+    assert not OV.meets_in_blocks(OV.index_rows(_rows(spark, sparse), OV.jaccard_at(0.4)))
+    _same(K.jaccard(_rows(spark, dense), 0.4), _brute(dense, JAC, 0.4))
