@@ -76,7 +76,7 @@ def catalog_names(catalog: DataFrame) -> DataFrame:
     generic = catalog.select(F.lower("name").alias("k"), F.col("drug").alias("v"))
     product = catalog.select(F.explode(F.col("products")["product"]).alias("p"), "drug")
     product = product.select(F.upper("p.name").alias("k"), F.col("drug").alias("v"))
-    return generic.unionByName(product).filter(F.col("k").isNotNull()).withColumn("ord", F.col("v")).distinct()
+    return generic.unionByName(product).filter(F.col("k").isNotNull()).distinct().withColumn("ord", F.col("v"))
 
 
 def catalog_property(catalog: DataFrame, kind: str) -> DataFrame:

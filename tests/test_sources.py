@@ -156,3 +156,16 @@ def test_matrix_queries_without_a_single_task(spark, monkeypatch, tmp_path):
         assert "row_number" not in lines._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set(adaptive, before)
+
+
+def test_catalogue_of_orders_is_compressed_and_whole(spark, tmp_path):
+    from edgeloom.plans import files
+
+    spark.createDataFrame([(1, 7, 10.5), (2, 7, 3.0), (3, 8, 1.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 5, 1), (1, 5, 2), (1, None, 3), (2, 6, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = files._catalog(spark, str(tmp_path))
+    assert all(f.endswith(".gz") for f in c.inputFiles())
+    assert _rows(C.catalog_names(c), "k", "v") == [("BRAND P5", "DB1"), ("BRAND P6", "DB2"), ("customer 7", "DB1"), ("customer 7", "DB2"), ("customer 8", "DB3")]
+    assert _rows(C.catalog_edges(c, roles=["target"]).filter("dst IS NOT NULL"), "src", "dst") == [("DB1", "P5"), ("DB2", "P6")]
+    assert _rows(C.catalog_ddi(c), "src", "dst") == [("DB0", "DB1"), ("DB1", "DB2"), ("DB2", "DB3"), ("DB3", "DB4")]
