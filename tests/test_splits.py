@@ -37,6 +37,24 @@ def test_negatives_per_drug(spark, edges, pos, ratio):
     assert again == set(neg)
 
 
+def test_negatives_make_few_draws_too_many(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(f"d{d:02d}", f"t{t:03d}") for d in range(40) for t in rng.sample(range(400), 5)]
+    pos = spark.createDataFrame(rows, "src string, dst string")
+    targets = spark.createDataFrame([(f"t{t:03d}",) for t in range(400)], "dst string")
+    sizes, kept = [], N.checkpointed
+    monkeypatch.setattr(N, "checkpointed", lambda df: sizes.append((out := kept(df)).count()) or out)
+    assert N.negatives_per_drug(pos, targets, 4).count() == 800
+    assert max(sizes) < 2 * 800
+
+
+def test_negatives_of_a_nameless_drug_end(spark):
+    rows = [(None, "t1"), ("d1", "t1"), *((f"e{i}", f"t{i}") for i in range(30))]
+    pos = spark.createDataFrame(rows, "src string, dst string")
+    got = [r.src for r in N.negatives_per_drug(pos, pos.select("dst"), 1).collect()]
+    assert sorted(got) == sorted(r[0] for r in rows if r[0])
+
+
 def test_negatives_global(edges, pos):
     neg = [tuple(r) for r in N.negatives_global(pos, 50).collect()]
     assert len(neg) == len(set(neg)) == 50 and not set(neg) & set(edges)
