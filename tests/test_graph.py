@@ -213,3 +213,22 @@ def test_walk_queries_use_the_operators_defaults(spark, monkeypatch):
     for name in ("biased_walks", "node_embeddings"):
         QUERIES[name](spark, "")
     assert seen == [{}, {}, {}]
+
+
+def test_products_travel_as_lists(spark, monkeypatch):
+    """Lists of a few entries and a hub whose sums are dealt to several tasks give the plain product, nameless ends included."""
+    monkeypatch.setattr(G, "LISTED", 3)
+    monkeypatch.setattr(G, "TASK_PATHS", 10)
+    rng = random.Random(5)
+    left = [(f"i{rng.randrange(6)}", f"k{rng.randrange(8)}", float(rng.randrange(1, 5))) for _ in range(20)]
+    left += [("hub", f"k{k}", 2.0) for k in range(8)] + [(None, "k1", 1.0), (None, "k2", 3.0), ("i0", None, 1.0)]
+    right = [(f"k{rng.randrange(8)}", f"j{rng.randrange(12)}", float(rng.randrange(1, 5))) for _ in range(60)] + [("k1", None, 2.0), (None, "j1", 1.0)]
+    want = {}
+    for i, k, v in left:
+        for q, j, w in right:
+            if k is not None and k == q:
+                want.setdefault((i, j), []).append(v * w)
+    x, y = spark.createDataFrame(left, "i string, k string, v double"), spark.createDataFrame(right, "k string, j string, w double")
+    got = G._product(x, y, (F.col("v"), F.col("v")), (F.col("w"), F.lit(1.0) * F.col("w"))).collect()
+    assert len(got) == len(want)
+    assert {(r.i, r.j): (r.sum, r.max) for r in got} == {k: (sum(v), max(v)) for k, v in want.items()}
