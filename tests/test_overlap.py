@@ -161,3 +161,14 @@ def test_dense_rows_meet_in_blocks_and_sparse_ones_by_the_index(spark):
     assert OV.meets_in_blocks(OV.index_rows(_rows(spark, dense), OV.jaccard_at(0.4)))
     assert not OV.meets_in_blocks(OV.index_rows(_rows(spark, sparse), OV.jaccard_at(0.4)))
     _same(K.jaccard(_rows(spark, dense), 0.4), _brute(dense, JAC, 0.4))
+
+
+def test_tasks_grow_with_the_meetings(spark, monkeypatch):
+    """However many rows meet, a task adds up about as many meetings as it is given."""
+    s, t = _sets(9), 0.2
+    parts, kept = [], OV.checkpointed
+    monkeypatch.setattr(OV, "meets_in_blocks", lambda x: False)
+    monkeypatch.setattr(OV, "TASK_MEETINGS", 200)
+    monkeypatch.setattr(OV, "checkpointed", lambda df: parts.append(df.rdd.getNumPartitions()) or kept(df))
+    _same(K.jaccard(_rows(spark, s), t), _brute(s, JAC, t))
+    assert max(parts) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
