@@ -95,6 +95,24 @@ def test_steps_follow_their_law(spark, p, q, cell):
     assert free > 100 and square / free < 1.4
 
 
+def test_walks_carry_only_their_last_nodes(spark, monkeypatch):
+    from edgeloom.operators import walks as M
+
+    longest, keep = [], M.checkpointed
+    def watched(df):
+        out = keep(df)
+        if "path" in out.columns:
+            longest.append(out.agg(F.max(F.size("path"))).first()[0])
+        return out
+
+    monkeypatch.setattr(M, "checkpointed", watched)
+    e = [("a", "x", 1.0), ("b", "x", 1.0), ("b", "y", 2.0), ("a", "y", 1.0), ("c", "y", 1.0), ("c", None, 0.5)]
+    w = _walks(spark, e, num_walks=8, length=15)
+    assert longest and max(longest) <= M.STEPS
+    # One that came to a node without a name is no walk, whatever was written of it before.
+    assert 0 < len(w) < 40 and all(len(x) == 15 for x in w.values())
+
+
 def test_dtdt_counts_paths(spark):
     rng = random.Random(6)
     e = sorted({(f"d{rng.randrange(9)}", f"t{rng.randrange(9)}") for _ in range(40)} | {("d0", f"t{i}") for i in range(9)})
