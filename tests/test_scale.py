@@ -82,3 +82,30 @@ def test_checkpoint_needs_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         S.checkpointed(Frame)
+
+
+def test_annotation_ic_sends_lists_and_deals_them_to_more_tasks(spark, monkeypatch):
+    from math import log
+
+    from edgeloom.operators import kernels as K
+    from edgeloom.operators import overlap as OV
+
+    rng = random.Random(8)
+    terms = {(rng.choice([None, *(f"d{i}" for i in range(20))]), f"t{rng.randrange(30)}") for _ in range(60)}
+    closure = {(f"t{i}", f"t{i}") for i in range(30)} | {(f"t{i}", f"g{i % 9}") for i in range(30)}
+    full = {(d, a) for d, t in terms for u, a in closure if t == u}
+    n, df = len({d for d, _ in full} - {None}), {}
+    for _, a in full:
+        df[a] = df.get(a, 0) + 1
+    rare = [(d, -log(df[a] / n), a) for d, a in full if -log(df[a] / n) >= 0.8]
+    own, want = {}, {}
+    for d, ic, _ in rare:
+        own[d] = max(own.get(d, 0), ic)
+    for d, ic, a in rare:
+        for e, _, b in rare:
+            if a == b and d != e and None not in (d, e):
+                want[d, e] = max(want.get((d, e), 0), round(ic / own[d], 9))
+    monkeypatch.setattr(OV, "TASK_MEETINGS", 4)
+    got = K.annotation_ic(spark.createDataFrame([*terms], "id string, term string"), spark.createDataFrame([*closure], "term string, ancestor string"), 0.8)
+    assert {(r.a, r.b): round(r.s, 9) for r in got.collect()} == want and len(want) > 20
+    assert got.rdd.getNumPartitions() > 8
