@@ -84,6 +84,19 @@ def test_checkpoint_needs_shared_folder_on_a_cluster(spark, monkeypatch):
         S.checkpointed(Frame)
 
 
+def test_symbol_overlap_deals_its_rows_to_more_tasks(spark, monkeypatch):
+    from edgeloom.operators import edges as E
+
+    rng = random.Random(7)
+    syms = {(rng.choice([None, *"abcdefgh"]), rng.choice([None, *range(12)])) for _ in range(60)}
+    rows = {(rng.choice([None, *range(12)]), rng.choice([None, *range(12)])) for _ in range(40)}
+    want = {(min(p, q), max(p, q)) for p, s in syms for x, y in rows for q, t in syms if None not in (s, t, p, q) and (s, t) == (x, y) and p != q}
+    monkeypatch.setattr(E, "TASK_ROWS", 5, raising=False)
+    got = E.symbol_overlap(spark.createDataFrame([*syms] * 2, "id string, sym int"), spark.createDataFrame([*rows] * 2, "sym1 int, sym2 int"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.rdd.getNumPartitions() > 8
+
+
 def test_annotation_ic_sends_lists_and_deals_them_to_more_tasks(spark, monkeypatch):
     from math import log
 
