@@ -172,3 +172,62 @@ def test_tasks_grow_with_the_meetings(spark, monkeypatch):
     monkeypatch.setattr(OV, "checkpointed", lambda df: parts.append(df.rdd.getNumPartitions()) or kept(df))
     _same(K.jaccard(_rows(spark, s), t), _brute(s, JAC, t))
     assert max(parts) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_meet_without_a_shuffle(spark):
+    """However many blocks a row meets, it is shuffled once, into its own block."""
+    dense = {f"d{i:03d}": {f"f{j}" for j in range(40) if (i * 7 + j * j) % 3} for i in range(90)}
+    pairs = OV.block_overlaps(_rows(spark, dense), OV.jaccard_at(0.4), size=7)
+    assert "Exchange" not in _plan(pairs) and "CartesianProduct" in _plan(pairs)
+    _same(pairs.selectExpr("a", "b", "overlap / (na + nb - overlap) AS s"), _brute(dense, JAC, 0.4))
+
+
+@pytest.mark.parametrize("lookup", [0, 2048, 1e18])
+@pytest.mark.parametrize("need", [OV.cosine_sets_at(0.5), OV.dice_counts_at(0.5), OV.within_distance(6.0)])
+def test_block_pairs_finish_what_no_product_was_made_of(monkeypatch, lookup, need):
+    """Stopping after the first columns, never, or where it pays gives the same pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(OV, "COLUMNS", 4)
+    monkeypatch.setattr(OV, "LOOKUP", lookup)
+    monkeypatch.setattr(OV, "PAIRS", 9)
+    rng = np.random.default_rng(3)
+
+    def block(n):
+        rows = [np.sort(rng.choice(30, rng.integers(0, 9), replace=False)) for _ in range(n)]
+        ws = [np.sqrt(rng.integers(1, 4, len(r))) if not need.product else np.ones(len(r)) for r in rows]
+        side = {"lens": np.array([len(r) for r in rows]), "fs": np.concatenate(rows), "ws": np.concatenate(ws)}
+        return side | {"n": np.array([float((w * w).sum()) for w in ws])}, [dict(zip(r.tolist(), w.tolist())) for r, w in zip(rows, ws)]
+
+    (xs, left), (ys, right) = block(40), block(25)
+    term = (lambda p, q: p * q) if need.product else (lambda p, q: min(p * p, q * q))
+    want = {}
+    for r, x in enumerate(left):
+        for c, y in enumerate(right):
+            o = sum(term(w, y[f]) for f, w in x.items() if f in y)
+            n = sorted([xs["n"][r], ys["n"][c]])
+            if o > 0 and o >= need.reach(np.array(n[0]), np.array(n[1])) - 1e-9:
+                want[r, c] = pytest.approx(o)
+    r, c, value = OV._block_pairs(xs, ys, need)
+    assert want and dict(zip(zip(r.tolist(), c.tolist()), value.tolist())) == want and len(r) == len(want)
+
+
+def test_plan_of_a_large_table_is_chosen_by_some_ids(spark, monkeypatch):
+    """The marks of all rows are not made where the rows meet in blocks, and the pairs are the same."""
+    s = {f"d{i:03d}": {f"f{j}" for j in range(40) if (i * 7 + j * j) % 3} for i in range(90)}
+    made, index = [], OV.index_rows
+    monkeypatch.setattr(OV, "INDEXED", 500)
+    monkeypatch.setattr(OV, "index_rows", lambda rows, need, **more: made.append(rows.count()) or index(rows, need, **more))
+    _same(K.jaccard(_rows(spark, s), 0.4), _brute(s, JAC, 0.4))
+    assert len(made) == 1 and made[0] < sum(map(len, s.values())) / 2
+
+
+def test_counts_and_blanks_of_sequences_are_dealt_once(spark):
+    seq = spark.createDataFrame([("a", "abcabc"), ("b", "abd")], "id string, seq string")
+    rows = K.unit_rows(K.blanked_rows(K.kmer_counts(seq, 3, ways=8), 3, [1, 1, 1, 1]))
+    dealt = [line for line in _plan(K.blanked_rows(K.kmer_counts(seq, 3, ways=8), 3, [1, 1, 1, 1])).split("\n") if "Exchange" in line]
+    assert len(dealt) == 1 and rows.groupBy("id").count().count() == 2
