@@ -186,14 +186,18 @@ def test_blocks_meet_without_a_shuffle(spark):
     _same(pairs.selectExpr("a", "b", "overlap / (na + nb - overlap) AS s"), _brute(dense, JAC, 0.4))
 
 
+@pytest.mark.parametrize("entry", [0, 1e18])
 @pytest.mark.parametrize("lookup", [0, 2048, 1e18])
 @pytest.mark.parametrize("need", [OV.cosine_sets_at(0.5), OV.dice_counts_at(0.5), OV.within_distance(6.0)])
-def test_block_pairs_finish_what_no_product_was_made_of(monkeypatch, lookup, need):
+def test_block_pairs_finish_what_no_product_was_made_of(monkeypatch, entry, lookup, need):
     """Stopping after the first columns, never, or where it pays gives the same pairs."""
     import numpy as np
 
     monkeypatch.setattr(OV, "COLUMNS", 4)
     monkeypatch.setattr(OV, "LOOKUP", lookup)
+    monkeypatch.setattr(OV, "ENTRY", entry)
+    monkeypatch.setattr(OV, "PASS", -1)
+    monkeypatch.setattr(OV, "MET", 50)
     monkeypatch.setattr(OV, "PAIRS", 9)
     rng = np.random.default_rng(3)
 
@@ -231,3 +235,11 @@ def test_counts_and_blanks_of_sequences_are_dealt_once(spark):
     rows = K.unit_rows(K.blanked_rows(K.kmer_counts(seq, 3, ways=8), 3, [1, 1, 1, 1]))
     dealt = [line for line in _plan(K.blanked_rows(K.kmer_counts(seq, 3, ways=8), 3, [1, 1, 1, 1])).split("\n") if "Exchange" in line]
     assert len(dealt) == 1 and rows.groupBy("id").count().count() == 2
+
+
+def test_sparse_rows_that_meet_often_go_into_blocks(spark):
+    """Thirty of many features a row: the index lists each pair more than once, while few entries of two blocks meet."""
+    rng = random.Random(8)
+    x = [(f"r{i:03d}", f"f{f}", 1) for i in range(600) for f in rng.sample(range(3000), 30)]
+    rows = spark.createDataFrame(x, "id string, f string, w long")
+    assert OV.meets_in_blocks(OV.index_rows(rows, OV.jaccard_at(0.05)))
