@@ -122,3 +122,37 @@ def test_annotation_ic_sends_lists_and_deals_them_to_more_tasks(spark, monkeypat
     got = K.annotation_ic(spark.createDataFrame([*terms], "id string, term string"), spark.createDataFrame([*closure], "term string, ancestor string"), 0.8)
     assert {(r.a, r.b): round(r.s, 9) for r in got.collect()} == want and len(want) > 20
     assert got.rdd.getNumPartitions() > 8
+
+
+def test_annotation_ic_pairs_frequent_terms_in_blocks(spark, monkeypatch):
+    """Ids that share many terms, most of them frequent: every pair that shares any term, by blocks and by lists alike."""
+    from math import isnan, log
+
+    from edgeloom.operators import kernels as K
+
+    rng = random.Random(9)
+    terms = {(rng.choice([None, *(f"d{i}" for i in range(300))]), f"t{rng.randrange(40)}") for _ in range(2500)} | {("lone", "t0"), ("other", "t99")}
+    closure = {(f"t{i}", f"t{i}") for i in range(40)} | {(f"t{i}", f"g{i % 3}") for i in range(40)} | {(f"t{i}", "all") for i in range(40)} | {("t1", None), ("t99", "t99")}
+    full = {(d, a) for d, t in terms for u, a in closure if t == u}
+    n, df = len({d for d, _ in full} - {None}), {}
+    for _, a in full:
+        df[a] = df.get(a, 0) + 1
+    held, want = {}, {}
+    for d, a in full:
+        if None not in (d, a):
+            held.setdefault(d, {})[a] = -log(df[a] / n)
+    for d, x in held.items():
+        for e, y in held.items():
+            if d != e and x.keys() & y.keys():
+                want[d, e] = round(max(x[a] for a in x.keys() & y.keys()) / max(x.values()), 9)
+    frames = spark.createDataFrame([*terms], "id string, term string"), spark.createDataFrame([*closure], "term string, ancestor string")
+    monkeypatch.setattr(K, "MANY", 300)
+    for shared in (0.0, 1e9):
+        monkeypatch.setattr(K, "SHARED", shared)
+        got = K.annotation_ic(*frames).collect()
+        assert {(r.a, r.b): round(r.s, 9) for r in got} == want and len(got) == len(want) > 80_000
+    one = spark.createDataFrame([("a", "t"), ("b", "t")], "id string, term string"), spark.createDataFrame([("t", "t")], "term string, ancestor string")
+    for shared in (0.0, 1e9):
+        monkeypatch.setattr(K, "SHARED", shared)
+        assert [isnan(r.s) for r in K.annotation_ic(*one).collect()] == [True, True]
+        assert K.annotation_ic(one[0].limit(0), one[1]).collect() == []
