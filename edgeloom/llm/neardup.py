@@ -110,7 +110,8 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     parts = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks(radius)])).alias("mask", "_m"))
     parts = parts.select("mask", F.col("fp").bitwiseAND(F.col("_m")).alias("part"), "fp", "_m")
     shared = parts.groupBy("mask", "part").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    met = stored(parts.join(shared, ["mask", "part"]))
+    # Spark sizes exploded rows like those they were made of: without the hints it would broadcast what is many times larger.
+    met = stored(parts.join(shared.hint("merge"), ["mask", "part"]))
     small = met.filter(F.col("_n") <= bucket).select("mask", "part", "fp").repartition("mask", "part").sortWithinPartitions("mask", "part")
     found = small.mapInArrow(_bucket_links(radius), "src long, dst long")
     # One of two close fingerprints has their common point within half the radius, the other within the rest of it.
@@ -121,7 +122,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     points = large.select("fp", "mask", F.explode(F.filter(flips, lambda x: x.bitwiseAND(F.col("_m")) == 0)).alias("_flip"))
     points = points.select("fp", "mask", F.col("fp").bitwiseXOR(F.col("_flip")).alias("point"), (F.bit_count("_flip") <= radius // 2).alias("_near"))
     least = points.filter("_near").groupBy("mask", "point").agg(F.min("fp").alias("dst"))
-    starred = points.join(least, ["mask", "point"]).filter(F.col("fp") != F.col("dst"))
+    starred = points.join(least.hint("merge"), ["mask", "point"]).filter(F.col("fp") != F.col("dst"))
     return found.unionByName(starred.select(F.col("fp").alias("src"), "dst")).distinct()
 
 

@@ -214,3 +214,26 @@ def test_empty_tables(spark, odd, none):
     assert suffixtree.score(none).count() == 0
     assert sharding.sharded(none).count() == 0
     assert langid.train(none) == [] and langid.identify(none, []).count() == 0
+
+
+def _joins(df):
+    """Broadcast joins of the plan as Spark has it before any of it ran."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
+
+
+def test_exploded_rows_are_not_broadcast(spark, odd, monkeypatch):
+    """Masks, flips, halves and variants are many times the rows that Spark sizes them by."""
+    seen = []
+
+    def watched(df):
+        seen.append((df.columns, _joins(df)))
+        return kept(df)
+
+    kept = neardup.stored
+    monkeypatch.setattr(neardup, "stored", watched)
+    fps = neardup.fingerprints(odd[1]).select("fp").distinct()
+    assert _joins(neardup.links(fps, bucket=2)) == [] and [j for _, j in seen] == [[]]
+    monkeypatch.setattr(lines, "stored", watched)
+    seen.clear()
+    assert _joins(lines.dedup_lines(odd[1])) == []
+    assert dict((tuple(c), j) for c, j in seen)["at", "w", "n"] == []
