@@ -107,10 +107,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     # Lines that share a half with another one, with their words fetched from their first place.
     halves = distinct.select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    met = halves.join(shared, "half").select("first").distinct()
+    # Spark sizes exploded and listed rows by what they were made of, or by their packed files: the hints keep them from being broadcast.
+    met = halves.join(shared.hint("merge"), "half").select("first").distinct()
     wanted = met.groupBy(F.col("first._d").alias("_d"), F.col("first._t").alias("_t")).agg(F.collect_set("first._p").alias("places"))
     own = docs.select(F.col(key).alias("_d0"), F.xxhash64(text).alias("_t0"), F.split(text, "\n").alias("lines"))  # read again: cheaper than to keep all lines
-    found = own.join(wanted, F.col("_d0").eqNullSafe(F.col("_d")) & (F.col("_t0") == F.col("_t")))
+    found = own.join(wanted.hint("merge"), F.col("_d0").eqNullSafe(F.col("_d")) & (F.col("_t0") == F.col("_t")))
     found = found.select("_d", "_t", F.explode("places").alias("_p"), "lines").select(F.struct("_d", "_t", "_p").alias("at"), words_of(F.get("lines", F.col("_p"))).alias("w"))
     near = stored(found.withColumn("n", F.size("w")))
 
@@ -124,7 +125,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     variants = stored(variants)
     at = F.col("at")
     earliest = variants.groupBy("key").agg(F.min(F.when(F.col("role") != 1, at)).alias("whole"), F.min(F.when(F.col("role") == 1, at)).alias("cut"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    pairs = variants.join(earliest, "key").select("at", F.when(F.col("role") == 2, F.col("cut")).otherwise(F.col("whole")).alias("other"))
+    pairs = variants.join(earliest.hint("merge"), "key").select("at", F.when(F.col("role") == 2, F.col("cut")).otherwise(F.col("whole")).alias("other"))
     pairs = pairs.filter(F.col("other") < at).distinct()
     verified = pairs.join(near.select("at", "w"), "at").join(near.select(F.col("at").alias("other"), F.col("w").alias("v")), "other").filter(one_edit(w, F.col("v")))
     gone = verified.select(F.col("at").alias("first"), F.lit(True).alias("near")).distinct()
@@ -137,7 +138,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     doc, digest, kinds = "__line_doc", "__line_digest", "__line_kinds"
     fate = fate.groupBy(F.col("at._d").alias(doc), F.col("at._t").alias(digest)).agg(F.transform(F.array_sort(F.collect_set(F.struct("at._p", "fate"))), lambda x: x["fate"]).alias(kinds))
     fate = stored(fate)
-    out = docs.join(fate, F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(digest)), "left")
+    out = docs.join(fate.hint("merge"), F.col(key).eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(digest)), "left")
     kept = F.filter(F.zip_with(F.split(text, "\n"), kinds, lambda x, f: F.struct(x.alias("x"), f.alias("f"))), lambda x: x["f"] == 0)
     some = F.exists(kinds, lambda f: f > 0)
     counted = lambda kind: F.coalesce(F.size(F.filter(kinds, lambda f: f == kind)), F.lit(0)).cast("long")
