@@ -250,3 +250,16 @@ def test_products_travel_as_lists(spark, monkeypatch):
     got = G._product(x, y, (F.col("v"), F.col("v")), (F.col("w"), F.lit(1.0) * F.col("w"))).collect()
     assert len(got) == len(want)
     assert {(r.i, r.j): (r.sum, r.max) for r in got} == {k: (sum(v), max(v)) for k, v in want.items()}
+
+
+def test_steps_of_walks_are_not_broadcast(spark):
+    """Each step is two rows of one side, sized by a packed table: the spans meet by a merge join."""
+    walks = [(w, s, f"n{(w * s) % 7}") for w in range(6) for s in range(12)] + [(None, 1, "x"), (7, 1, None), (7, 2, "x")]
+    out = G.cooccurrence(S.checkpointed(spark.createDataFrame(walks, "walk long, step int, node string")), 3)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for w, s, a in walks:
+        for v, t, b in walks:
+            if w is not None and w == v and 0 < abs(t - s) <= 3:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.n for r in out.collect()} == want
