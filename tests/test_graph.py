@@ -263,3 +263,25 @@ def test_steps_of_walks_are_not_broadcast(spark):
             if w is not None and w == v and 0 < abs(t - s) <= 3:
                 want[a, b] = want.get((a, b), 0) + 1
     assert {(r.a, r.b): r.n for r in out.collect()} == want
+
+
+def test_information_of_walks_does_not_broadcast_their_steps(spark, tmp_path):
+    """The registered query, up to the counts: nothing that is as long as the walks is broadcast."""
+    from datetime import datetime, timedelta
+
+    from edgeloom.plans import QUERIES
+
+    at = datetime(2024, 1, 1)
+    rows = [(i, at + timedelta(minutes=i % 17), i % 5, "ab"[i % 2], f'{{"k": {i % 4}}}') for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    counts = QUERIES["cooccurrence"](spark, str(tmp_path))
+    assert "Broadcast" not in counts._jdf.queryExecution().executedPlan().toString()
+    n = {(r.a, r.b): r.n for r in counts.collect()}
+    own, total = {}, sum(n.values())
+    for (a, _), c in n.items():
+        own[a] = own.get(a, 0) + c
+    from math import log
+
+    want = {p: round(log(c * total / (own[p[0]] * own[p[1]])), 6) for p, c in n.items() if c * total > own[p[0]] * own[p[1]]}
+    got = {(r.a, r.b): r.w for r in QUERIES["positive_information"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want) and want
